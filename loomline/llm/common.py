@@ -103,7 +103,7 @@ def starts(counts: np.ndarray) -> np.ndarray:
 
 def utf8(text: pa.Array):
     """(bytes as uint8, offsets) of an array of strings, nulls as empty texts."""
-    text = pc.fill_null(text, "")
+    text = pc.fill_null(text, "") if text.null_count else text
     buf = text.buffers()
     width = np.int64 if pa.types.is_large_string(text.type) else np.int32
     off = np.frombuffer(buf[1], width)[text.offset : text.offset + len(text) + 1].astype(np.int64)
@@ -120,5 +120,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_ngrams(words: pa.Array, sizes: tuple, bits: int):
+    """Of each word: its bucket, the buckets of its n-grams (UTF-8 bytes of ``^word$``, flat), n-grams per word.
+
+    Word 0 is an empty one, put before the given words.
+    """
+    joined = pc.binary_join_element_wise("^", words.cast(pa.string()), "$", "")
+    data, off = utf8(pa.concat_arrays([pa.array(["^$"]), joined]) if len(words) else pa.array(["^$"]))
+    n = len(off) - 1
+    b = data.astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(n), np.diff(off))
+    size = np.diff(off)
+    # A word's hash: sum of byte * odd power of its place, finished by a multiply and shift.
+    place = np.arange(len(b)) - np.repeat(off[:-1], size)
+    power = np.cumprod(np.full(max(1, int(size.max())), 0x9E3779B97F4A7C15, np.uint64))
+    whole = np.add.reduceat(b * power[place], off[:-1])
+    word = ((whole * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)).astype(np.int64)
+    ids, owners = [], []
+    for k in sizes:
+        if len(b) < k:
+            continue
+        m = len(b) - k + 1
+        ok = np.flatnonzero(owner[:m] == owner[k - 1 :])
+        g = np.zeros(m, np.uint64)
+        for j in range(k):
+            g = g * np.uint64(0x100000001B3) + b[j : j + m]
+        ids.append((((g[ok] ^ np.uint64(k)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)).astype(np.int64))
+        owners.append(owner[ok])
+    ids, owners = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    order = np.argsort(owners, kind="stable")
+    return word, ids[order], np.bincount(owners, minlength=n)
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

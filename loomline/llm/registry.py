@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import language, licences, packing, quality, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -12,9 +12,27 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_language(spark, sf_dir):
+    return language.language(_read(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark, sf_dir):
+    return licences.licenses(_read(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_quality(spark, sf_dir):
     return quality.quality(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op10_quality": op10_quality}
+QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op5_language": op5_language,
+    "op6_packing": op6_packing,
+    "op8_licenses": op8_licenses,
+    "op10_quality": op10_quality,
+}
 ORACLES: dict[str, str] = {}

@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, is_held_out, starts, text_slices, utf8, words_of
+from .common import batches, is_held_out, starts, text_slices, word_ngrams, words_of
 
 WINDOW, STRIDE, THRESHOLD = 32, 16, 0.3
-HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS, CHAR_NS = 8, 12, 12, 1 << 15, (3, 5)
+HIDDEN, WORD_DIM, CHAR_DIM, BITS, CHAR_NS = 8, 12, 12, 15, (3, 5)
 #: Bounds of the training sample: labelled rows of each kind, and characters of a text that may be in it.
 MAX_ROWS_PER_LABEL, MAX_TRAIN_CHARS = 1500, 20_000
 
@@ -40,40 +40,11 @@ class Model:
         r = np.random.default_rng(seed)
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         f = lambda *s, k=0.3: (r.standard_normal(s) * k).astype(np.float32)
-        return Model({"Ew": f(BUCKETS, WORD_DIM, k=0.1), "Ec": f(BUCKETS, CHAR_DIM, k=0.3), "Wf": f(d, 3 * h), "Wb": f(d, 3 * h),
+        return Model({"Ew": f(1 << BITS, WORD_DIM, k=0.1), "Ec": f(1 << BITS, CHAR_DIM, k=0.3), "Wf": f(d, 3 * h), "Wb": f(d, 3 * h),
                       "bf": np.zeros(3 * h, np.float32), "bb": np.zeros(3 * h, np.float32), "Uf": f(h, 3 * h), "Ub": f(h, 3 * h),
                       "Wa": f(2 * h, h), "va": f(h), "u": f(2 * h), "b": np.full(1, -1.0, np.float32)})
 
 
-def features(words: pa.Array):
-    """Of each distinct word: hashed word bucket, hashed n-gram buckets (flat), n-grams per word. Word 0 is padding."""
-    joined = pc.binary_join_element_wise("^", words.cast(pa.string()), "$", "")
-    data, off = utf8(pa.concat_arrays([pa.array(["^$"]), joined]) if len(words) else pa.array(["^$"]))
-    n = len(off) - 1
-    b = data.astype(np.uint64) + np.uint64(1)
-    owner = np.repeat(np.arange(n), np.diff(off))
-    size = np.diff(off)
-    # A word's hash: sum of byte * odd power of its place, finished by a multiply and shift.
-    place = np.arange(len(b)) - np.repeat(off[:-1], size)
-    power = np.cumprod(np.full(max(1, int(size.max())), 0x9E3779B97F4A7C15, np.uint64))
-    whole = np.add.reduceat(b * power[place], off[:-1])
-    word = ((whole * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - 15)).astype(np.int64)
-    ids, owners = [], []
-    for k in CHAR_NS:
-        if len(b) < k:
-            continue
-        m = len(b) - k + 1
-        ok = np.flatnonzero(owner[:m] == owner[k - 1 :])
-        g = np.zeros(m, np.uint64)
-        for j in range(k):
-            g = g * np.uint64(0x100000001B3) + b[j : j + m]
-        ids.append((((g[ok] ^ np.uint64(k)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - 15)).astype(np.int64))
-        owners.append(owner[ok])
-    ids, owners = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    order = np.argsort(owners, kind="stable")
-    return word, ids[order], np.bincount(owners, minlength=n)
-
-
 def _char_means(table, ids, counts):
     total = np.zeros((len(counts), table.shape[1]), np.float32)
     full = np.flatnonzero(counts)
@@ -213,7 +184,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 256
         return m
     p, rng = m.p, np.random.default_rng(seed)
     codes, counts, vocabulary = words_of(pc.utf8_lower(pa.array(texts, pa.string())))
-    feats = features(vocabulary)
+    feats = word_ngrams(vocabulary, CHAR_NS, BITS)
     win, row = windows(counts, codes)
     first = starts(np.bincount(row, minlength=len(y)))[:-1]
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
@@ -251,7 +222,7 @@ def score_texts(model: Model, text: pa.Array) -> np.ndarray:
     codes, counts, vocabulary = words_of(pc.utf8_lower(pc.fill_null(text, "")))
     win, row = windows(counts, codes)
     p = model.p
-    lg = logits(p, _project(p, inputs(p, features(vocabulary))), win)
+    lg = logits(p, _project(p, inputs(p, word_ngrams(vocabulary, CHAR_NS, BITS))), win)
     best = np.maximum.reduceat(lg, starts(np.bincount(row, minlength=len(counts)))[:-1]).astype(np.float64)
     return 1 / (1 + np.exp(-best))
 
