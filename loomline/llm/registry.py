@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import language, licences, packing, quality, toxicity
+from . import language, licences, mixing, packing, quality, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -12,6 +12,10 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_mixing(spark, sf_dir):
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op5_language(spark, sf_dir):
     return language.language(_read(spark, sf_dir, "documents"))
 
@@ -30,9 +34,10 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op8_licenses": op8_licenses,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
