@@ -1,13 +1,17 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import language, licences, mixing, packing, quality, toxicity
+from . import language, licences, mixing, packing, quality, topk, toxicity
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_topk(spark, sf_dir):
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -33,6 +37,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_topk": op2_topk,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_language": op5_language,
@@ -40,4 +45,4 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE}
