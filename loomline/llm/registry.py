@@ -1,13 +1,17 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import language, licences, mixing, packing, quality, topk, toxicity
+from . import language, licences, mixing, packing, quality, tokencount, topk, toxicity
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokencount(spark, sf_dir):
+    return tokencount.count_documents(_read(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark, sf_dir):
     return topk.top_k(_read(spark, sf_dir, "embeddings"))
 
@@ -37,6 +41,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_tokencount": op1_tokencount,
     "op2_topk": op2_topk,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
