@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import language, licences, mixing, packing, quality, tokencount, topk, toxicity
+from . import jaccard, language, licences, mixing, packing, quality, tokencount, topk, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -32,6 +32,10 @@ def op6_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark, sf_dir):
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark, sf_dir):
     return licences.licenses(_read(spark, sf_dir, "documents")).drop("detections")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
+    "op7_jaccard": op7_jaccard,
     "op8_licenses": op8_licenses,
     "op10_quality": op10_quality,
 }
