@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage applies one operator's decisions to all that its predecessor kept."""
 from __future__ import annotations
 
-from loomline.llm import quality, toxicity
+from loomline.llm import jaccard, mixing, packing, quality, toxicity
 from loomline.llm.common import materialise
 
 
@@ -17,7 +17,19 @@ def keep_good(spark, docs, sf_dir):
     return quality.keep_good(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality rules", keep_good)]
+def one_of_each(spark, docs, sf_dir):
+    return jaccard.one_of_each(docs)
+
+
+def mix(spark, docs, sf_dir):
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark, docs, sf_dir):
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality rules", keep_good), ("n-gram jaccard join", one_of_each), ("mixing sources", mix), ("best-fit packing", pack)]
 
 #: The trained model has no SQL form; the tests compare each stage with a plain version instead.
 ORACLE_SQL = None

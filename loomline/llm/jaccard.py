@@ -438,8 +438,12 @@ def join(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: one with its smallest id. Documents without shingles all stay. Columns as in ``docs``."""
-    found = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
+    found = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = materialise(found.groupBy("doc_id").agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows")), "kept")
     cols = [f"d.`{c}`" for c in docs.columns]
-    kept = docs.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id")).select(*cols, "_n")
-    full, empty = kept.where("_n > 0").drop("_n"), kept.where("_n = 0").drop("_n")
-    return full.dropDuplicates(["doc_id"]).unionByName(empty)
+    kept = docs.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id")).select(*cols, "_n", "_rows")
+    many = (F.col("_n") > 0) & (F.col("_rows") > 1)
+    if found.where(many).isEmpty():
+        return kept.drop("_n", "_rows")
+    # Rows that share their id: one of each component stays.
+    return kept.where(~many).unionByName(kept.where(many).dropDuplicates(["doc_id"])).drop("_n", "_rows")

@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import jaccard, language, licences, mixing, packing, quality, tokencount, topk, toxicity
+from . import jaccard, language, licences, mixing, packing, quality, quotes, tokencount, topk, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -40,6 +40,10 @@ def op8_licenses(spark, sf_dir):
     return licences.licenses(_read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op9_chat(spark, sf_dir):
+    return quotes.link(_read(spark, sf_dir, "conversations"))
+
+
 def op10_quality(spark, sf_dir):
     return quality.quality(_read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_jaccard": op7_jaccard,
     "op8_licenses": op8_licenses,
+    "op9_chat": op9_chat,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op9_chat": quotes.ORACLE}
