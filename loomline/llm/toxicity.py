@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from .common import batches, is_held_out, starts, text_slices, word_ngrams, words_of
 
 WINDOW, STRIDE, THRESHOLD = 32, 16, 0.3
-HIDDEN, WORD_DIM, CHAR_DIM, BITS, CHAR_NS = 8, 12, 12, 15, (3, 5)
+HIDDEN, WORD_DIM, CHAR_DIM, BITS, CHAR_NS = 8, 12, 12, 17, (3, 5)
+WORD_DROPOUT = 0.25
+#: Words and n-grams of fewer training texts have no vector: they could only be learnt by heart.
+MIN_TEXTS = 3
 #: Bounds of the training sample: labelled rows of each kind, and characters of a text that may be in it.
 MAX_ROWS_PER_LABEL, MAX_TRAIN_CHARS = 1500, 20_000
 
@@ -126,12 +129,15 @@ def _some(feats, seen):
     return word[seen], ids[flat], n
 
 
-def gradients(p, feats, win, y):
+def gradients(p, feats, win, y, rng):
     """Gradients of the mean logistic loss over the given windows; those of the two tables by bucket."""
     seen, back = np.unique(win.T, return_inverse=True)
     w = back.reshape(win.T.shape)
     feats = _some(feats, seen)
     table = inputs(p, feats)
+    # Rare words are easily learnt by heart: their own vectors are often left out, so characters must do.
+    out = rng.random(len(seen)) < WORD_DROPOUT
+    table[out, :WORD_DIM] = 0
     kf, kb = [], []
     pf, pb = _project(p, table)
     hf, hb = _gru(pf[w], p["Uf"], False, kf), _gru(pb[w], p["Ub"], True, kb)
@@ -160,23 +166,39 @@ def gradients(p, feats, win, y):
         gp.append(np.add.reduceat(gx.reshape(len(back), -1)[order], first, axis=0))
     g["Wf"], g["Wb"], g["bf"], g["bb"] = table.T @ gp[0], table.T @ gp[1], gp[0].sum(axis=0), gp[1].sum(axis=0)
     dx = gp[0] @ p["Wf"].T + gp[1] @ p["Wb"].T
+    dx[out, :WORD_DIM] = 0
     word, ids, n = feats
     g["Ew"] = _by_bucket(word, dx[:, :WORD_DIM])
     g["Ec"] = _by_bucket(ids, np.repeat(dx[:, WORD_DIM:] / np.maximum(1, n)[:, None], n, axis=0))
     return g
 
 
+def _in_texts(feats, codes, counts, which: int) -> np.ndarray:
+    """In how many texts each bucket of words (0) or n-grams (1) occurs."""
+    word, ids, n = feats
+    row = np.repeat(np.arange(len(counts)), counts)
+    pairs = np.unique(row * np.int64(len(word)) + codes + 1)
+    row, seen = pairs // len(word), pairs % len(word)
+    bucket = word[seen]
+    if which:
+        row = np.repeat(row, n[seen])
+        bucket = _some(feats, seen)[1]
+    pairs = np.unique(row * np.int64(1 << BITS) + bucket)
+    return np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+
+
 def _by_bucket(ids, rows):
     order = np.argsort(ids, kind="stable")
     buckets, first = np.unique(ids[order], return_index=True)
     return buckets, np.add.reduceat(rows[order], first, axis=0)
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 256, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], steps: int = 250, batch: int = 256, seed: int = 7, share: float | None = None) -> Model:
     """Fit on labelled texts.
 
     The first rounds teach windows their text's label; later ones only the window that now scores highest,
-    as a text is toxic if one of its windows is.
+    as a text is toxic if one of its windows is. ``share``: how many of all labelled texts are toxic, if the sample
+    holds another share; scores are moved to it.
     """
     m = Model.fresh(seed)
     y = np.asarray(labels, np.float32)
@@ -185,14 +207,20 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 256
     p, rng = m.p, np.random.default_rng(seed)
     codes, counts, vocabulary = words_of(pc.utf8_lower(pa.array(texts, pa.string())))
     feats = word_ngrams(vocabulary, CHAR_NS, BITS)
+    used = [_in_texts(feats, codes, counts, which) >= MIN_TEXTS for which in (0, 1)]
+    for k, ok in zip(("Ew", "Ec"), used):
+        p[k][~ok] = 0
     win, row = windows(counts, codes)
     first = starts(np.bincount(row, minlength=len(y)))[:-1]
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
+    # Small samples take more rounds and smaller batches, so that every model sees about as many steps.
+    batch = max(32, min(batch, len(y) // 8))
+    rounds = max(8, -(-steps * batch // (2 * len(y))))
     step = 0
     for rnd in range(rounds):
         table = inputs(p, feats)
-        if rnd < 3:
+        if rnd < 0.375 * rounds:
             pick = np.concatenate([first + rng.integers(0, np.bincount(row, minlength=len(y))) for _ in range(2)])
         else:
             lg = logits(p, _project(p, table), win)
@@ -201,16 +229,22 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 256
             second = order[np.minimum(first + 1, np.append(first[1:], len(row)) - 1)]
             pick = np.concatenate([top, second[y == 0]])
         pick = rng.permutation(pick)
-        rate = 0.01 if rnd < rounds - 3 else 0.003
+        rate = 0.01 if rnd < 0.625 * rounds else 0.003
         for a in range(0, len(pick), batch):
             w = pick[a : a + batch]
-            g = gradients(p, feats, win[w], y[row[w]])
+            g = gradients(p, feats, win[w], y[row[w]], rng)
             step += 1
             for k, v in g.items():
                 at, v = v if isinstance(v, tuple) else (slice(None), v)  # a bucket's moments move when it is seen
+                if k in ("Ew", "Ec"):
+                    ok = used[k == "Ec"][at]
+                    at, v = at[ok], v[ok]
                 m1[k][at] += 0.1 * (v - m1[k][at])
                 m2[k][at] += 0.01 * (v * v - m2[k][at])
                 p[k][at] -= (rate * (m1[k][at] / (1 - 0.9**step)) / (np.sqrt(m2[k][at] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    if share:
+        odds = lambda q: np.log(q / (1 - q))
+        p["b"] -= np.float32(odds(float(y.mean())) - odds(share))
     m.trained = True
     return m
 
@@ -230,6 +264,8 @@ def score_texts(model: Model, text: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MAX_ROWS_PER_LABEL) -> Model:
     """Train on at most ``rows`` labelled documents of each kind, the first by hash of the id, none held out."""
     known = labels.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = n[1] / sum(n.values()) if n.get(0) and n.get(1) else None
     ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     picked = {r.doc_id: r.y for part in ids for r in part.collect()}  # 2 * rows at most
     if not picked:
@@ -237,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MA
     spark = docs.sparkSession
     few = spark.createDataFrame(list(picked.items()), "doc_id long, y int")
     found = docs.select("doc_id", "text").where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return train([r.text for r in found], [r.y for r in found])
+    return train([r.text for r in found], [r.y for r in found], share=share)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
