@@ -7,8 +7,8 @@ fixed-size count sketch over all documents (it only orders: every order gives th
 
 1. ``measured``: each document's set size and fingerprints, and the sketch. Documents with equal sets are one node.
 2. ``candidates``: tasks collapse documents with identical prefix and size into one group and send prefix entries by
-   hash range; runs of equal shingles give candidate pairs, each group with its neighbours in order of size and with
-   its smallest, never all pairs, and the runs themselves for step 4.
+   hash range; runs of equal shingles give candidate pairs, each node with its neighbour in order of size and with the
+   run's hub, never all pairs, and the runs themselves for step 4.
 3. ``verified``: candidate pairs are compared exactly. First each node with the partner it shares most entries with,
    then pairs not yet in one component.
 4. Runs (expanded by group members) whose nodes still lie in several components yield every pair across components
@@ -244,10 +244,13 @@ def _runs(held):
     new[1:] = k[1:] != k[:-1]
     first = np.flatnonzero(new)
     length = np.diff(np.append(first, len(k)))
-    head = np.repeat(first, length)
-    inside = np.flatnonzero(~new)
-    left = np.concatenate([head[inside], (inside - 1)[inside - 1 != head[inside]]])
-    right = np.concatenate([inside, inside[inside - 1 != head[inside]]])
+    # A run's hub is the node that has its shingle earliest: few rarer shingles of its own stand before it, as in the
+    # text that near copies were made from. Every node pairs with the hub and with its neighbour in order of size.
+    run = np.repeat(np.arange(len(first)), length)
+    hub = np.repeat(np.lexsort((n, s, p, run))[first], length)
+    every, inside = np.arange(len(k)), np.flatnonzero(~new)
+    left = np.concatenate([hub[every != hub], inside - 1])
+    right = np.concatenate([every[every != hub], inside])
     ok = possible(s[left], s[right], p[left], p[right])
     a, b = np.minimum(n[left[ok]], n[right[ok]]), np.maximum(n[left[ok]], n[right[ok]])
     if len(a):
@@ -366,17 +369,28 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _across(it):
     """Rows (nodes, comps, sizes, places) into the pairs across components that pass the filters."""
+
+    def once(pairs):
+        both = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    held, n_held = [], 0
     for batch in it:
         for row in batch.to_pylist():
             nodes, comps, n, p = (np.array(row[k], np.int64) for k in ("nodes", "comps", "sizes", "places"))
             order = np.lexsort((nodes, n))
             nodes, comps, n, p = nodes[order], comps[order], n[order], p[order]
             for i in range(len(nodes) - 1):
-                stop = np.searchsorted(n, 4 * n[i] // 3, side="right")
-                j = np.arange(i + 1, stop)
-                j = j[(comps[j] != comps[i]) & possible(n[i], n[j], p[i], p[j]) & (nodes[j] != nodes[i])]
+                j = np.arange(i + 1, np.searchsorted(n, 4 * n[i] // 3, side="right"))
+                j = j[(comps[j] != comps[i]) & possible(n[i], n[j], p[i], p[j])]
                 if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j]))], names=["a", "b"])
+                    held.append(np.stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])], axis=1))
+                    n_held += len(j)
+            if n_held > 500_000:
+                yield once(held)
+                held, n_held = [], 0
+    if held:
+        yield once(held)
 
 
 def _run_pairs(cand: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
