@@ -48,11 +48,15 @@ class Model:
                       "Wa": f(2 * h, h), "va": f(h), "u": f(2 * h), "b": np.full(1, -1.0, np.float32)})
 
 
-def _char_means(table, ids, counts):
-    total = np.zeros((len(counts), table.shape[1]), np.float32)
-    full = np.flatnonzero(counts)
-    if len(full):
-        total[full] = np.add.reduceat(table[ids], starts(counts)[:-1][full], axis=0) / counts[full, None]
+def _char_means(table, ids, counts, chunk: int = 20_000):
+    """Means of the words' n-gram rows, some thousand words at a time: the rows themselves are many times their means."""
+    total, off = np.zeros((len(counts), table.shape[1]), np.float32), starts(counts)
+    for a in range(0, len(counts), chunk):
+        n = counts[a : a + chunk]
+        full = np.flatnonzero(n)
+        if len(full):
+            at = off[a : a + len(n)]
+            total[a + full] = np.add.reduceat(table[ids[at[0] : off[a + len(n)]]], (at - at[0])[full], axis=0) / n[full, None]
     return total
 
 
@@ -173,18 +177,21 @@ def gradients(p, feats, win, y, rng):
     return g
 
 
-def _in_texts(feats, codes, counts, which: int) -> np.ndarray:
+def _in_texts(feats, codes, counts, which: int, chunk: int = 100) -> np.ndarray:
     """In how many texts each bucket of words (0) or n-grams (1) occurs."""
-    word, ids, n = feats
-    row = np.repeat(np.arange(len(counts)), counts)
-    pairs = np.unique(row * np.int64(len(word)) + codes + 1)
-    row, seen = pairs // len(word), pairs % len(word)
-    bucket = word[seen]
-    if which:
-        row = np.repeat(row, n[seen])
-        bucket = _some(feats, seen)[1]
-    pairs = np.unique(row * np.int64(1 << BITS) + bucket)
-    return np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+    word, n = feats[0], feats[2]
+    off, total = starts(counts), np.zeros(1 << BITS, np.int64)
+    for a in range(0, len(counts), chunk):
+        part = counts[a : a + chunk]
+        pairs = np.unique(np.repeat(np.arange(len(part)), part) * np.int64(len(word)) + codes[off[a] : off[a + len(part)]] + 1)
+        row, seen = pairs // len(word), pairs % len(word)
+        if which:
+            row, bucket = np.repeat(row, n[seen]), _some(feats, seen)[1]
+        else:
+            bucket = word[seen]
+        pairs = np.unique(row * np.int64(1 << BITS) + bucket)
+        total += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+    return total
 
 
 def _by_bucket(ids, rows):
