@@ -94,7 +94,15 @@ def drop_repetitive_lines(c) -> Column:
     return F.when(F.size(bad) == 0, c).otherwise(F.array_join(F.filter(lines(c), lambda x: ~F.array_contains(bad, x)), "\n"))
 
 
-@F.pandas_udf("string")
+def arrow_function(kind: str):
+    """A pandas UDF made on use: its type is parsed by the running session, and import must not need one."""
+    def make(f):
+        return lambda *columns: F.pandas_udf(f, kind)(*columns)
+
+    return make
+
+
+@arrow_function("string")
 def _nfkc(s: pd.Series) -> pd.Series:
     import unicodedata
 

@@ -34,7 +34,7 @@ def by_priority(manifest: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-@F.pandas_udf("struct<text:string,encoding:string>")
+@T.arrow_function("struct<text:string,encoding:string>")
 def _decoded(content: pd.Series) -> pd.DataFrame:
     def one(b):
         if b is None:
@@ -49,7 +49,7 @@ def _decoded(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(b) for b in content], columns=["text", "encoding"])
 
 
-@F.pandas_udf("struct<text:string,json_keys:array<string>,json_structure:string>")
+@T.arrow_function("struct<text:string,json_keys:array<string>,json_structure:string>")
 def _pretty_json(content: pd.Series) -> pd.DataFrame:
     import json
 
@@ -63,7 +63,7 @@ def _pretty_json(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(b) for b in content], columns=["text", "json_keys", "json_structure"])
 
 
-@F.pandas_udf("struct<text:string,title:string,sections:array<struct<title:string,style:string>>,tables:array<array<array<string>>>>")
+@T.arrow_function("struct<text:string,title:string,sections:array<struct<title:string,style:string>>,tables:array<array<array<string>>>>")
 def _docx(content: pd.Series) -> pd.DataFrame:
     """Paragraphs, headings and tables of office documents, by the standard library alone."""
     import io
@@ -95,7 +95,7 @@ def _docx(content: pd.Series) -> pd.DataFrame:
 
 
 def _pdf_pages(placeholders: bool):
-    @F.pandas_udf("array<string>")
+    @T.arrow_function("array<string>")
     def pages(content: pd.Series) -> pd.Series:
         try:
             from pypdf import PdfReader
