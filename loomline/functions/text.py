@@ -80,18 +80,28 @@ def mask(c) -> Column:
     return F.array_join(F.filter(lines(c), lambda x: (F.length(x) > 10) | (x == "")), "\n")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once: a lambda's variable, where a column would be worked out at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def repetitive_lines(c, least: int = 3) -> Column:
     """The distinct lines of 11 to 99 characters that occur ``least`` times or more."""
     some = F.filter(lines(c), lambda x: (F.length(x) > 10) & (F.length(x) < 100))
-    ordered = F.array_sort(some)
-    # In a sorted array a line is ``least``-fold where it equals the one ``least - 1`` places before.
-    shifted = F.slice(ordered, least, F.greatest(F.size(ordered), F.lit(1)))
-    return F.array_distinct(F.filter(F.zip_with(ordered, shifted, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+
+    def found(ordered):
+        # In a sorted array a line is ``least``-fold where it equals the one ``least - 1`` places before.
+        shifted = F.slice(ordered, least, F.greatest(F.size(ordered), F.lit(1)))
+        return F.array_distinct(F.filter(F.zip_with(ordered, shifted, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+
+    return let(F.array_sort(some), found)
 
 
 def drop_repetitive_lines(c) -> Column:
-    bad = repetitive_lines(c)
-    return F.when(F.size(bad) == 0, c).otherwise(F.array_join(F.filter(lines(c), lambda x: ~F.array_contains(bad, x)), "\n"))
+    def kept(t):
+        return let(repetitive_lines(t), lambda bad: F.when(F.size(bad) == 0, t).otherwise(F.array_join(F.filter(lines(t), lambda x: ~F.array_contains(bad, x)), "\n")))
+
+    return let(c, kept)
 
 
 def arrow_function(kind: str):

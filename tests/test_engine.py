@@ -54,9 +54,9 @@ def test_scan_and_load(spark, folder):
 
 def test_indexing_writes_artefacts(spark, folder, tmp_path):
     s = Indexing(strategy="semantic").run(spark, folder, str(tmp_path)).first()
-    assert s.total_chunks == spark.read.parquet(f"{tmp_path}/chunks").count() == 6
-    assert spark.read.json(f"{tmp_path}/metadata").first()["statistics"]["total_chunks"] == 6
-    assert spark.read.parquet(f"{tmp_path}/retrieval_index").where("id rlike '^[0-9a-f]{8}_[0-9]+$'").count() == 6
+    assert s.total_chunks == spark.read.parquet(f"{tmp_path}/chunks").count() == 7
+    assert spark.read.json(f"{tmp_path}/metadata").first()["statistics"]["total_chunks"] == 7
+    assert spark.read.parquet(f"{tmp_path}/retrieval_index").where("id rlike '^[0-9a-f]{8}_[0-9]+$'").count() == 7
     assert Indexing(limit=2).documents(spark, folder).count() == 2
 
 
@@ -103,7 +103,7 @@ def test_search_edges(spark):
 
 def test_answering(spark):
     chunks = spark.createDataFrame([("the red fox runs", "a.txt", 0), ("blue whales swim deep", "b.txt", 1)], "content string, file_name string, chunk_index int")
-    a = Answering(vectors.store(chunks, vectors.hashing_embedding(64)), embed=vectors.hashing_embedding(64), threshold=0.3)
+    a = Answering(vectors.store(chunks, vectors.hashing_embedding(1024)), embed=vectors.hashing_embedding(1024), threshold=0.3)
     r = a.answer("red fox")
     assert "the red fox runs" in r.answer and r.sources[0]["metadata"]["file_name"] == "a.txt" and 0.3 <= r.confidence <= 1
     assert a.answer("zzz qqq").answer == NOTHING_FOUND
