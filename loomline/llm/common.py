@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zlib
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Bytes of text worked on at once inside a task, whatever the size of the Arrow batch.
 SLICE_BYTES = 6 << 20
 _made: dict[str, str] = {}
+_tables: dict[str, set[str]] = {}
+_older: dict[str, set[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -43,16 +46,47 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage ends in files that outlive any executor."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: lineage ends in files that outlive any executor.
+
+    ``keep``: the table is not among those that ``new_stage`` deletes.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if not keep:
+        _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
+def free(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing to come reads, and let Spark drop the shuffle files of finished plans."""
+    spark = None
+    for t in tables:
+        spark = t.sparkSession
+        _tables.get(spark.sparkContext.applicationId, set()).discard(t._scratch)
+        delete(spark, t._scratch)
+    release(spark)
+
+
+def release(spark: SparkSession | None) -> None:
+    """Spark deletes a shuffle's files once the driver has collected the plan that made them."""
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def new_stage(spark: SparkSession) -> None:
+    """Delete the tables of stages before the last one: results of those have been written and read again by now."""
+    key = spark.sparkContext.applicationId
+    for path in _older.pop(key, set()):
+        delete(spark, path)
+    _older[key] = _tables.pop(key, set())
+    release(spark)
+
+
 def is_held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2; a null id counts as not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -120,13 +154,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_ngrams(words: pa.Array, sizes: tuple, bits: int):
+def word_ngrams(words: pa.Array, sizes: tuple, bits: int, chunk: int = 50_000):
     """Of each word: its bucket, the buckets of its n-grams (UTF-8 bytes of ``^word$``, flat), n-grams per word.
 
     Word 0 is an empty one, put before the given words.
     """
-    joined = pc.binary_join_element_wise("^", words.cast(pa.string()), "$", "")
-    data, off = utf8(pa.concat_arrays([pa.array(["^$"]), joined]) if len(words) else pa.array(["^$"]))
+    joined = pa.concat_arrays([pa.array(["^$"]), pc.binary_join_element_wise("^", words.cast(pa.string()), "$", "")]) if len(words) else pa.array(["^$"])
+    parts = [_ngrams(joined.slice(a, chunk), sizes, bits) for a in range(0, len(joined), chunk)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _ngrams(joined: pa.Array, sizes: tuple, bits: int):
+    data, off = utf8(joined)
     n = len(off) - 1
     b = data.astype(np.uint64) + np.uint64(1)
     owner = np.repeat(np.arange(n), np.diff(off))
@@ -149,7 +188,7 @@ def word_ngrams(words: pa.Array, sizes: tuple, bits: int):
         owners.append(owner[ok])
     ids, owners = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
     order = np.argsort(owners, kind="stable")
-    return word, ids[order], np.bincount(owners, minlength=n)
+    return word, ids[order].astype(np.int32), np.bincount(owners, minlength=n)
 
 
 def crc(data: bytes) -> int:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, starts, text_slices, words_of
+from .common import free, materialise, mix64, release, starts, text_slices, words_of
 
 WORDS, SKETCH_BITS, SEGMENTS = 5, 20, 64
 #: Entries that one hash range holds, about, and bits of the filter for candidates' texts.
@@ -356,7 +356,9 @@ def components(links: DataFrame) -> DataFrame:
         # Settled when every node has one edge and no node that others point to points on.
         if after.groupBy("u").count().where("count > 1").isEmpty() and after.alias("p").join(after.alias("q"), F.col("p.v") == F.col("q.u"), "left_semi").isEmpty():
             break
+        free(edges)
         edges = after
+    free(edges)
     return after.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -427,23 +429,29 @@ def join(docs: DataFrame) -> DataFrame:
     parts = 1 + (table.where("seg is not null").agg(F.max("part")).first()[0] or 0)
     sketch = merged(table.where("seg is not null").select("seg", "part", "data"), parts, 1 << SKETCH_BITS, np.add)
     cand = candidates(docs, sketch, max(1, -(-sums["entries"] // 4 // RANGE_ENTRIES)) * 4, seed)
+    release(docs.sparkSession)
     pairs = materialise(cand.where("a is not null").groupBy("a", "b").agg(F.sum("n_shared").alias("w")), "pairs")
     members = cand.where("nodes is not null and size(nodes) = 2").select(F.col("nodes")[0].alias("rep"), F.col("nodes")[1].alias("node"), F.col("sizes")[0].alias("size")).distinct()
     named = cand.select(F.explode(F.coalesce("nodes", F.array("a", "b"))).alias("node")).distinct()
     wanted = materialise(nodes.join(named, "node", "left_semi").select("node", "th"), "wanted")
     bodies = texts_of(docs, wanted, seed)
+    free(wanted)
 
     # Each node with its closest partner first: that settles most groups of near copies.
     ends = pairs.select(F.col("a").alias("u"), "a", "b", "w").unionByName(pairs.select(F.col("b").alias("u"), "a", "b", "w"))
     best = ends.groupBy("u").agg(F.max_by(F.struct("a", "b"), F.struct("w", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
     done = verified(best, bodies)
+    release(docs.sparkSession)
     comp = materialise(components(done.where("linked")), "components")
     more = verified(_apart(pairs.select("a", "b"), comp).join(done, ["a", "b"], "left_anti"), bodies)
+    used = [comp, done, more, pairs, cand, bodies]
     done = done.unionByName(more)
     comp = materialise(components(done.where("linked")), "components")
     last = verified(_run_pairs(cand, comp, members).join(done, ["a", "b"], "left_anti"), bodies)
     if not last.where("linked").isEmpty():
+        used.append(comp)
         comp = materialise(components(done.unionByName(last).where("linked")), "components")
+    free(*used, last)
 
     labelled = rows.join(comp, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     least = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -61,6 +61,11 @@ def lines_of(text: pa.Array):
     return coded.indices.to_numpy().astype(np.int64), np.diff(off), coded.dictionary
 
 
+def _line_hash(line: str) -> int:
+    h = xxhash.xxh3_64_intdigest(" ".join(line.lower().split()))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def measure(text: pa.Array) -> dict:
     """The base counts of each text, and its distinct normalised lines: hashes and words they hold there."""
     codes, counts, vocabulary = words_of(text)
@@ -76,7 +81,7 @@ def measure(text: pa.Array) -> dict:
     full = words > 0
     _, first = np.unique(row[full] * np.int64(len(lines) + 1) + lc[full], return_index=True)
     out["n_dup_lines"] = np.bincount(row[full], minlength=len(ln)) - np.bincount(row[full][first], minlength=len(ln))
-    hashed = np.array([xxhash.xxh3_64_intdigest(" ".join(x.lower().split())) for x in lines.to_pylist()], np.uint64).view(np.int64)
+    hashed = np.array([_line_hash(x) for x in lines.to_pylist()], np.int64)
     h = hashed[lc[full]]
     order = np.lexsort((h, row[full]))
     r, h, w = row[full][order], h[order], words[full][order]
@@ -114,7 +119,7 @@ def judge(docs: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_SHARE
     """(judged rows, frequent lines): one row a document with its counts, lost words and verdicts."""
     scanned = materialise(scan(docs), "quality")
     bad = materialise(frequent_lines(scanned, least, share), "lines")
-    gone = scanned.select("rid", "host", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select("rid", "host", F.col("x.hs").alias("h"), F.col("x.ws").alias("w")).join(bad, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("lost_words"))
+    gone = scanned.select("rid", "host", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select("rid", "host", F.col("x.hs").alias("h"), F.col("x.ws").alias("w")).join(bad, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("lost_words"), F.collect_list("h").alias("lost_lines"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = scanned.drop("hs", "ws").join(gone, "rid", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
     judged = judged.withColumn("base_failed", failed).withColumn("depleted", F.col("lost_words") > lost * F.col("n_words"))
@@ -126,33 +131,32 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The kept documents without their host's frequent lines; n_chars follows. Columns as in ``docs``."""
-    judged, bad = judge(docs)
-    verdict = judged.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("host").alias("_host"), F.col("th").alias("_th")).agg(F.bool_and("kept").alias("_kept"), F.max("lost_words").alias("_lost"))
+    """The kept documents without their host's frequent lines; n_chars follows. Columns as in ``docs``.
+
+    The texts move once, to meet their verdicts; a verdict brings the hashes of the lines that go.
+    """
+    judged, _ = judge(docs)
+    verdict = judged.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("host").alias("_host"), F.col("th").alias("_th")).agg(F.bool_and("kept").alias("_kept"), F.first("lost_lines", ignorenulls=True).alias("_lost"))
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_host": F.coalesce("source", F.lit(NO_HOST)), "_th": F.xxhash64("text")})
-    schema = docs.schema
-    good = materialise(keyed.join(verdict.where("_kept"), ["_id", "_host", "_th"]).withColumn("_rid", F.monotonically_increasing_id()), "good")
-    clean = good.where("_lost = 0").select(*[f"`{c}`" for c in docs.columns])
-    # Only documents that hold a frequent line meet the line table; their lines come from their own text.
-    lined = good.where("_lost > 0")
-    dropped = _line_hashes(lined).join(bad.select(F.col("host").alias("_host"), "h"), ["_host", "h"], "left_semi").groupBy("_rid").agg(F.collect_set("pos").alias("_drop"))
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    cut = lined.join(dropped, "_rid").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return clean.unionByName(cut.select(*[f"`{c}`" for c in docs.columns]))
-
-
-def _line_hashes(lined: DataFrame) -> DataFrame:
-    """_rid, _host, pos, h of every line with a word; the hash is that of ``measure``."""
+    good = keyed.join(verdict.where("_kept"), ["_id", "_host", "_th"]).select(*[f"`{c}`" for c in docs.columns], "_lost")
+    text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(it):
         for batch in it:
             for part in text_slices(batch):
-                lc, ln, lines = lines_of(part.column("text"))
-                hashed = np.array([xxhash.xxh3_64_intdigest(" ".join(x.lower().split())) for x in lines.to_pylist()], np.uint64).view(np.int64)
-                row = np.repeat(np.arange(len(ln)), ln)
-                pos = np.arange(len(row)) - np.repeat(starts(ln)[:-1], ln)
-                yield pa.RecordBatch.from_arrays([part.column("_rid").take(pa.array(row)), part.column("_host").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(hashed[lc])], names=["_rid", "_host", "pos", "h"])
-
-    return batches(lined, "_rid", "_host", "text").mapInArrow(run, "_rid long, _host string, pos int, h long")
+                cols = [part.column(i) for i in range(part.num_columns - 1)]
+                text, lost = cols[text_at].to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                changed = [i for i, x in enumerate(lost) if x]
+                for i in changed:
+                    gone = set(lost[i])
+                    text[i] = "\n".join(x for x in text[i].split("\n") if not (x.strip(" \t\n\x0b\x0c\r") and _line_hash(x) in gone))
+                if changed:
+                    cols[text_at] = pa.array(text, cols[text_at].type)
+                    if chars_at is not None:
+                        size = cols[chars_at].to_pylist()
+                        for i in changed:
+                            size[i] = len(text[i])
+                        cols[chars_at] = pa.array(size, cols[chars_at].type)
+                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-1])
+
+    return good.mapInArrow(run, docs.schema)

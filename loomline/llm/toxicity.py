@@ -26,7 +26,7 @@ WORD_DROPOUT = 0.25
 #: Words and n-grams of fewer training texts have no vector: they could only be learnt by heart.
 MIN_TEXTS = 3
 #: Bounds of the training sample: labelled rows of each kind, and characters of a text that may be in it.
-MAX_ROWS_PER_LABEL, MAX_TRAIN_CHARS = 1500, 20_000
+MAX_ROWS_PER_LABEL, MAX_TRAIN_CHARS = 1500, 12_000
 
 
 def _sigmoid(x):
@@ -200,7 +200,20 @@ def _by_bucket(ids, rows):
     return buckets, np.add.reduceat(rows[order], first, axis=0)
 
 
-def train(texts: list[str], labels: list[int], steps: int = 250, batch: int = 256, seed: int = 7, share: float | None = None) -> Model:
+def train(texts: list[str], labels: list[int], share: float | None = None, restarts: int = 3, small: int = 1000) -> Model:
+    """The best of ``restarts`` models by loss over the sample, where the sample is under ``small`` texts; else one."""
+    y, best = np.asarray(labels), (np.inf, None)
+    for seed in range(7, 7 + (restarts if len(y) < small else 1)):
+        m = train_once(texts, labels, seed=seed, share=share)
+        if len(y) >= small or not m.trained:
+            return m
+        q = np.clip(score_texts(m, pa.array(texts, pa.string())), 1e-6, 1 - 1e-6)
+        loss = -np.log(np.where(y == 1, q, 1 - q))
+        best = min(best, (loss[y == 1].mean() + loss[y == 0].mean(), m), key=lambda x: x[0])
+    return best[1]
+
+
+def train_once(texts: list[str], labels: list[int], steps: int = 250, batch: int = 256, seed: int = 7, share: float | None = None) -> Model:
     """Fit on labelled texts.
 
     The first rounds teach windows their text's label; later ones only the window that now scores highest,
