@@ -131,3 +131,34 @@ def test_stream_ingest(spark, tmp_path):
 def test_windowed_counts(spark):
     d = spark.sql("select timestamp'2024-01-01 00:01:00' ts, 's' source, 'abcdefgh' text")
     assert ingest.counts_by_source(d).first()["tokens"] == 2
+
+
+def test_preprocessing(spark, folder, tmp_path):
+    from loomline.plans.preprocess import Preprocessing
+
+    t = Preprocessing().run(spark, folder, str(tmp_path)).first()
+    meta = spark.read.json(f"{tmp_path}/metadata").orderBy("place").collect()
+    assert t.total_documents == len(meta) == 6 and [r.place for r in meta] == list(range(1, 7)) and t.total_images == 1
+    assert [r.words for r in meta] == sorted((r.words for r in meta), reverse=True)
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/consolidated").collect())
+    assert "DOCUMENTO 1: " in text and "[Fine documento 6]" in text and "Title" in {r.title for r in meta}
+
+
+def test_imports_need_no_session():
+    import subprocess
+    import sys
+
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=files.__file__.rsplit("/loomline/", 1)[0]).returncode == 0
+
+
+def test_rest_stands_without_the_optional_part(tmp_path):
+    """With the llm folders and the pipeline gone, the entry point still imports and keeps the engine's queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = files.__file__.rsplit("/loomline/", 1)[0]
+    shutil.copytree(f"{root}/loomline", tmp_path / "loomline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0
