@@ -162,3 +162,23 @@ def test_rest_stands_without_the_optional_part(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0
+
+
+def test_artefact_sinks(spark, tmp_path):
+    c = spark.createDataFrame([(1, 0, "plain text", 2, False, [], False), (1, 1, "x" * 400, 100, True, ["[IMMAGINE_i]", "[TABELLA_q]"], False)], "doc_id long, chunk_index int, content string, token_count int, has_multimodal boolean, multimodal_refs array<string>, is_table_chunk boolean")
+    e = spark.createDataFrame([(1, "i", "image"), (2, "q", "table")], "doc_id long, element_id string, element_type string")
+    m = sinks.element_manifest(c, e).collect()
+    assert len(m) == 1 and m[0].images == ["i"] and m[0].tables == []
+    x = {r.chunk_index: r.example for r in sinks.examples(c).collect()}
+    assert x[0] == "plain text" and x[1] == "x" * 300 + "..."
+    s = vectors.store(c.select("content", "chunk_index"), vectors.hashing_embedding(8))
+    vectors.write_collection(s, str(tmp_path / "v"), reset=True)
+    vectors.write_collection(s, str(tmp_path / "v"))
+    back = vectors.open_collection(spark, str(tmp_path / "v"))
+    assert back.count() == 4 and back.select("id").distinct().count() == 2
+    sinks.write_export(back, str(tmp_path / "x"))
+    assert set(spark.read.json(str(tmp_path / "x")).columns) == {"id", "text", "metadata"}
+    sinks.write_images(spark.createDataFrame([(1, "i", "aGk=")], "doc_id long, image_id string, data string"), str(tmp_path / "i"))
+    assert bytes(spark.read.parquet(str(tmp_path / "i")).first()["data"]) == b"hi"
+    sinks.write_chunks(c, str(tmp_path / "c"), json=True)
+    assert spark.read.json(str(tmp_path / "c_json")).count() == 2
