@@ -469,3 +469,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return kept.drop("_n", "_rows")
     # Rows that share their id: one of each component stays.
     return kept.where(~many).unionByName(kept.where(many).dropDuplicates(["doc_id"])).drop("_n", "_rows")
+
+
+#: DuckDB's version of ``join`` over ``documents``: every pair that shares a shingle is counted.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as l from documents),
+s as (select doc_id, list_distinct(case when len(l) = 0 then [] when len(l) < 5 then [array_to_string(l, ' ')] else list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i : i + 4], ' ')) end) as sh from w),
+e as (select doc_id, unnest(sh) as h from s),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as shared from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join s a on a.doc_id = x join s b on b.doc_id = y where 100 * shared >= 75 * (len(a.sh) + len(b.sh) - shared)),
+edge as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id as c from s union select edge.x, reach.c from reach join edge on edge.y = reach.doc_id)
+select s.doc_id, len(s.sh)::bigint as n_shingles, min(reach.c) as component_id from s join reach on reach.doc_id = s.doc_id group by s.doc_id, len(s.sh)
+"""

@@ -60,4 +60,4 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op9_chat": quotes.ORACLE}
+ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op7_jaccard": jaccard.ORACLE, "op9_chat": quotes.ORACLE, "op10_quality": quality.ORACLE}
