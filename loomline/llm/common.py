@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once inside a task, whatever the size of the Arrow batch.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 _made: dict[str, str] = {}
 _tables: dict[str, set[str]] = {}
 _older: dict[str, set[str]] = {}
@@ -87,6 +87,21 @@ def new_stage(spark: SparkSession) -> None:
     release(spark)
 
 
+def trained_in_task(sample: DataFrame, label: str, train):
+    """``train(texts, labels)`` of a bounded sample (doc_id, text, label), run by one task; what it returns, unpickled.
+
+    The driver holds neither the texts nor the arrays of the training, and a lost executor costs one rerun. Rows come
+    in order of id, so reruns agree. ``train`` returns plain containers and arrays.
+    """
+    import pickle
+
+    def run(it):
+        rows = sorted((i, t, y) for b in it for i, t, y in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", label))))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
+
+    return pickle.loads(bytes(sample.select("doc_id", "text", label).repartition(1).mapInArrow(run, "model binary").first()["model"]))
+
+
 def is_held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2; a null id counts as not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -102,6 +117,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     cuts = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # Python workers live on beside those of later stages
 
 
 def batches(df: DataFrame, *columns: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, is_held_out, starts, text_slices, word_ngrams, words_of
+from .common import batches, is_held_out, starts, text_slices, trained_in_task, word_ngrams, words_of
 
 # ISO 639-1 codes by family.
 FAMILIES = {
@@ -186,8 +186,8 @@ def fit(docs: DataFrame, rows: int = MAX_ROWS_PER_LANG, total: int = MAX_ROWS) -
     if not picked:
         return Model()
     few = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string")
-    found = known.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return train([r.text for r in found], [r.lang for r in found])
+    found = known.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return Model(**trained_in_task(found, "lang", lambda texts, y: dict(vars(train(texts, y)))))
 
 
 def language(docs: DataFrame, model: Model | None = None) -> DataFrame:

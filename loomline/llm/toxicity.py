@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, is_held_out, starts, text_slices, word_ngrams, words_of
+from .common import batches, is_held_out, starts, text_slices, trained_in_task, word_ngrams, words_of
 
 WINDOW, STRIDE, THRESHOLD = 32, 16, 0.3
 HIDDEN, WORD_DIM, CHAR_DIM, BITS, CHAR_NS = 8, 12, 12, 17, (3, 5)
@@ -292,8 +292,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MA
         return Model.fresh()
     spark = docs.sparkSession
     few = spark.createDataFrame(list(picked.items()), "doc_id long, y int")
-    found = docs.select("doc_id", "text").where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return train([r.text for r in found], [r.y for r in found], share=share)
+    found = docs.select("doc_id", "text").where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+    def fitted(texts, y):
+        m = train(texts, y, share=share)
+        return m.p, m.trained
+
+    return Model(*trained_in_task(found, "y", fitted))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
