@@ -459,7 +459,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component: one with its smallest id. Documents without shingles all stay. Columns as in ``docs``."""
+    """One row of each component: one with its smallest id. Documents without shingles all stay. Columns as in ``docs``.
+
+    Rows that share an id are taken as one document: if it stays, one of its rows with shingles does.
+    """
     found = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     found = materialise(found.groupBy("doc_id").agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows")), "kept")
     cols = [f"d.`{c}`" for c in docs.columns]
