@@ -353,8 +353,11 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = materialise(small, "edges")
-        # Settled when every node has one edge and no node that others point to points on.
-        if after.groupBy("u").count().where("count > 1").isEmpty() and after.alias("p").join(after.alias("q"), F.col("p.v") == F.col("q.u"), "left_semi").isEmpty():
+        # Settled when every node has one edge and no node that others point to points on; one query tells, as the
+        # driver remembers every query it has run.
+        several = after.groupBy("u").count().where("count > 1").select("u")
+        onward = after.alias("p").join(after.alias("q"), F.col("p.v") == F.col("q.u"), "left_semi").select("u")
+        if several.unionByName(onward).isEmpty():
             break
         free(edges)
         edges = after
