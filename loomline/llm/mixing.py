@@ -8,7 +8,9 @@ documents in hash order, cut into blocks of equal words. A source's blocks are u
 at most ``MOST`` times.
 
 Prefix sums run in two levels (within hash buckets, then over them), so no source, however hot, is sorted in one
-task. The number of slots is at most ``SLOTS``, whatever the input: a block grows with it.
+task. The number of slots is at most ``SLOTS``, whatever the input: a block grows with it. A source of fewer than
+``LEAST`` such blocks would miss its target by too much, so it is taken by words: in whole rounds, and the rest of its
+target from the start of its order.
 
 Defined cases: a null text has size 0 and is not taken; a null source is a source of its own, the last; null and
 repeated ids are rows like others; an empty table, or one without words, takes nothing. Extra columns are ignored.
@@ -22,6 +24,8 @@ from .common import materialise
 
 MOST, SLOTS, GOLDEN, ROUND = 3, 1 << 20, 2654435769, 1 << 32
 BUCKETS = 1024
+#: Blocks of more than one word that a source must have to be taken by blocks.
+LEAST = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,21 +74,24 @@ def mix(docs: DataFrame, most: int = MOST, slots: int = SLOTS) -> DataFrame:
     goals = materialise(targets(sized, most), "targets")
     total = (goals.agg(F.max("total")).first()[0] or 0)
     block = max(1, -(-total // slots))
-    per_source = goals.withColumn("blocks", F.ceil(F.col("source_size") / block))
+    per_source = goals.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("by_words", F.lit(block > 1) & (F.col("blocks") < LEAST))
+    per_source = per_source.withColumn("rounds", F.floor(F.floor("target") / F.greatest("source_size", F.lit(1)))).withColumn("rest", F.floor("target") - F.col("rounds") * F.col("source_size"))
     # Where each document starts in its source's order.
     order = Window.partitionBy("src", "bucket").orderBy("place", "doc_id", "size")
     sums = sized.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")).drop("n")
     laid = sized.withColumn("inner", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).join(sums, ["src", "bucket"])
     laid = laid.withColumn("start", F.col("inner") + F.col("base")).withColumn("row", F.struct("place", "start", "doc_id"))
+    laid = laid.join(per_source.select("src", "by_words", "rounds", "rest"), "src")
     # How often the schedule takes each block.
-    given = schedule(spark, total // block, goals).join(per_source.select("src", "blocks"), "src").where(F.col("rank") < most * F.col("blocks"))
+    given = schedule(spark, total // block, per_source.where("not by_words")).join(per_source.select("src", "blocks"), "src").where(F.col("rank") < most * F.col("blocks"))
     uses = given.groupBy("src", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
-    touched = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+    touched = laid.where("size > 0 and not by_words").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     taken = touched.join(uses, ["src", "block"], "left").groupBy("src", "doc_id", "size", "start").agg(F.sum(words * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
-    none = laid.where("size = 0").select("src", "doc_id", "size", "start", F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).join(goals.select("src", "source_size", "target"), "src").select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("src") != "t", F.substring("src", 2, 1 << 30)).alias("source"))
+    part = F.greatest(F.least(F.col("start") + F.col("size"), F.col("rest")) - F.col("start"), F.lit(0))
+    others = laid.where("size = 0 or by_words").select("src", "doc_id", "size", "start", F.when(F.col("by_words"), F.col("rounds") * F.col("size") + part).otherwise(0).cast("long").alias("taken"))
+    return taken.unionByName(others).join(goals.select("src", "source_size", "target"), "src").select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("src") != "t", F.substring("src", 2, 1 << 30)).alias("source"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -131,3 +131,16 @@ def test_mixed_documents_follow_the_mix(spark):
     got = Counter(r.doc_id for r in mixing.mixed_documents(d).select("doc_id").collect())
     want = {r.doc_id: n for r in mixing.mix(d).collect() if (n := math.floor(r.taken / max(1, r.size) + 0.5))}
     assert got == want and mixing.mixed_documents(d).schema == d.schema
+
+
+@pytest.mark.parametrize("slots", [1 << 20, 1000, 20])
+def test_mixing_reaches_small_sources(spark, slots):
+    # Blocks of 1, about 170 and about 8,350 words: sources of 1,000 words or fewer lie under a block at the last.
+    sizes = {"a": 1000, "b": 6000, "c": 100000, "d": 30000, "e": 30000, "f": 7}
+    rows = [(1000 * k + i, "w " * (n // 5 if n >= 5 * 200 or i else 1), s) for k, (s, n) in enumerate(sizes.items()) for i in range(5)]
+    got = defaultdict(list)
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=slots).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        got[r.source].append(r)
+    for held in got.values():
+        assert abs(sum(r.taken for r in held) - held[0].target) <= 3
