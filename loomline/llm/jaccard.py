@@ -416,8 +416,8 @@ def _run_pairs(cand: DataFrame, comp: DataFrame, members: DataFrame) -> DataFram
     return arrays.mapInArrow(_across, "a long, b long").distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, th (the text's hash), n (shingles), comp (null without shingles) of every document."""
     seed = 0
     while True:
         table = measured(docs, seed)
@@ -428,7 +428,7 @@ def join(docs: DataFrame) -> DataFrame:
             break
         seed += 1  # two different sets with one 64-bit name: name them anew
     if not sums["entries"]:
-        return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return rows.select("doc_id", "th", "n", F.lit(None).cast("long").alias("comp"))
     parts = 1 + (table.where("seg is not null").agg(F.max("part")).first()[0] or 0)
     sketch = merged(table.where("seg is not null").select("seg", "part", "data"), parts, 1 << SKETCH_BITS, np.add)
     cand = candidates(docs, sketch, max(1, -(-sums["entries"] // 4 // RANGE_ENTRIES)) * 4, seed)
@@ -456,25 +456,32 @@ def join(docs: DataFrame) -> DataFrame:
         comp = materialise(components(done.unionByName(last).where("linked")), "components")
     free(*used, last)
 
-    labelled = rows.join(comp, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
-    least = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(comp, "node", "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    found = labelled(docs)
+    least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: one with its smallest id. Documents without shingles all stay. Columns as in ``docs``.
 
-    Rows that share an id are taken as one document: if it stays, one of its rows with shingles does.
+    Rows go by id and text: those that share an id, or have none, are as many documents as they have texts. A null id
+    stands for its component only where no other row does.
     """
-    found = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = materialise(found.groupBy("doc_id").agg(F.max("n_shingles").alias("_n"), F.count("*").alias("_rows")), "kept")
+    found = labelled(docs).groupBy("comp", "doc_id", "th").agg(F.count("*").alias("rows"))
+    first = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rows")).alias("x"))
+    picked = first.select("x.doc_id", "x.th", (F.col("x.rows") > 1).alias("_many"))
+    picked = materialise(picked.unionByName(found.where("comp is null").select("doc_id", "th", F.lit(False).alias("_many"))), "kept")
     cols = [f"d.`{c}`" for c in docs.columns]
-    kept = docs.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id")).select(*cols, "_n", "_rows")
-    many = (F.col("_n") > 0) & (F.col("_rows") > 1)
-    if found.where(many).isEmpty():
-        return kept.drop("_n", "_rows")
-    # Rows that share their id: one of each component stays.
-    return kept.where(~many).unionByName(kept.where(many).dropDuplicates(["doc_id"])).drop("_n", "_rows")
+    kept = docs.alias("d").join(picked.alias("f"), F.expr("d.doc_id <=> f.doc_id and xxhash64(d.text) = f.th")).select(*cols, "_many")
+    if picked.where("_many").isEmpty():
+        return kept.drop("_many")
+    # Rows that repeat both id and text: one of them stays.
+    return kept.where("not _many").unionByName(kept.where("_many").dropDuplicates(["doc_id", "text"])).drop("_many")
 
 
 #: DuckDB's version of ``join`` over ``documents``: every pair that shares a shingle is counted.

@@ -79,6 +79,15 @@ def test_one_of_each(spark):
     assert jaccard.one_of_each(d).schema == d.schema
 
 
+def test_one_of_each_by_text(spark):
+    # Several null ids and one id over texts of different components; copies of one of them under other ids.
+    x, y, z = "a b c d e f", "other words stand here now", "yet another text of some words"
+    rows = [(None, x), (None, x), (None, y), (None, "alone"), (None, None), (None, None), (7, y), (7, z), (7, "p q"), (7, "p q"), (7, ""), (8, z), (4, z.upper()), (7, z.upper())]
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, component_id int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(d).collect()), key=repr)
+    assert got == sorted([(None, x), (None, "alone"), (None, None), (None, None), (7, y), (7, "p q"), (7, ""), (4, z.upper())], key=repr)
+
+
 def brute(rows, k, every):
     import math
 
