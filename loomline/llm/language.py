@@ -175,18 +175,21 @@ def decide(m: Model, text: pa.Array):
 
 
 def fit(docs: DataFrame, rows: int = MAX_ROWS_PER_LANG, total: int = MAX_ROWS) -> Model:
-    """Train on the first rows of each language by hash of the id, none held out."""
-    known = docs.select("doc_id", "lang", "text").where(~is_held_out() & F.col("lang").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
+    """Train on the first rows of each language by hash of the id, none held out.
+
+    Texts over ``MAX_TRAIN_CHARS`` come in, by their start, only where a language has too few others.
+    """
+    known = docs.select("doc_id", "lang", F.substring("text", 1, MAX_TRAIN_CHARS).alias("text"), (F.length("text") > MAX_TRAIN_CHARS).alias("long")).where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = sorted(r.lang for r in known.select("lang").distinct().collect())  # as many rows as there are languages
     each = max(1, min(rows, total // max(1, len(langs))))
     # Spark limits each language's rows before it deals them out, so a hot language brings no more than the others.
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    few = known.where(F.col("doc_id").isNotNull()).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
-    picked = [(r.doc_id, r.lang) for r in few.select("doc_id", "lang").distinct().collect()]  # ``total`` at most
+    first = Window.partitionBy("lang").orderBy("long", "h", "doc_id")
+    few = known.where(F.col("doc_id").isNotNull()).select("lang", "doc_id", "long", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
+    picked = [(r.doc_id, r.lang, r.long) for r in few.groupBy("doc_id", "lang").agg(F.min("long").alias("long")).collect()]  # ``total`` at most
     if not picked:
         return Model()
-    few = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string")
-    found = known.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    few = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string, long boolean")
+    found = known.join(F.broadcast(few), ["doc_id", "lang", "long"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     return Model(**trained_in_task(found, "lang", lambda texts, y: dict(vars(train(texts, y)))))
 
 

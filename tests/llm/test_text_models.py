@@ -183,3 +183,13 @@ def test_rules_are_reached_by_the_prefilter_and_contained_ones_suppressed():
     assert len(rules.rules) > 200
     found = licences.scan_text("licensed under the mit license", rules)[1]
     assert [(d[0], d[1], d[2]) for d in found] == [(0, 5, "mit")]
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) > 0").select("doc_id", "lang", "text")
+    most = d.where("lang is not null").groupBy("lang").count().orderBy("count", "lang").collect()[-1].lang
+    grown = F.expr(f"repeat(text || ' ', cast({language.MAX_TRAIN_CHARS} / length(text) as int) + 1)")
+    m = language.fit(d.withColumn("text", F.when(F.col("lang") == most, grown).otherwise(F.col("text"))))
+    assert most in sum((list(x) for x in m.languages.values()), [])
