@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
 import uuid
 import zlib
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +17,19 @@ from pyspark.sql import functions as F
 #: Bytes of text worked on at once inside a task, whatever the size of the Arrow batch.
 SLICE_BYTES = 4 << 20
 _made: dict[str, str] = {}
-_tables: dict[str, set[str]] = {}
-_older: dict[str, set[str]] = {}
+_scope: ContextVar[list | None] = ContextVar("scope", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``. Where it is unset, a folder of our own on a
+    local master, and the warehouse, which a cluster's machines share, on any other."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     key = spark.sparkContext.applicationId
     if key not in _made:
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="loomline-")
+            local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+            base = "file://" + tempfile.mkdtemp(prefix="loomline-") if local else spark.conf.get("spark.sql.warehouse.dir")
         _made[key] = f"{base}/loomline-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _made[key])
     return _made[key]
@@ -49,42 +52,38 @@ def delete(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends in files that outlive any executor.
 
-    ``keep``: the table is not among those that ``new_stage`` deletes.
+    The table stays until ``free``, the end of the surrounding ``scratch_tables`` (not if ``keep``), or of the session.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    if not keep:
-        _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    if _scope.get() is not None and not keep:
+        _scope.get().append(path)
     return out
 
 
 def free(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing to come reads, and let Spark drop the shuffle files of finished plans."""
-    spark = None
+    """Delete materialised tables that nothing to come reads."""
     for t in tables:
-        spark = t.sparkSession
-        _tables.get(spark.sparkContext.applicationId, set()).discard(t._scratch)
-        delete(spark, t._scratch)
-    release(spark)
+        if _scope.get() is not None and t._scratch in _scope.get():
+            _scope.get().remove(t._scratch)
+        delete(t.sparkSession, t._scratch)
 
 
-def release(spark: SparkSession | None) -> None:
-    """Spark deletes a shuffle's files once the driver has collected the plan that made them."""
-    if spark is not None:
-        gc.collect()
-        spark._jvm.System.gc()
-
-
-def new_stage(spark: SparkSession) -> None:
-    """Delete the tables of stages before the last one: results of those have been written and read again by now."""
-    key = spark.sparkContext.applicationId
-    for path in _older.pop(key, set()):
-        delete(spark, path)
-    _older[key] = _tables.pop(key, set())
-    release(spark)
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession):
+    """Tables materialised inside are deleted at the end; whatever reads them must have been written by then. Tables
+    that other code of the session made are left alone."""
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        paths = _scope.get()
+        _scope.reset(token)
+        for path in paths:
+            delete(spark, path)
 
 
 def trained_in_task(sample: DataFrame, label: str, train):

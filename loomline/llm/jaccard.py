@@ -2,24 +2,27 @@
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased; with fewer words the whole sequence is one
 shingle), as 64-bit hashes. Two documents link when ``4 * overlap >= 3 * union``. Such a pair shares a shingle among
-the first ``n - ceil(3n/4) + 1`` of both sets under any one global order; here rarer shingles come first, by a
-fixed-size count sketch over all documents (it only orders: every order gives the same result).
+the first ``n - ceil(3n/4) + 1`` of both sets under any one global order; here rarer shingles come first, by a count
+sketch over all documents that grows with the input (it only orders: every order gives the same result).
 
 1. ``measured``: each document's set size and fingerprints, and the sketch. Documents with equal sets are one node.
-2. ``candidates``: tasks collapse documents with identical prefix and size into one group and send prefix entries by
-   hash range; runs of equal shingles give candidate pairs, each node with its neighbour in order of size and with the
-   run's hub, never all pairs, and the runs themselves for step 4.
-3. ``verified``: candidate pairs are compared exactly. First each node with the partner it shares most entries with,
-   then pairs not yet in one component.
-4. Runs (expanded by group members) whose nodes still lie in several components yield every pair across components
-   that passes the size and position filters; these are verified too. A pair within a component needs no check, as
+2. ``candidates``: documents with identical prefix and size are one group, whichever tasks read them, named by the hash
+   of both. Prefix entries are sent by hash range; runs of equal shingles give candidate pairs of groups, each group
+   with its neighbour in order of size and with the run's hub, never all pairs, and the runs themselves for step 4.
+   A shingle of very many documents is dealt over several ranges.
+3. Groups are expanded by their members. A pair whose parity bitmaps already differ in more places than a link allows
+   is ruled out; the others are compared exactly (``verified``): first each node with the partner it shares most
+   entries with, then pairs not yet in one component.
+4. Runs whose nodes still lie in several components yield every pair across components that passes the size, position
+   and bitmap filters, in cells of bounded size; these are verified too. A pair within a component needs no check, as
    its link could not change the result. No case is capped.
 
-Components come from alternating large-star and small-star steps over the links.
+Components come from alternating large-star and small-star steps over the links; later links join whole components.
 
 Defined cases: a null text or one without words has no shingles and links with nothing, so its component is its own
 id; equal texts always link; rows with a null id take part (a component made of them alone has a null id); repeated
-rows give repeated results. Extra columns are ignored. An empty table gives an empty result.
+rows give repeated results. A text of any length is one set in the memory of its task, some 30 bytes a word. Extra
+columns are ignored. An empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -30,12 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, materialise, mix64, release, starts, text_slices, words_of
+from .common import free, materialise, mix64, starts, text_slices, words_of
 
-WORDS, SKETCH_BITS, SEGMENTS = 5, 20, 64
-#: Entries that one hash range holds, about, and bits of the filter for candidates' texts.
-RANGE_ENTRIES, FILTER_BITS = 1 << 20, 24
+WORDS, SEGMENTS = 5, 64
+#: The sketch has a counter (one byte where it is shared) for this many bytes of input, between 2^18 and 2^26 of them.
+BYTES_A_COUNTER, MIN_BITS, MAX_BITS = 256, 18, 26
+#: Entries that one hash range holds, about; that a task holds at once; documents of a shingle that one range may get.
+RANGE_ENTRIES, HELD_ENTRIES, HOT_ENTRIES = 1 << 20, 1 << 21, 1 << 18
+#: Rows of a run on either side of one cell of step 4.
+CELL = 4096
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
+_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def shingles(text: pa.Array):
@@ -71,80 +79,168 @@ def _node(s: np.ndarray, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed) - (1 << 63)
 
 
-def merged(rows: DataFrame, parts: int, size: int, both) -> np.ndarray:
-    """Counter segments (seg, part, data) combined into one array by a tree: at most 64 of them meet in one group."""
+def _squeezed(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return bytes([x.dtype.itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-    def meet(key, table):
-        total = None
-        for x in table.column("data"):
-            total = _loose(x.as_py()) if total is None else both(total, _loose(x.as_py()))
-        return pa.table({"seg": table.column("seg").slice(0, 1), "part": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([squeezed(total)], pa.binary())})
 
-    while True:
-        parts = -(-parts // 64)
-        rows = rows.withColumn("part", (F.col("part") % parts).cast("int")).groupBy("seg", "part").applyInArrow(meet, "seg int, part int, data binary")
-        if parts == 1:
-            break
-    found = {r.seg: _loose(bytes(r.data)) for r in rows.collect()}  # SEGMENTS rows of a fixed size
-    return np.concatenate([found.get(i, np.zeros(size // SEGMENTS, np.uint32)) for i in range(SEGMENTS)])
+def _loose(raw: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), "zstd"), f"<u{raw[0]}")
 
 
-def _loose(raw: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd"), np.uint32)
+def _smallest(x: np.ndarray) -> np.ndarray:
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or int(x.max()) <= np.iinfo(t).max))
+
+
+# ---- counters over all documents ----------------------------------------------------------------------------------
 
+_COUNTERS = "seg int, part int, at binary, n binary"
 
-def squeezed(counts: np.ndarray) -> bytes:
-    raw = counts.tobytes()
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
+def _segments(at: np.ndarray, n: np.ndarray, bits: int, part: int) -> dict:
+    """Counters (sorted places, counts) as one row a segment: gaps between places, and counts."""
+    size = (1 << bits) // SEGMENTS
+    cut = np.searchsorted(at, np.arange(SEGMENTS + 1) * size)
+    out: dict = {"seg": [], "part": [], "at": [], "n": []}
+    for s in range(SEGMENTS):
+        a, b = cut[s], cut[s + 1]
+        if b > a:
+            out["seg"].append(s)
+            out["part"].append(part)
+            out["at"].append(_squeezed(_smallest(np.diff(at[a:b] - s * size, prepend=0).astype(np.int64))))
+            out["n"].append(_squeezed(_smallest(n[a:b])))
+    return out
 
-def _segments(counts: np.ndarray, part: int, schema: pa.Schema):
-    size = len(counts) // SEGMENTS
-    data = [squeezed(counts[i * size : (i + 1) * size]) for i in range(SEGMENTS)]
-    return pa.RecordBatch.from_pydict({k: {"seg": list(range(SEGMENTS)), "part": [part] * SEGMENTS, "data": data}.get(k, [None] * SEGMENTS) for k in schema.names}, schema=schema)
 
+def _added(rows: pa.Table, size: int) -> np.ndarray:
+    total = np.zeros(size, np.int64)
+    for at, n in zip(rows.column("at"), rows.column("n")):
+        total[np.cumsum(_loose(at.as_py()).astype(np.int64))] += _loose(n.as_py()).astype(np.int64)
+    return total
 
-def measured(docs: DataFrame, seed: int = 0):
-    """(table of doc_id, th, n, node, f2, its rows with seg null; the sketch)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("f2", pa.int64()), ("seg", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: exact up to 128, then four steps a doubling, up to some 4e11."""
+    c = np.maximum(counts, 1).astype(np.float64)
+    return np.where(counts <= 128, counts, np.minimum(255, 128 + 4 * np.log2(c / 128))).astype(np.uint8)
+
+
+def merged(rows: DataFrame, parts: int, bits: int) -> np.ndarray:
+    """Levels of all counters, added up by a tree: at most 64 rows meet in one group. One byte a counter is collected."""
+    size = (1 << bits) // SEGMENTS
+
+    def meet(key, table):
+        total = _added(table, size)
+        at = np.flatnonzero(total)
+        gaps = np.diff(at, prepend=0)
+        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "at": pa.array([_squeezed(_smallest(gaps))], pa.binary()), "n": pa.array([_squeezed(_smallest(total[at]))], pa.binary())})
+
+    def last(key, table):
+        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([_squeezed(levels(_added(table, size)))], pa.binary())})
+
+    while parts > 64:
+        parts = -(-parts // 64)
+        rows = rows.withColumn("part", (F.col("part") % parts).cast("int")).groupBy("seg", "part").applyInArrow(meet, _COUNTERS)
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.groupBy("seg").applyInArrow(last, "seg int, data binary").collect():  # SEGMENTS rows, 2^bits bytes in all
+        out[r.seg * size : (r.seg + 1) * size] = _loose(bytes(r.data))
+    return out
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of a counter's place, by the size that Spark estimates for the input."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 60:  # Spark knows nothing
+        size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    return min(MAX_BITS, max(MIN_BITS, (size // BYTES_A_COUNTER).bit_length()))
+
+
+def measured(docs: DataFrame, bits: int, seed: int = 0):
+    """Table of doc_id, th, n, node, f2 and, in rows with seg set, the sketch's counters."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("f2", pa.int64()), ("seg", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("n_at", pa.binary())])
+
+    def counters(held, part):
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        c = _segments(at, n, bits, part)
+        none = [None] * len(c["seg"])
+        return pa.RecordBatch.from_pydict({**dict.fromkeys(("doc_id", "th", "n", "node", "f2"), none), "seg": c["seg"], "part": c["part"], "at": c["at"], "n_at": c["n"]}, schema=schema)
 
     def run(it):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        held, n_held, part = [], 0, TaskContext.get().partitionId()
         for batch in it:
-            for part in text_slices(batch):
-                flat, n = shingles(part.column("text"))
-                counts += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            for rows in text_slices(batch):
+                flat, n = shingles(rows.column("text"))
+                held.append((flat >> np.uint64(64 - bits)).astype(np.uint32))
+                n_held += len(flat)
                 off = starts(n)
                 sets = [flat[a:b] for a, b in zip(off[:-1], off[1:])]
-                none = pa.nulls(part.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(n.astype(np.int32)), pa.array([_node(s, seed) for s in sets], pa.int64()), pa.array([_node(s, seed + 1000003) for s in sets], pa.int64()), none, none, pa.nulls(part.num_rows, pa.binary())], schema=schema)
-        if counts.any():
-            yield _segments(counts, TaskContext.get().partitionId(), schema)
+                none = pa.nulls(rows.num_rows, pa.int32())
+                raw = pa.nulls(rows.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), pa.array(n.astype(np.int32)), pa.array([_node(s, seed) for s in sets], pa.int64()), pa.array([_node(s, seed + 1000003) for s in sets], pa.int64()), none, none, raw, raw], schema=schema)
+                if n_held > 4 << 20:
+                    yield counters(held, part)
+                    held, n_held = [], 0
+        if n_held:
+            yield counters(held, part)
 
-    return materialise(_keyed(docs).mapInArrow(run, "doc_id long, th long, n int, node long, f2 long, seg int, part int, data binary"), "measured")
+    return materialise(_keyed(docs).mapInArrow(run, "doc_id long, th long, n int, node long, f2 long, seg int, part int, at binary, n_at binary"), "measured")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
-_CAND = "a long, b long, n_shared int, nodes array<long>, sizes array<int>, places array<int>"
+# ---- bitmaps --------------------------------------------------------------------------------------------------------
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bit b tells whether an odd number of the set's hashes are b modulo the bitmap's size, a power of two from n up."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sig: np.ndarray, size: int) -> np.ndarray:
+    return sig if len(sig) == size else np.bitwise_xor.reduce(sig.reshape(-1, size), axis=0)
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether two sets can link: bits that differ stand for at least so many shingles that only one set holds."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    return 7 * int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum()) <= n + m
+
+
+# ---- candidates -----------------------------------------------------------------------------------------------------
 
+_CAND = "a long, b long, n_shared int, run long, grp array<long>, sizes array<int>, places array<int>, g long, node long, th long, n int, sig binary"
+_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_shared", pa.int32()), ("run", pa.int64()), ("grp", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("g", pa.int64()), ("node", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
+_MEMBER = ("g", "node", "th", "n", "sig")
 
-def candidates(docs: DataFrame, sketch: np.ndarray, ranges: int, seed: int = 0) -> DataFrame:
-    """Rows (a, b, n_shared): candidate pairs, and rows (nodes, sizes, places): runs of three nodes or more, and groups."""
+
+def _rows(**columns):
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _OUT], schema=_OUT)
+
+
+def candidates(docs: DataFrame, sketch: np.ndarray, bits: int, ranges: int, seed: int = 0) -> DataFrame:
+    """Rows (a, b, n_shared): candidate pairs of groups; (run, grp, sizes, places): parts of runs of three groups or
+    more; (g, node, th, n, sig): members of groups. Columns that a row does not have are null."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.minimum(sketch, 0xFFFF).astype(np.uint16))  # 2 MB
-    blob = pa.schema([("rng", pa.int32()), ("hs", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+    shared = spark.sparkContext.broadcast(sketch)  # 2^bits bytes, 64 MB at most
+    blob = pa.schema([("rng", pa.int32()), ("hs", pa.binary()), ("gs", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), *[_OUT.field(k) for k in _MEMBER]])
+    most = np.where(np.arange(256) <= 128, np.arange(256), 128 * 2.0 ** ((np.arange(256) - 127) / 4))
+    most_held = HELD_ENTRIES
+    shares = np.maximum(1, np.ceil(most / HOT_ENTRIES)).astype(np.int64)  # ranges that a shingle of each level is dealt over
 
     def emit(it):
-        seen, groups, order = set(), {}, shared.value
+        seen, known, order = set(), set(), shared.value
         for batch in it:
             for part in text_slices(batch):
                 flat, n = shingles(part.column("text"))
-                off = starts(n)
-                hs, nodes, sizes, places = [], [], [], []
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+                off, th = starts(n), part.column("th").to_pylist()
+                hs, gs, sizes, places, level = [], [], [], [], []
+                member: dict = {k: [] for k in _MEMBER}
+                for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
                     s = flat[a:b]
                     if a == b:
                         continue
@@ -152,65 +248,96 @@ def candidates(docs: DataFrame, sketch: np.ndarray, ranges: int, seed: int = 0)
                     if node in seen:
                         continue
                     seen.add(node)
-                    key = (order[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
+                    key = (order[s >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(56)) | (s & np.uint64((1 << 56) - 1))
                     p = prefix_length(len(s))
                     key = np.sort(np.partition(key, p - 1)[:p]) if p < len(s) else np.sort(key)
-                    group = (len(s), xxhash.xxh3_128_digest(key.tobytes()))
-                    if group in groups:
-                        # Same prefix and size: the group's first document stands for this one.
-                        yield pa.RecordBatch.from_pydict({"rng": [-1], "hs": [None], "nodes": [np.array([groups[group], node]).tobytes()], "sizes": [np.array([len(s)] * 2, np.int32).tobytes()], "places": [None]}, schema=blob)
-                        continue
-                    groups[group] = node
+                    g = xxhash.xxh3_64_intdigest(key.tobytes() + len(s).to_bytes(8, "little"), seed) - (1 << 63)
+                    for k, v in zip(_MEMBER, (g, node, th[i], len(s), parity(s))):
+                        member[k].append(v)
+                    if g in known:
+                        continue  # an identical prefix and size: one group
+                    known.add(g)
                     hs.append(key)
-                    nodes.append(node)
+                    gs.append(g)
                     sizes.append(len(s))
                     places.append(p)
+                if not member["g"]:
+                    continue
+                none = [None] * len(member["g"])
+                yield pa.RecordBatch.from_pydict({"rng": [-1] * len(none), **dict.fromkeys(("hs", "gs", "sizes", "places"), none), **member}, schema=blob)
                 if not hs:
                     continue
                 many = np.array(places)
-                key, node, size = np.concatenate(hs), np.repeat(np.array(nodes, np.int64), many), np.repeat(np.array(sizes, np.int32), many)
-                place = (np.arange(len(key)) - np.repeat(starts(many)[:-1], many)).astype(np.int32)
-                rng = (mix64(key) % np.uint64(ranges)).astype(np.int64)
+                key, g, size = np.concatenate(hs), np.repeat(np.array(gs, np.int64), many), np.repeat(np.array(sizes, np.int64), many)
+                place = np.arange(len(key)) - np.repeat(starts(many)[:-1], many)
+                share = shares[(key >> np.uint64(56)).astype(np.int64)]
+                h = key & np.uint64((1 << 56) - 1)
+                own = (g.view(np.uint64) % share.astype(np.uint64)).astype(np.int64)
+                rng = (mix64(h + np.uint64(0x9E3779B97F4A7C15) * own.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64) + ranges * (share > 1)
+                # A hot shingle's first share goes to its other ranges too, so that hubs are common to them.
+                hot = np.flatnonzero((share > 1) & (own == 0))
+                if len(hot):
+                    n_more = share[hot] - 1
+                    again = np.repeat(hot, n_more)
+                    nth = np.arange(len(again)) - np.repeat(starts(n_more)[:-1], n_more) + 1
+                    rng = np.concatenate([rng, (mix64(h[again] + np.uint64(0x9E3779B97F4A7C15) * nth.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64) + ranges])
+                    h, g, size, place = (np.concatenate([x, x[again]]) for x in (h, g, size, place))
                 by = np.argsort(rng, kind="stable")
                 cut = np.flatnonzero(np.diff(rng[by])) + 1
-                cols = [[x[i].tobytes() for i in np.split(by, cut)] for x in (key, node, size, place)]
-                yield pa.RecordBatch.from_pydict({"rng": rng[by][np.concatenate([[0], cut])].astype(np.int32), "hs": cols[0], "nodes": cols[1], "sizes": cols[2], "places": cols[3]}, schema=blob)
-
-    sent = _keyed(docs).mapInArrow(emit, "rng int, hs binary, nodes binary, sizes binary, places binary")
-    # Groups' rows have no range; they are dealt by their nodes.
-    dealt = sent.repartition(min(ranges, 2000), F.when(F.col("rng") >= 0, F.col("rng")).otherwise(F.hash("nodes"))).sortWithinPartitions("rng")
-    return materialise(dealt.mapInArrow(_meet, _CAND), "candidates")
-
-
-def _meet(it):
-    """Prefix entries of one hash range after another into candidate pairs and runs."""
-    held: tuple = (None, [])
+                none = [None] * (len(cut) + 1)
+                # Six bytes of a hash: the range stands for more.
+                six = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
+                cols = [[x[i].tobytes() for i in np.split(by, cut)] for x in (six, g, _smallest(size), _smallest(place))]
+                yield pa.RecordBatch.from_pydict({"rng": rng[by][np.concatenate([[0], cut])].astype(np.int32), "hs": cols[0], "gs": cols[1], "sizes": cols[2], "places": cols[3], **dict.fromkeys(_MEMBER, none)}, schema=blob)
+
+    kinds = "rng int, hs binary, gs binary, sizes binary, places binary, g long, node long, th long, n int, sig binary"
+    sent = _keyed(docs).mapInArrow(emit, kinds)
+    # Members have no range; they are dealt by their nodes.
+    dealt = sent.repartition(min(ranges, 2000), F.when(F.col("rng") >= 0, F.col("rng")).otherwise(F.hash("node"))).sortWithinPartitions("rng")
+    out = materialise(dealt.mapInArrow(lambda it: _meet(it, ranges, most_held), _CAND), "candidates")
+    shared.destroy()
+    return out
+
+
+def _meet(it, ranges: int, most: int):
+    """Prefix entries of one hash range after another into candidate pairs and runs; members pass through."""
+    now, held, n_held, parts = None, [], 0, False
     for batch in it:
-        rng = batch.column("rng").to_pylist()
-        for i, r in enumerate(rng):
-            if r != held[0]:
-                if held[1]:
-                    yield from _runs(held)
-                held = (r, [])
-            held[1].append(tuple(np.frombuffer(batch.column(c)[i].as_py() or b"", t) for c, t in (("hs", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.int32))))
-            if r == -1 and len(held[1]) >= 10_000:
-                yield from _runs(held)
-                held = (r, [])
-    if held[1]:
-        yield from _runs(held)
-
-
-_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_shared", pa.int32()), ("nodes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
-
-
-def _pair_rows(a, b, n):
-    none = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.nulls(none, _OUT.field(3).type), pa.nulls(none, _OUT.field(4).type), pa.nulls(none, _OUT.field(5).type)], schema=_OUT)
+        rng = np.array(batch.column("rng").to_pylist())
+        apart = np.flatnonzero(rng < 0)
+        if len(apart):
+            m = batch.take(pa.array(apart))
+            yield _rows(**{k: m.column(k) for k in _MEMBER})
+        for i in np.flatnonzero(rng >= 0).tolist():
+            if rng[i] != now:
+                if held:
+                    yield from _runs(held, parts or now >= ranges)
+                now, held, n_held, parts = int(rng[i]), [], 0, False
+            g = np.frombuffer(batch.column("gs")[i].as_py(), np.int64)
+            h = np.zeros((len(g), 8), np.uint8)
+            h[:, :6] = np.frombuffer(batch.column("hs")[i].as_py(), np.uint8).reshape(-1, 6)
+            rest = []
+            for c in ("sizes", "places"):
+                raw = batch.column(c)[i].as_py()
+                rest.append(np.frombuffer(raw, f"<u{len(raw) // len(g)}").astype(np.int64))
+            held.append((h.view(np.uint64)[:, 0], g, *rest))
+            n_held += len(g)
+            if n_held > most:
+                # More than a range should hold: work on what is there; the hub of each shingle meets what is to come.
+                hubs = _hubs(held)
+                yield from _runs(held, True)
+                held, n_held, parts = [hubs], 0, True
+    if held:
+        yield from _runs(held, parts or now >= ranges)
 
 
-def _run_rows(runs):
-    none = len(runs)
-    return pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), *(pa.array([r[i] for r in runs], _OUT.field(3 + i).type) for i in range(3))], schema=_OUT)
+def _hubs(held):
+    h, g, size, place = (np.concatenate([x[k] for x in held]) for k in range(4))
+    order = np.lexsort((g, size, place, h))
+    first = np.ones(len(h), bool)
+    first[1:] = h[order][1:] != h[order][:-1]
+    at = order[first]
+    return h[at], g[at], size[at], place[at]
 
 
 def possible(n, m, i, j):
@@ -218,13 +345,9 @@ def possible(n, m, i, j):
     return (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (7 * np.minimum(n - i, m - j) >= 3 * (n + m))
 
 
-def _runs(held):
-    if held[0] == -1:
-        pairs = np.array([x[1] for x in held[1]])
-        yield _pair_rows(pairs.min(axis=1), pairs.max(axis=1), np.ones(len(pairs), np.int32))
-        yield _run_rows([(x[1].tolist(), x[2].tolist(), [0, 0]) for x in held[1]])
-        return
-    key, node, size, place = (np.concatenate([x[k] for x in held[1]]) for k in range(4))
+def _runs(held, parts: bool):
+    """Pairs and runs of a range's entries. ``parts``: other rows may hold more of the same runs, so their hash names them."""
+    key, g, size, place = (np.concatenate([x[k] for x in held]) for k in range(4))
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = k[1:] == k[:-1]
@@ -234,18 +357,18 @@ def _runs(held):
     at = order[keep]
     if not len(at):
         return
-    at = at[np.lexsort((node[at], size[at], key[at]))]
-    # A node that several tasks sent appears once.
+    at = at[np.lexsort((g[at], size[at], key[at]))]
+    # A group that several tasks sent appears once.
     once = np.ones(len(at), bool)
-    once[1:] = (key[at][1:] != key[at][:-1]) | (node[at][1:] != node[at][:-1])
+    once[1:] = (key[at][1:] != key[at][:-1]) | (g[at][1:] != g[at][:-1])
     at = at[once]
-    k, n, s, p = key[at].copy(), node[at], size[at].astype(np.int64), place[at].astype(np.int64)
+    k, n, s, p = key[at].copy(), g[at], size[at], place[at]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     first = np.flatnonzero(new)
     length = np.diff(np.append(first, len(k)))
-    # A run's hub is the node that has its shingle earliest: few rarer shingles of its own stand before it, as in the
-    # text that near copies were made from. Every node pairs with the hub and with its neighbour in order of size.
+    # A run's hub is the group that has its shingle earliest: few rarer shingles of its own stand before it, as in the
+    # text that near copies were made from. Every group pairs with the hub and with its neighbour in order of size.
     run = np.repeat(np.arange(len(first)), length)
     hub = np.repeat(np.lexsort((n, s, p, run))[first], length)
     every, inside = np.arange(len(k)), np.flatnonzero(~new)
@@ -259,42 +382,44 @@ def _runs(held):
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         start = np.flatnonzero(new)
-        yield _pair_rows(a[start], b[start], np.diff(np.append(start, len(a))))
-    # Runs of three or more; those of the same nodes are one, with their least places.
+        yield _rows(a=a[start], b=b[start], n_shared=np.diff(np.append(start, len(a))).astype(np.int32))
+    # Runs of three or more; whole runs of the same groups are one, with their least places.
     runs: dict = {}
-    for f, m in zip(first[length > 2].tolist(), length[length > 2].tolist()):
-        name = n[f : f + m].tobytes()
-        known = runs.get(name)
-        runs[name] = (n[f : f + m], s[f : f + m], p[f : f + m] if known is None else np.minimum(known[2], p[f : f + m]))
-    rows = list(runs.values())
-    for i in range(0, len(rows), 1000):
-        yield _run_rows(rows[i : i + 1000])
+    for f, m in zip(first.tolist(), length.tolist()):
+        if m > 2 or parts and m > 1:
+            name = (int(mix64(k[f : f + 1])[0]) if parts else xxhash.xxh3_64_intdigest(n[f : f + m].tobytes())) - (1 << 63)
+            last = runs.get(name)
+            runs[name] = (n[f : f + m], s[f : f + m], p[f : f + m] if last is None else np.minimum(last[2], p[f : f + m]))
+    # Rows of at most ``CELL`` groups, so that none is large.
+    rows = [(name, *(x[a : a + CELL] for x in r)) for name, r in runs.items() for a in range(0, len(r[0]), CELL)]
+    for i in range(0, len(rows), 500):
+        some = rows[i : i + 500]
+        yield _rows(run=[r[0] for r in some], grp=[r[1] for r in some], sizes=[r[2].astype(np.int32) for r in some], places=[r[3].astype(np.int32) for r in some])
+
 
+# ---- exact checks ---------------------------------------------------------------------------------------------------
 
-def texts_of(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
+
+def texts_of(docs: DataFrame, wanted: DataFrame, bits: int, seed: int = 0) -> DataFrame:
     """node, body (compressed lower-case text) of the wanted nodes (node, th), one row each.
 
-    A filter of a fixed size over the wanted texts' hashes keeps most others from being worked on; the join is exact.
+    A bitmap of 2^bits bits over the wanted texts' hashes keeps most others from being worked on; the join is exact.
     """
     spark = docs.sparkSession
-    schema = pa.schema([("seg", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
     def mark(it):
-        bits = np.zeros(1 << FILTER_BITS, np.bool_)
         for batch in it:
-            th = batch.column("th").to_numpy().view(np.uint64)
-            bits[(th >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        if bits.any():
-            yield _segments(np.packbits(bits).view(np.uint32), TaskContext.get().partitionId(), schema)
+            at = np.unique((batch.column("th").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))
+            yield pa.RecordBatch.from_pydict(_segments(at, np.ones(len(at), np.int64), bits, TaskContext.get().partitionId()), schema=pa.schema([("seg", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
 
-    marked = wanted.select("th").coalesce(64).mapInArrow(mark, "seg int, part int, data binary")
-    shared = spark.sparkContext.broadcast(merged(marked, 64, (1 << FILTER_BITS) // 32, np.bitwise_or))  # 2 MB
+    marked = wanted.select("th").coalesce(64).mapInArrow(mark, _COUNTERS)
+    shared = spark.sparkContext.broadcast(np.packbits(merged(marked, 64, bits) > 0, bitorder="little"))  # 8 MB at most
 
     def bodies(it):
-        bits, seen = np.unpackbits(shared.value.view(np.uint8)), set()
+        known, seen = shared.value, set()
         for batch in it:
-            th = batch.column("th").to_numpy().view(np.uint64)
-            batch = batch.filter(pa.array(bits[(th >> np.uint64(64 - FILTER_BITS)).astype(np.int64)].astype(bool)))
+            at = (batch.column("th").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            batch = batch.filter(pa.array((known[at >> 3] >> (at & 7) & 1).astype(bool)))
             for part in text_slices(batch):
                 flat, n = shingles(part.column("text"))
                 off = starts(n)
@@ -308,17 +433,20 @@ def texts_of(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
                         body.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(body, pa.binary())], names=["node", "body"])
 
-    found = _keyed(docs).mapInArrow(bodies, "node long, body binary").join(wanted.select("node"), "node", "left_semi")
-    return materialise(found.dropDuplicates(["node"]), "bodies")
+    found = _keyed(docs).mapInArrow(bodies, "node long, body binary").join(wanted.select("node").hint("merge"), "node", "left_semi")
+    out = materialise(found.dropDuplicates(["node"]), "bodies")
+    shared.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """a, b, linked of the pairs, by their whole sets."""
+    """hub, other, linked of the pairs (hub, other), by their whole sets. The hub's text is attached to slim pairs, so
+    that a hub of very many pairs makes no heavy join key."""
 
     def run(it):
         last: dict = {}
         for batch in it:
-            ids = [batch.column(c).to_pylist() for c in ("a", "b")]
+            ids = [batch.column(c).to_pylist() for c in ("hub", "other")]
             yes = []
             for i in range(batch.num_rows):
                 sets = []
@@ -336,127 +464,194 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 yes.append(7 * shared >= 3 * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("other"), pa.array(yes, pa.bool_())], names=["hub", "other", "linked"])
+
+    met = pairs.select("hub", "other").join(bodies.select(F.col("node").alias("hub"), F.col("body").alias("x")).hint("merge"), "hub").join(bodies.select(F.col("node").alias("other"), F.col("body").alias("y")).hint("merge"), "other")
+    return materialise(met.select("hub", "other", "x", "y").mapInArrow(run, "hub long, other long, linked boolean"), "verified")
 
-    met = pairs.select("a", "b").join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    return materialise(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean"), "verified")
+
+# ---- components -----------------------------------------------------------------------------------------------------
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (the least node it reaches) of every node that has a link."""
+    """node, comp (the least node it reaches) of every node that has a link (a, b), written."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         # Large star: larger neighbours go to the least neighbour. Small star: smaller ones and the node itself do.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(down.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = materialise(small, "edges")
         # Settled when every node has one edge and no node that others point to points on; one query tells, as the
         # driver remembers every query it has run.
         several = after.groupBy("u").count().where("count > 1").select("u")
-        onward = after.alias("p").join(after.alias("q"), F.col("p.v") == F.col("q.u"), "left_semi").select("u")
-        if several.unionByName(onward).isEmpty():
-            break
+        onward = after.alias("p").join(after.alias("q").hint("merge"), F.col("p.v") == F.col("q.u"), "left_semi").select("u")
         free(edges)
         edges = after
+        if several.unionByName(onward).isEmpty():
+            break
+    out = materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "components")
     free(edges)
-    return after.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    return out
+
 
+def _comps(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (hub, other) with ca and cb, the components of both; only those across components."""
+    c = lambda side, name: comp.select(F.col("node").alias(side), F.col("comp").alias(name)).hint("merge")
+    p = pairs.join(c("hub", "ca"), "hub", "left").join(c("other", "cb"), "other", "left")
+    return p.withColumn("ca", F.coalesce("ca", "hub")).withColumn("cb", F.coalesce("cb", "other")).where("ca <> cb")
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose nodes lie in different components."""
-    c = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-    p = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left")
-    return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
+def joined(comp: DataFrame, linked: DataFrame) -> DataFrame:
+    """Components after more links (hub, other): whole components are joined, their nodes follow."""
+    between = materialise(_comps(linked, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        free(between)
+        return comp
+    moved = components(between)
+    free(between)
+    # A component of one node has no row yet.
+    rows = comp.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")).hint("merge"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    out = materialise(rows.unionByName(moved.join(comp.select("node").hint("merge"), "node", "left_anti").select("node", "comp")), "components")
+    free(moved, comp)
+    return out
 
-def _across(it):
-    """Rows (nodes, comps, sizes, places) into the pairs across components that pass the filters."""
 
-    def once(pairs):
-        both = np.unique(np.concatenate(pairs), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
+# ---- pairs of nodes -------------------------------------------------------------------------------------------------
+
+
+def _near(pairs: DataFrame) -> DataFrame:
+    """The pairs (hub, other, ..., x, y, n, m) whose bitmaps do not rule a link out."""
+    kept = [c for c in pairs.columns if c not in ("x", "y", "n", "m")]
+
+    def run(it):
+        for batch in it:
+            ok = [may_link(x.as_buffer(), y.as_buffer(), n, m) for x, y, n, m in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept], names=kept).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*kept).schema))
+
+
+def _cells(it):
+    """Entries of one cell after another (sorted by cell) into pairs across components that pass the filters."""
+    held: list = []
+    now = None
+
+    def pairs():
+        nodes, comps, n, p, side = (np.array([e[k] for e in held], np.int64) for k in range(1, 6))
+        order = np.lexsort((nodes, n))
+        nodes, comps, n, p, side = (x[order] for x in (nodes, comps, n, p, side))
+        sigs = [held[i][6] for i in order]
+        out = []
+        for i in range(len(nodes) - 1):
+            j = np.arange(i + 1, np.searchsorted(n, 4 * n[i] // 3, side="right"))
+            # Sides 0 and 1 of a cell meet each other; side 2 stands for a run's only cell, or one part with itself.
+            j = j[(comps[j] != comps[i]) & (nodes[j] != nodes[i]) & ((side[i] == 2) | (side[j] != side[i])) & possible(n[i], n[j], p[i], p[j])]
+            out += [(min(nodes[i], nodes[k]), max(nodes[i], nodes[k])) for k in j.tolist() if may_link(sigs[i], sigs[k], int(n[i]), int(n[k]))]
+        both = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["hub", "other"])
 
-    held, n_held = [], 0
     for batch in it:
-        for row in batch.to_pylist():
-            nodes, comps, n, p = (np.array(row[k], np.int64) for k in ("nodes", "comps", "sizes", "places"))
-            order = np.lexsort((nodes, n))
-            nodes, comps, n, p = nodes[order], comps[order], n[order], p[order]
-            for i in range(len(nodes) - 1):
-                j = np.arange(i + 1, np.searchsorted(n, 4 * n[i] // 3, side="right"))
-                j = j[(comps[j] != comps[i]) & possible(n[i], n[j], p[i], p[j])]
-                if len(j):
-                    held.append(np.stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])], axis=1))
-                    n_held += len(j)
-            if n_held > 500_000:
-                yield once(held)
-                held, n_held = [], 0
-    if held:
-        yield once(held)
-
-
-def _run_pairs(cand: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs across components within runs, groups expanded to their members."""
-    runs = cand.where("nodes is not null").select(F.xxhash64("nodes", "places").alias("run"), F.explode(F.arrays_zip("nodes", "sizes", "places")).alias("x")).select("run", "x.nodes", "x.sizes", "x.places")
-    # A pair of groups is a run too once a group has more members; its places are not known, so 0.
-    short = cand.where("a is not null").select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("nodes"))
-    grouped = short.join(members.select(F.col("rep").alias("nodes")).distinct(), "nodes", "left_semi").select("run").distinct()
-    sizes = members.select(F.col("rep").alias("nodes"), F.col("size").alias("sizes")).unionByName(members.select(F.col("node").alias("nodes"), F.col("size").alias("sizes"))).distinct()
-    short = short.join(grouped, "run", "left_semi").join(sizes, "nodes").select("run", "nodes", "sizes", F.lit(0).alias("places"))
-    entries = runs.unionByName(short)
-    more = entries.join(members.select(F.col("rep").alias("nodes"), "node"), "nodes").select("run", F.col("node").alias("nodes"), "sizes", "places")
-    entries = entries.unionByName(more).groupBy("run", "nodes").agg(F.max("sizes").alias("sizes"), F.min("places").alias("places"))
-    entries = entries.join(comp.select(F.col("node").alias("nodes"), "comp"), "nodes", "left").withColumn("comp", F.coalesce("comp", "nodes"))
-    several = entries.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
-    kept = entries.join(several, "run", "left_semi").groupBy("run").agg(F.collect_list(F.struct("nodes", "comp", "sizes", "places")).alias("e"))
-    arrays = kept.select(F.col("e.nodes").alias("nodes"), F.col("e.comp").alias("comps"), F.col("e.sizes").alias("sizes"), F.col("e.places").alias("places"))
-    return arrays.mapInArrow(_across, "a long, b long").distinct()
+        rows = zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "comp", "size", "place", "side", "sig")))
+        for r in rows:
+            if r[0] != now:
+                if len(held) > 1:
+                    yield pairs()
+                now, held = r[0], []
+            held.append(r)
+    if len(held) > 1:
+        yield pairs()
+
+
+def _run_pairs(cand: DataFrame, members: DataFrame, comp: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs (hub, other) across components within runs and groups, groups expanded to their members."""
+    runs = cand.where("run is not null").select("run", F.explode(F.arrays_zip("grp", "sizes", "places")).alias("x")).select("run", F.col("x.grp").alias("g"), F.col("x.sizes").alias("size"), F.col("x.places").alias("place"))
+    # A group of several members is a run, and so is a pair of groups one of which is; its places are not known, so 0.
+    many = members.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("size")).where("k > 1")
+    alone = many.select(F.xxhash64("g").alias("run"), "g", "size", F.lit(0).alias("place"))
+    short = cand.where("a is not null").select("a", "b").distinct()
+    grown = short.join(many.select(F.col("g").alias("a")), "a", "left_semi").unionByName(short.join(many.select(F.col("g").alias("b")), "b", "left_semi").select("a", "b")).distinct()
+    sizes = members.groupBy("g").agg(F.min("n").alias("size"))
+    paired = grown.select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("g")).join(sizes, "g").select("run", "g", "size", F.lit(0).alias("place"))
+    labelled_members = members.join(comp.hint("merge"), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
+    entries = runs.unionByName(alone).unionByName(paired).join(labelled_members.hint("merge"), "g").groupBy("run", "node", "comp").agg(F.max("size").alias("size"), F.min("place").alias("place"))
+    entries = materialise(entries, "entries")
+    several = entries.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("run", F.ceil(F.col("k") / cell).cast("int").alias("parts"))
+    kept = entries.join(several.hint("merge"), "run").join(members.select("node", "sig").hint("merge"), "node")
+    # A long run is cut into parts by its nodes' hashes; each two parts meet in a cell, each part with itself in another.
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    kept = kept.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    kept = kept.withColumn("side", F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1))
+    kept = kept.withColumn("cell", F.xxhash64("run", F.least("own", "met"), F.greatest("own", "met")))
+    dealt = kept.select("cell", "node", "comp", "size", "place", "side", "sig").repartition("cell").sortWithinPartitions("cell")
+    out = materialise(dealt.mapInArrow(_cells, "hub long, other long").distinct(), "across")
+    free(entries)
+    return out
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """doc_id, th (the text's hash), n (shingles), comp (null without shingles) of every document."""
-    seed = 0
+    seed, bits = 0, sketch_bits(docs)
     while True:
-        table = measured(docs, seed)
+        table = measured(docs, bits, seed)
         rows = table.where("seg is null")
-        nodes = rows.where("n > 0").groupBy("node").agg(F.min("th").alias("th"), F.min("f2").alias("f2"), F.max("f2").alias("f3"), F.sum("n").alias("total"), F.max("n").alias("n"))
+        nodes = rows.where("n > 0").groupBy("node").agg(F.min("f2").alias("f2"), F.max("f2").alias("f3"), F.max("n").alias("n"))
         sums = nodes.agg(F.sum("n").alias("entries"), F.sum((F.col("f2") != F.col("f3")).cast("int")).alias("clashes")).first()
         if not sums["clashes"]:
             break
+        free(table)
         seed += 1  # two different sets with one 64-bit name: name them anew
     if not sums["entries"]:
         return rows.select("doc_id", "th", "n", F.lit(None).cast("long").alias("comp"))
-    parts = 1 + (table.where("seg is not null").agg(F.max("part")).first()[0] or 0)
-    sketch = merged(table.where("seg is not null").select("seg", "part", "data"), parts, 1 << SKETCH_BITS, np.add)
-    cand = candidates(docs, sketch, max(1, -(-sums["entries"] // 4 // RANGE_ENTRIES)) * 4, seed)
-    release(docs.sparkSession)
-    pairs = materialise(cand.where("a is not null").groupBy("a", "b").agg(F.sum("n_shared").alias("w")), "pairs")
-    members = cand.where("nodes is not null and size(nodes) = 2").select(F.col("nodes")[0].alias("rep"), F.col("nodes")[1].alias("node"), F.col("sizes")[0].alias("size")).distinct()
-    named = cand.select(F.explode(F.coalesce("nodes", F.array("a", "b"))).alias("node")).distinct()
-    wanted = materialise(nodes.join(named, "node", "left_semi").select("node", "th"), "wanted")
-    bodies = texts_of(docs, wanted, seed)
-    free(wanted)
-
+    counters = table.where("seg is not null").select("seg", "part", "at", F.col("n_at").alias("n"))
+    parts = 1 + (counters.agg(F.max("part")).first()[0] or 0)
+    cand = candidates(docs, merged(counters, parts, bits), bits, max(1, -(-sums["entries"] // 4 // RANGE_ENTRIES)) * 4, seed)
+
+    # Groups stand for their least node; a group's other members pair with it.
+    members = materialise(cand.where("node is not null").select(*_MEMBER).dropDuplicates(["node"]), "members")
+    groups = materialise(members.groupBy("g").agg(F.min(F.struct("node", "th", "n", "sig")).alias("m")).select("g", "m.*"), "groups")
+    of = lambda g, node, sig, n: groups.select(F.col("g").alias(g), F.col("node").alias(node), F.col("sig").alias(sig), F.col("n").alias(n)).hint("merge")
+    pairs = cand.where("a is not null").groupBy("a", "b").agg(F.sum("n_shared").alias("w"))
+    pairs = pairs.join(of("a", "hub", "x", "n"), "a").join(of("b", "other", "y", "m"), "b").select("hub", "other", "w", "x", "y", "n", "m")
+    inner = members.join(of("g", "hub", "x", "k"), "g").where("node <> hub").select("hub", F.col("node").alias("other"), prefix_length_of("n").alias("w"), "x", F.col("sig").alias("y"), F.col("k").alias("n"), F.col("n").alias("m"))
+    near = materialise(_near(pairs.unionByName(inner)), "near")
+
+    def bodies_of(some: DataFrame) -> DataFrame:
+        named = some.select(F.explode(F.array("hub", "other")).alias("node")).distinct()
+        wanted = materialise(members.join(named.hint("merge"), "node", "left_semi").select("node", "th"), "wanted")
+        out = texts_of(docs, wanted, bits, seed)
+        free(wanted)
+        return out
+
+    bodies = bodies_of(near)
     # Each node with its closest partner first: that settles most groups of near copies.
-    ends = pairs.select(F.col("a").alias("u"), "a", "b", "w").unionByName(pairs.select(F.col("b").alias("u"), "a", "b", "w"))
-    best = ends.groupBy("u").agg(F.max_by(F.struct("a", "b"), F.struct("w", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+    ends = near.select("hub", "other", "w").unionByName(near.select(F.col("other").alias("hub"), F.col("hub").alias("other"), "w"))
+    best = ends.groupBy("other").agg(F.max_by("hub", F.struct("w", -F.col("hub"))).alias("hub"))
+    best = best.groupBy(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")).agg(F.min("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
     done = verified(best, bodies)
-    release(docs.sparkSession)
-    comp = materialise(components(done.where("linked")), "components")
-    more = verified(_apart(pairs.select("a", "b"), comp).join(done, ["a", "b"], "left_anti"), bodies)
-    used = [comp, done, more, pairs, cand, bodies]
-    done = done.unionByName(more)
-    comp = materialise(components(done.where("linked")), "components")
-    last = verified(_run_pairs(cand, comp, members).join(done, ["a", "b"], "left_anti"), bodies)
-    if not last.where("linked").isEmpty():
-        used.append(comp)
-        comp = materialise(components(done.unionByName(last).where("linked")), "components")
-    free(*used, last)
-
-    return rows.join(comp, "node", "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+    comp = components(done.where("linked").select(F.col("hub").alias("a"), F.col("other").alias("b")))
+    known = done.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other"))
+    rest = near.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other")).distinct().join(known.hint("merge"), ["hub", "other"], "left_anti")
+    more = verified(_comps(rest, comp).select("hub", "other"), bodies)
+    comp = joined(comp, more.where("linked"))
+    free(bodies)
+    known = known.unionByName(more.select("hub", "other"))
+    across = _run_pairs(cand, members, comp)
+    last = materialise(across.join(known.hint("merge"), ["hub", "other"], "left_anti"), "last")
+    used = [cand, members, groups, near, done, more, across, last]
+    if not last.isEmpty():
+        bodies = bodies_of(last)
+        links = verified(last, bodies)
+        comp = joined(comp, links.where("linked"))
+        used += [bodies, links]
+    free(*used)
+    return rows.join(comp.hint("merge"), "node", "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+
+
+def prefix_length_of(n: str):
+    return (F.col(n) - F.ceil(3 * F.col(n) / 4) + 1).cast("long")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -140,3 +140,38 @@ def test_quotes_link_nested_levels(spark):
 def test_native_plans_run_no_python(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     assert "Python" not in quotes.link(d)._jdf.queryExecution().toString()
+
+
+def test_hot_runs_that_do_not_link(spark, monkeypatch):
+    # One passage in every text, half of it each text's own: prefixes share the passage, no two texts link but copies.
+    monkeypatch.setattr(jaccard, "HOT_ENTRIES", 8)
+    monkeypatch.setattr(jaccard, "HELD_ENTRIES", 200)
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, f"{passage} " + " ".join(f"w{r.randrange(12)}" for _ in range(r.choice([4, 9, 40])))) for k in range(90)]
+    rows += [(200 + k, t + " end") for k, (_, t) in enumerate(rows[:20])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted((tuple(x) for x in jaccard.join(d).collect()), key=repr) == components(rows)
+
+
+def test_cells_lose_no_pair(spark):
+    import numpy as np
+
+    r = random.Random(3)
+    sets = [np.array(sorted(r.sample(range(400), r.choice([60, 70, 80]))), np.uint64) for _ in range(30)]
+    sets += [np.sort(np.append(s[:-2], np.uint64(500 + k))) for k, s in enumerate(sets)]
+    links = {(a, b) for b in range(60) for a in range(b) if 4 * len(set(sets[a]) & set(sets[b])) >= 3 * len(set(sets[a]) | set(sets[b]))}
+    assert all(jaccard.may_link(jaccard.parity(sets[a]), jaccard.parity(sets[b]), len(sets[a]), len(sets[b])) for a, b in links)
+    members = spark.createDataFrame([(k, k, len(s), jaccard.parity(s)) for k, s in enumerate(sets)], "g long, node long, n int, sig binary")
+    cand = spark.createDataFrame([(None, None, 7, list(range(60)), [len(s) for s in sets], [0] * 60)], "a long, b long, run long, grp array<long>, sizes array<int>, places array<int>")
+    comp = spark.createDataFrame([(0, 0), (30, 0)], "node long, comp long")
+    for cell in (1000, 7):
+        got = {(x.hub, x.other) for x in jaccard._run_pairs(cand, members, comp, cell).collect()}
+        assert links - {(0, 30)} <= got and (0, 30) not in got and len(got) < 200
+
+
+def test_levels_keep_order():
+    import numpy as np
+
+    c = np.unique(np.concatenate([np.arange(1000), 2 ** np.arange(38), 3**np.arange(24)]))
+    assert (np.diff(jaccard.levels(c).astype(int)) >= 0).all() and jaccard.levels(np.array([5]))[0] == 5
