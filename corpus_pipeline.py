@@ -2,44 +2,29 @@
 from __future__ import annotations
 
 from loomline.llm import jaccard, mixing, packing, quality, toxicity
-from loomline.llm.common import materialise, new_stage
+from loomline.llm.common import free, materialise, scratch_tables
 
 
 def _labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _stage(f):
-    """A stage begins when the one before the last has been written and read again, so its intermediate tables can go."""
-
-    def run_stage(spark, docs, sf_dir):
-        new_stage(spark)
-        return f(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_stage
 def drop_toxic(spark, docs, sf_dir):
     return toxicity.drop_toxic(docs, _labels(spark, sf_dir))
 
 
-@_stage
 def keep_good(spark, docs, sf_dir):
     return quality.keep_good(docs)
 
 
-@_stage
 def one_of_each(spark, docs, sf_dir):
     return jaccard.one_of_each(docs)
 
 
-@_stage
 def mix(spark, docs, sf_dir):
     return mixing.mixed_documents(docs)
 
 
-@_stage
 def pack(spark, docs, sf_dir):
     return packing.pack(docs)
 
@@ -51,8 +36,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``; every one but the last is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; every one but the last is written as Parquet and read again, and then the tables
+    that the stage made for itself are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"), keep=True)
+        with scratch_tables(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"), keep=True)
+        free(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
