@@ -86,19 +86,29 @@ def scratch_tables(spark: SparkSession):
             delete(spark, path)
 
 
-def trained_in_task(sample: DataFrame, label: str, train):
+def trained_in_task(sample: DataFrame, label: str, train, chars: int):
     """``train(texts, labels)`` of a bounded sample (doc_id, text, label), run by one task; what it returns, unpickled.
 
-    The driver holds neither the texts nor the arrays of the training, and a lost executor costs one rerun. Rows come
-    in order of id, so reruns agree. ``train`` returns plain containers and arrays.
+    The driver holds neither the texts nor the arrays of the training, and a lost executor costs one rerun. Texts come
+    in order of their ids' hashes, whole, until those of a label would exceed ``chars`` characters; the first text of
+    a label is in the sample however long it is. ``train`` gets them in order of id, so reruns agree, and returns plain
+    containers and arrays, of no rows too.
     """
     import pickle
 
     def run(it):
-        rows = sorted((i, t, y) for b in it for i, t, y in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", label))))
+        rows, used = [], {}
+        for batch in it:
+            for i, t, y in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", label))):
+                if y not in used or used[y] + len(t) <= chars:
+                    rows.append((i, t, y))
+                used[y] = used.get(y, 0) + len(t)
+        rows.sort()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
 
-    return pickle.loads(bytes(sample.select("doc_id", "text", label).repartition(1).mapInArrow(run, "model binary").first()["model"]))
+    dealt = sample.select("doc_id", "text", label).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    made = dealt.mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(made["model"])) if made else train([], [])
 
 
 def is_held_out(doc_id: str = "doc_id"):

@@ -5,8 +5,8 @@ those between each two languages of a family vote on the language within it. Wor
 n-grams within a word; a text's decision values are therefore means over its words, worked out once a distinct word.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is every text where no labelled row
-exists; null and repeated ids are rows like others; a language without a listed family is a family of its own. Extra
-columns are ignored.
+exists; null and repeated ids are rows like others; a language without a listed family is a family of its own. A text
+of any length is read whole in its task. Extra columns are ignored; an empty table has no rows.
 """
 from __future__ import annotations
 
@@ -33,8 +33,8 @@ FAMILIES = {
     "semitic": "am ar he mt",
 }
 NGRAMS, BITS = (2, 3, 4), 13
-#: Bounds of the training sample: rows of a language, rows in all, characters of a text that may be in it.
-MAX_ROWS_PER_LANG, MAX_ROWS, MAX_TRAIN_CHARS = 400, 4000, 20_000
+#: Bounds of the training sample: rows of a language, rows in all, characters of all texts.
+MAX_ROWS_PER_LANG, MAX_ROWS, MAX_CHARS = 400, 4000, 40_000_000
 UNDECIDED = "und"
 
 
@@ -174,23 +174,20 @@ def decide(m: Model, text: pa.Array):
     return lang, score
 
 
-def fit(docs: DataFrame, rows: int = MAX_ROWS_PER_LANG, total: int = MAX_ROWS) -> Model:
-    """Train on the first rows of each language by hash of the id, none held out.
-
-    Texts over ``MAX_TRAIN_CHARS`` come in, by their start, only where a language has too few others.
-    """
-    known = docs.select("doc_id", "lang", F.substring("text", 1, MAX_TRAIN_CHARS).alias("text"), (F.length("text") > MAX_TRAIN_CHARS).alias("long")).where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())  # as many rows as there are languages
-    each = max(1, min(rows, total // max(1, len(langs))))
-    # Spark limits each language's rows before it deals them out, so a hot language brings no more than the others.
-    first = Window.partitionBy("lang").orderBy("long", "h", "doc_id")
-    few = known.where(F.col("doc_id").isNotNull()).select("lang", "doc_id", "long", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
-    picked = [(r.doc_id, r.lang, r.long) for r in few.groupBy("doc_id", "lang").agg(F.min("long").alias("long")).collect()]  # ``total`` at most
-    if not picked:
+def fit(docs: DataFrame, rows: int = MAX_ROWS_PER_LANG, total: int = MAX_ROWS, chars: int = MAX_CHARS) -> Model:
+    """Train on whole texts: the first rows of each language by hash of the id, none held out."""
+    known = docs.select("doc_id", "lang", "text").where(~is_held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    n = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as there are languages
+    if not n:
         return Model()
-    few = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string, long boolean")
-    found = known.join(F.broadcast(few), ["doc_id", "lang", "long"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    return Model(**trained_in_task(found, "lang", lambda texts, y: dict(vars(train(texts, y)))))
+    each = max(1, min(rows, total // len(n)))
+    # Hashes under this bound belong to some four times the rows that are wanted: no language's rows meet in one task.
+    bounds = docs.sparkSession.createDataFrame([(k, min(1.0, (4.0 * each + 400) / v)) for k, v in n.items()], "lang string, most double")
+    low = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(bounds), "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("most"))
+    first = low.groupBy("lang", "doc_id", "h").agg(F.lit(1).alias("x")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= each)
+    few = docs.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in first.collect()], "doc_id long, lang string")  # ``total`` at most
+    found = known.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return Model(**trained_in_task(found, "lang", lambda texts, y: dict(vars(train(texts, y))), chars // len(n)))
 
 
 def language(docs: DataFrame, model: Model | None = None) -> DataFrame:

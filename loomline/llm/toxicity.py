@@ -2,11 +2,13 @@
 
 Every word enters as a hashed word vector beside the mean of its hashed character n-gram vectors
 (3 and 5 UTF-8 bytes of ``^word$``). Windows of 32 words, half overlapping, cover the whole text; a text's
-score is that of its worst window. Texts of fewer words are padded.
+score is that of its worst window. Texts of fewer words are padded. Training takes whole texts of a bounded number of
+labelled rows.
 
 Defined cases: a null, empty or blank text is one window of padding and gets that window's score; rows with a
-null id are scored like others; repeated rows give repeated results; no labelled rows of both kinds (or no
-rows at all) leave an untrained model that scores every text 0. Extra columns are ignored.
+null id are scored like others; repeated rows give repeated results; labels that do not hold rows of both kinds for
+``docs`` (or no rows at all) leave an untrained model that scores every text 0. A very long text is scored in pieces of
+4,096 windows, so its task holds some 300 bytes a word. Extra columns are ignored; an empty table has no scores.
 """
 from __future__ import annotations
 
@@ -25,8 +27,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, BITS, CHAR_NS = 8, 12, 12, 17, (3, 5)
 WORD_DROPOUT = 0.25
 #: Words and n-grams of fewer training texts have no vector: they could only be learnt by heart.
 MIN_TEXTS = 3
-#: Bounds of the training sample: labelled rows of each kind, and characters of a text that may be in it.
-MAX_ROWS_PER_LABEL, MAX_TRAIN_CHARS = 1500, 12_000
+#: Bounds of the training sample: labelled rows of each kind, and characters of all their texts.
+MAX_ROWS_PER_LABEL, MAX_CHARS_PER_LABEL = 1500, 16_000_000
 
 
 def _sigmoid(x):
@@ -200,20 +202,7 @@ def _by_bucket(ids, rows):
     return buckets, np.add.reduceat(rows[order], first, axis=0)
 
 
-def train(texts: list[str], labels: list[int], share: float | None = None, restarts: int = 3, small: int = 1000) -> Model:
-    """The best of ``restarts`` models by loss over the sample, where the sample is under ``small`` texts; else one."""
-    y, best = np.asarray(labels), (np.inf, None)
-    for seed in range(7, 7 + (restarts if len(y) < small else 1)):
-        m = train_once(texts, labels, seed=seed, share=share)
-        if len(y) >= small or not m.trained:
-            return m
-        q = np.clip(score_texts(m, pa.array(texts, pa.string())), 1e-6, 1 - 1e-6)
-        loss = -np.log(np.where(y == 1, q, 1 - q))
-        best = min(best, (loss[y == 1].mean() + loss[y == 0].mean(), m), key=lambda x: x[0])
-    return best[1]
-
-
-def train_once(texts: list[str], labels: list[int], steps: int = 250, batch: int = 256, seed: int = 7, share: float | None = None) -> Model:
+def train(texts: list[str], labels: list[int], steps: int = 250, batch: int = 256, seed: int = 7, share: float | None = None) -> Model:
     """Fit on labelled texts.
 
     The first rounds teach windows their text's label; later ones only the window that now scores highest,
@@ -281,24 +270,23 @@ def score_texts(model: Model, text: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-best))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MAX_ROWS_PER_LABEL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MAX_ROWS_PER_LABEL, chars: int = MAX_CHARS_PER_LABEL) -> Model:
     """Train on at most ``rows`` labelled documents of each kind, the first by hash of the id, none held out."""
     known = labels.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = n[1] / sum(n.values()) if n.get(0) and n.get(1) else None
-    ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
-    picked = {r.doc_id: r.y for part in ids for r in part.collect()}  # 2 * rows at most
-    if not picked:
+    if not (n.get(0) and n.get(1)):
         return Model.fresh()
-    spark = docs.sparkSession
-    few = spark.createDataFrame(list(picked.items()), "doc_id long, y int")
-    found = docs.select("doc_id", "text").where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    share = n[1] / (n[0] + n[1])
+    ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    few = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for part in ids for r in part.collect()], "doc_id long, y int")  # 2 * rows at most
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def fitted(texts, y):
         m = train(texts, y, share=share)
         return m.p, m.trained
 
-    return Model(*trained_in_task(found, "y", fitted))
+    return Model(*trained_in_task(found, "y", fitted, chars))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -185,11 +185,100 @@ def test_rules_are_reached_by_the_prefilter_and_contained_ones_suppressed():
     assert [(d[0], d[1], d[2]) for d in found] == [(0, 5, "mit")]
 
 
-def test_languages_of_long_texts_only_are_learned(spark):
-    from pyspark.sql import functions as F
-
-    d = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) > 0").select("doc_id", "lang", "text")
-    most = d.where("lang is not null").groupBy("lang").count().orderBy("count", "lang").collect()[-1].lang
-    grown = F.expr(f"repeat(text || ' ', cast({language.MAX_TRAIN_CHARS} / length(text) as int) + 1)")
-    m = language.fit(d.withColumn("text", F.when(F.col("lang") == most, grown).otherwise(F.col("text"))))
-    assert most in sum((list(x) for x in m.languages.values()), [])
+def test_corpora_of_long_texts_only_are_learned(spark):
+    r = np.random.default_rng(4)
+    words = {k: [f"{k}{i}{k[::-1]}" for i in range(50)] for k in ("aeo", "tzk")}
+    long = lambda k, bad=0: " ".join([*r.choice(words[k], 4000), *["vile", "filth", "scum"] * bad, *r.choice(words[k], 300)])
+    rows = [(i, long(k, 2 * (i % 3 == 0)), k) for i in range(60) for k in [("aeo", "tzk")[i % 2]]]
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(x.lang_pred == rows[x.doc_id][2] for x in language.language(d).collect())
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    m = toxicity.fit(d, labels)
+    got = {x.doc_id: x.score for x in toxicity.score(d, m).collect()}
+    assert m.trained and min(got[i] for i in got if i % 3 == 0) > max(got[i] for i in got if i % 3)
+    # A budget of characters below one text still leaves one text of each kind.
+    assert toxicity.fit(d, labels, chars=10).trained and len(language.fit(d, chars=10).families) == 2
+
+
+def test_scores_equal_a_plain_reading(spark, odd):
+    """Toxicity and language decided word by word with the trained arrays, without slices, batches or shared words."""
+    import pyarrow as pa
+
+    from loomline.llm.common import word_ngrams
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = docs.orderBy("doc_id").limit(40).unionByName(odd.select(*docs.columns)).collect()
+    some = spark.createDataFrame(rows, docs.schema)
+    tox, lan = toxicity.fit(docs, labels), language.fit(docs)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p = {k: v.astype(np.float64) for k, v in tox.p.items()}
+
+    def vector(word):
+        w, ids, _ = word_ngrams(pa.array([word]), toxicity.CHAR_NS, toxicity.BITS)
+        n = len(word_ngrams(pa.array([], pa.string()), toxicity.CHAR_NS, toxicity.BITS)[1])  # those of the padding come first
+        if word == "":
+            return np.concatenate([p["Ew"][w[0]], p["Ec"][ids[:n]].mean(axis=0) if n else np.zeros(toxicity.CHAR_DIM)])
+        return np.concatenate([p["Ew"][w[1]], p["Ec"][ids[n:]].mean(axis=0) if len(ids) > n else np.zeros(toxicity.CHAR_DIM)])
+
+    def gru(xs, W, b, U):
+        h, out, H = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for x in xs:
+            a, u = x @ W + b, h @ U
+            z, r = sig(a[:H] + u[:H]), sig(a[H : 2 * H] + u[H : 2 * H])
+            new = np.tanh(a[2 * H :] + r * u[2 * H :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return np.array(out)
+
+    def plain(text):
+        words = WORD.findall((text or "").lower())
+        best, a = -np.inf, 0
+        while a == 0 or a + toxicity.STRIDE < len(words):
+            xs = [vector(w) for w in (words[a : a + toxicity.WINDOW] + [""] * toxicity.WINDOW)[: toxicity.WINDOW]]
+            h = np.concatenate([gru(xs, p["Wf"], p["bf"], p["Uf"]), gru(xs[::-1], p["Wb"], p["bb"], p["Ub"])[::-1]], axis=1)
+            s = np.tanh(h @ p["Wa"]) @ p["va"]
+            e = np.exp(s - s.max())
+            best, a = max(best, e @ (h @ p["u"]) / e.sum() + p["b"][0]), a + toxicity.STRIDE
+        return sig(best)
+
+    got = toxicity.score(some, tox).collect()
+    assert len(got) == len(rows)
+    short = [(g.score, r.text) for g, r in zip(sorted(got, key=lambda x: (x.doc_id is None, x.doc_id)), sorted(rows, key=lambda x: (x.doc_id is None, x.doc_id))) if len(r.text or "") < 3000]
+    for s, t in short[:30]:
+        assert abs(s - plain(t)) < 1e-4, t
+
+    def plain_lang(text):
+        words = [w for w in WORD.findall((text or "").lower()) if any(c.isalpha() for c in w)]
+        if not words:
+            return "und"
+        x = np.zeros(2 << language.BITS)
+        n = len(word_ngrams(pa.array([], pa.string()), language.NGRAMS, language.BITS)[1])
+        for w in words:
+            own, ids, _ = word_ngrams(pa.array([w]), language.NGRAMS, language.BITS)
+            np.add.at(x, ids[n:], 1 / max(1, len(ids) - n) / len(words))
+            x[(1 << language.BITS) + own[1]] += 1 / len(words)
+        d = x @ lan.weights.astype(np.float64) + lan.bias
+
+        def vote(classes):
+            total = dict.fromkeys(classes, 0.0)
+            for (a, b), k in lan.columns.items():
+                if a in classes and b in classes:
+                    t = np.tanh(d[k])
+                    total[a if d[k] > 0 else b] += 1
+                    total[a] += t / (4 * len(classes))
+                    total[b] -= t / (4 * len(classes))
+            return max(classes, key=lambda c: total[c])
+
+        return vote(lan.languages[vote(lan.families)])
+
+    for x in language.language(some, lan).collect():
+        assert x.lang_pred in {plain_lang(r.text) for r in rows if r.doc_id == x.doc_id}
+
+
+def test_no_rows_or_labels_of_other_documents(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000, 1040)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.toxicity(odd, labels).collect()} == {0.0}
+    assert toxicity.drop_toxic(odd, labels).count() == len(ODD) and toxicity.drop_toxic(odd.limit(0), labels).count() == 0
+    assert language.language(odd.limit(0)).count() == 0
