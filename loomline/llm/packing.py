@@ -2,16 +2,21 @@
 
 Documents become token ids plus an end id; those over the capacity are cut into capacity-sized pieces. As a piece
 counts by its length alone, packing works on a histogram of at most ``CAPACITY`` lengths, which the driver may hold
-at any input size: around the largest length left, fillings of the rest are enumerated from large to small (a
-filling that one larger length replaces exactly is dominated by it and not visited), pruned by the waste of the
-best one so far, whose first value is the best-fit filling; the winner is used for as many sequences as the counts
-allow, which uses up at least one length. Pieces then take the places of their length by rank.
+at any input size. The incumbent is the whole best-fit solution. Where it needs more sequences than a lower bound, the
+search fills sequences around the largest length left: undominated fillings are enumerated, the least wasteful first,
+each taken for as many sequences as the counts allow and then for fewer, and a branch ends when its waste rules out
+fewer sequences than the incumbent's. What is left is packed by best fit at some levels, for further incumbents. The
+search has a budget of visits; the plan tells whether its result is proved least. Pieces then take the places of their
+length by rank.
 
 Defined cases: null and empty texts are the end id alone; null and repeated ids are rows like others; an empty
-table packs into nothing. Extra columns are ignored.
+table packs into nothing. A text of any length is tokenised whole in its task. Extra columns are ignored.
 """
 from __future__ import annotations
 
+import logging
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import batches, crc, materialise, starts, text_slices, utf8, words_of
 
 CAPACITY, END_ID = 4096, 1
-#: Fillings visited for one largest length; the best-fit incumbent stands if none is better by then.
-NODES = 3000
+#: Visits of the whole search, and of one tier of waste at one level; where they run out, the best solution so far
+#: stands and ``Plan.proved`` is false.
+NODES, TIER_NODES = 1 << 20, 3000
 #: Distinct words whose ids a task remembers.
 CACHE_WORDS = 500_000
 
@@ -153,82 +159,237 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     return batches(docs, "doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def complete(rest: int, left: dict[int, int], mask: int, nodes: int = NODES) -> list[tuple[int, int]]:
-    """The filling of ``rest`` with least waste: (length, how many). ``mask`` has a bit for each length left."""
-    best: list = [rest, []]
-    spent = 0
-
-    def visit(space: int, limit: int, chosen: list[tuple[int, int]]) -> None:
-        nonlocal spent
-        if space < best[0]:
-            best[:] = [space, list(chosen)]
+def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """The best-fit solution, longest pieces first: (how many of each length a sequence holds, sequences)."""
+    spaces: dict[int, list] = {}  # space left: sequences alike
+    for k in sorted(histogram, reverse=True):
+        n = histogram[k]
+        # The tightest space that fits takes pieces until it no longer fits one, as it stays the tightest.
+        for space in sorted(s for s in spaces if s >= k):
+            each, alike = space // k, spaces.pop(space)
+            while alike and n:
+                filling, m = alike.pop()
+                full = min(m, n // each)
+                last = 1 if full < m and n % each and n // each == full else 0
+                for times, held in ((full, each), (last, n % each)):
+                    if times:
+                        spaces.setdefault(space - held * k, []).append((filling | {k: held}, times))
+                if m - full - last:
+                    alike.append((filling, m - full - last))
+                n -= full * each + last * (n % each)
+            if alike:
+                spaces.setdefault(space, []).extend(alike)
+            if not n:
+                break
+        each = capacity // k
+        for times, held in ((n // each, each), (int(n % each > 0), n % each)):
+            if times:
+                spaces.setdefault(capacity - held * k, []).append(({k: held}, times))
+    return [x for alike in spaces.values() for x in alike]
+
+
+def least_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A number of sequences that no packing goes below: by all tokens, and by the pieces over each size alone."""
+    n = np.zeros(capacity + 2, np.int64)
+    for k, v in histogram.items():
+        n[k] = v
+    count, tokens = np.cumsum(n), np.cumsum(n * np.arange(len(n)))
+    least = -(-int(tokens[-1]) // capacity)
+    half = capacity // 2
+    for small in range(0, half + 1):
+        # Pieces over ``capacity - small`` stand alone; others over half fill up with pieces from ``small`` to half.
+        alone = count[capacity] - count[capacity - small]
+        large = count[capacity - small] - count[half]
+        space = large * capacity - (tokens[capacity - small] - tokens[half])
+        rest = tokens[half] - (tokens[small - 1] if small else 0)
+        least = max(least, int(alone + large + max(0, -(-(rest - space) // capacity))))
+    return least
+
+
+def _dominated(filling: list[tuple[int, int]], space: int, left: dict[int, int], mask: int) -> bool:
+    """Whether a piece at hand could be added, or one of a length not in the filling could stand for some of its pieces
+    (all subsets of up to eight pieces, else one or two) and still fit: those then fit where it would have gone."""
+    spare = mask
+    for k, n in filling:
+        if left[k] == n:
+            spare &= ~(1 << k)
+    if spare & ((2 << space) - 1):
+        return True
+    others = mask & ~sum(1 << k for k, _ in filling)
+    held = [k for k, n in filling for _ in range(n)]
+    if len(held) <= 8:
+        sums = {0}
+        for k in held:
+            sums |= {s + k for s in sums}
+    else:
+        kinds = [k for k, _ in filling]
+        sums = {*kinds, *(a + b for i, a in enumerate(kinds) for b in kinds[i + 1 :]), *(2 * k for k, n in filling if n > 1)}
+    return any((others >> s) & ((2 << space) - 1) for s in sums if s)
+
+
+def fillings(space: int, left: dict[int, int], mask: int, most, spend):
+    """Undominated fillings [(length, how many)] of a space that waste at most ``most()``, the least wasteful first, by
+    tiers of waste. ``mask`` has a bit for each length left; ``spend(n)`` tells whether an n-th visit may be made."""
+
+    def visit(space, limit, chosen, low, high):
+        nonlocal visits
+        visits += 1
+        if low <= space <= high and not _dominated(chosen, space, left, mask):
+            yield chosen
         top = min(space, limit)
-        while best[0] and spent < nodes:
+        while top > 0 and (space > low or not low) and space and spend(visits):
             at = (mask & ((2 << top) - 1)).bit_length() - 1
             if at < 1:
                 return
-            spent += 1
             # The most of one length first, then fewer: what follows is smaller, so no filling comes twice.
             for k in range(min(left[at], space // at), 0, -1):
-                visit(space - k * at, at - 1, [*chosen, (at, k)])
-                if not best[0] or spent >= nodes or k * at == space:
-                    break
+                yield from visit(space - k * at, at - 1, [*chosen, (at, k)], low, high)
             top = at - 1
-            if top < 1:
-                return
 
-    visit(rest, rest, [])
-    return best[1]
+    low, high = 0, 0
+    while low <= min(space, most()):
+        visits = 0
+        yield from visit(space, space, [], low, high)
+        low, high = high + 1, 4 * high + 3
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> np.ndarray:
-    """Rows (length, first rank, ranks, pieces a sequence, first sequence, offset), by length and first rank.
+@dataclass
+class Plan:
+    """rows: (length, first rank, ranks, pieces a sequence, first sequence, offset); sequences used; the number that no
+    packing goes below; whether the search shows that no packing needs fewer (else ``nodes`` ran out)."""
 
-    At most ``capacity`` patterns of at most about ``sqrt(2 * capacity)`` lengths each: a bounded table.
-    """
+    rows: np.ndarray
+    sequences: int
+    bound: int
+    proved: bool
+
+
+def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES):
+    """(solution, bound, proved): bin completion. Each level fills sequences around the largest piece left; a branch is
+    an undominated filling and how many sequences take it."""
     left = {k: v for k, v in histogram.items() if v > 0}
+    best, bound = best_fit(left, capacity), least_sequences(left, capacity)
+    size = lambda solution: sum(m for _, m in solution)
+    most, total, waste, spent, cut, seen = size(best), sum(k * v for k, v in left.items()), 0, 0, False, set()
     mask = sum(1 << k for k in left)
-    used = dict.fromkeys(left, 0)
-    rows, sequence = [], 0
-    while left:
+
+    def room():
+        """Tokens that a better solution may still waste from here on."""
+        return (most - 1) * capacity - total - waste
+
+    def spend(visits):
+        nonlocal spent, cut
+        spent += 1
+        cut |= visits > TIER_NODES or spent > nodes
+        return visits <= TIER_NODES and spent <= nodes
+
+    def options():
+        """(filling with the largest piece, how often, waste) of every branch of a node."""
         largest = mask.bit_length() - 1
         left[largest] -= 1
         inner = mask if left[largest] else mask & ~(1 << largest)
-        filling = dict(complete(capacity - largest, left, inner, nodes))
-        left[largest] += 1
-        filling[largest] = filling.get(largest, 0) + 1
-        times, offset = min(left[k] // n for k, n in filling.items()), 0
-        for k, n in sorted(filling.items(), reverse=True):
-            rows.append((k, used[k], times * n, n, sequence, offset))
-            offset += k * n
-            used[k] += times * n
-            left[k] -= times * n
-            if not left[k]:
+        found = fillings(capacity - largest, left, inner, room, spend)
+        while True:
+            f = next(found, None)
+            left[largest] += 1
+            if f is None:
+                return
+            filling = dict(f)
+            filling[largest] = filling.get(largest, 0) + 1
+            lost = capacity - sum(k * n for k, n in filling.items())
+            times = min(left[k] // n for k, n in filling.items())
+            while times and room() >= 0:
+                times = min(times, room() // lost) if lost else times
+                if times < 1:
+                    break
+                yield filling, times, lost * times
+                times -= 1
+            left[largest] -= 1
+
+    def move(filling, times):
+        nonlocal mask
+        for k, n in filling.items():
+            left[k] = left.get(k, 0) - n * times
+            if left[k]:
+                mask |= 1 << k
+            else:
                 del left[k]
                 mask &= ~(1 << k)
+
+    # Depth first, without recursion: the choices so far, and the open branches of each level.
+    chosen: list = []
+    levels = [options()] if most > bound else []
+    while levels and most > bound:
+        step = next(levels[-1], None)
+        if step is None:
+            levels.pop()
+            if chosen:
+                filling, times, lost = chosen.pop()
+                move(filling, -times)
+                waste -= lost
+            continue
+        filling, times, lost = step
+        move(filling, times)
+        waste += lost
+        chosen.append(step)
+        state = hash((frozenset(left.items()), waste))
+        if left and room() >= 0 and state not in seen and spent <= nodes:
+            seen.add(state)
+            if len(levels) & (len(levels) - 1) == 0:  # whole best-fit solutions of what is left are incumbents too
+                whole = [*((f, t) for f, t, _ in chosen), *best_fit(left, capacity)]
+                best, most = min((best, most), (whole, size(whole)), key=lambda x: x[1])
+            levels.append(options())
+            continue
+        if not left and size(s := [(f, t) for f, t, _ in chosen]) < most:
+            best, most = s, size(s)
+        chosen.pop()
+        move(filling, -times)
+        waste -= lost
+    return best, bound, most == bound or not cut and spent <= nodes
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+    """The packing of a histogram of lengths as a table by length and first rank.
+
+    Its rows are as many as the solution's patterns hold different lengths, whatever the counts: a bounded table.
+    """
+    solution, bound, proved = complete(histogram, capacity, nodes)
+    used: dict[int, int] = {}
+    rows, sequence = [], 0
+    for filling, times in solution:
+        offset = 0
+        for k, n in sorted(filling.items(), reverse=True):
+            rows.append((k, used.get(k, 0), times * n, n, sequence, offset))
+            offset += k * n
+            used[k] = used.get(k, 0) + times * n
         sequence += times
-    return np.array(sorted(rows), np.int64).reshape(-1, 6)
+    return Plan(np.array(sorted(rows), np.int64).reshape(-1, 6), sequence, bound, proved)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, nodes: int = NODES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; and, the same in all rows, bound (no
+    packing has fewer sequences) and proved (none has fewer than this one)."""
     cut = materialise(pieces(docs, capacity, path), "pieces")
     hist = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     hist = hist.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n"))
     hist = materialise(hist, "lengths")
     counts = {r.length: r.n for r in hist.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    table = docs.sparkSession.sparkContext.broadcast(plan(counts, capacity))
+    found = plan(counts, capacity, nodes)
+    if not found.proved:
+        logging.getLogger(__name__).warning("packing: %d sequences, at least %d are needed; the search's %d visits ran out", found.sequences, found.bound, nodes)
+    table = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(it):
-        p = table.value
+        p = table.value.rows
         key = (p[:, 0] << 44) + p[:, 1]
         for batch in it:
             length, rank = (batch.column(k).to_numpy() for k in ("length", "rank"))
             at = np.searchsorted(key, (length << 44) + rank, side="right") - 1
             inside = rank - p[at, 1]
-            out = {"sequence_id": p[at, 4] + inside // p[at, 3], "offset": p[at, 5] + inside % p[at, 3] * length}
+            out = {"sequence_id": p[at, 4] + inside // p[at, 3], "offset": p[at, 5] + inside % p[at, 3] * length, "bound": np.full(len(at), table.value.bound), "proved": np.full(len(at), table.value.proved)}
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *map(pa.array, out.values())], names=[*names, *out])
 
-    ranked = cut.join(hist.drop("n"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
-    return batches(ranked, "doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # A row a task and length: it grows with the input, so it is merged, not broadcast.
+    ranked = cut.join(hist.drop("n").hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    return batches(ranked, "doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, bound long, proved boolean")

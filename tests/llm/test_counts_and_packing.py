@@ -1,5 +1,6 @@
 """Token counts, packing and mixing: exact round trips and edge cases."""
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,12 +91,43 @@ def test_packing_round_trip(docs):
 @pytest.mark.parametrize("histogram, best", [({6: 2, 4: 2}, 2), ({10: 3}, 3), ({7: 1, 5: 1, 3: 2, 2: 1}, 2), ({9: 1, 8: 1, 6: 2}, 4), ({3: 4, 7: 2, 5: 1, 4: 1, 1: 1}, 4), ({}, 0)])
 def test_plan_is_best(histogram, best):
     p = packing.plan(histogram, 10)
-    assert sum(p[:, 2]) == sum(histogram.values()) and (p[:, 4] + p[:, 2] // p[:, 3]).max(initial=0) == best
-
-
-def test_completion_beats_best_fit():
-    # Best fit takes 5 and leaves 2; 4 + 3 fills the space.
-    assert sorted(packing.complete(7, {5: 1, 4: 1, 3: 1}, 1 << 5 | 1 << 4 | 1 << 3)) == [(3, 1), (4, 1)]
+    assert sum(p.rows[:, 2]) == sum(histogram.values()) and (p.rows[:, 4] + p.rows[:, 2] // p.rows[:, 3]).max(initial=0) == p.sequences == best
+    assert p.proved and p.bound <= best
+
+
+def fewest(items, capacity):
+    """Sequences needed, by dynamic programming over all subsets."""
+    best = [(0, 0)]
+    for m in range(1, 1 << len(items)):
+        tries = []
+        for i, x in enumerate(items):
+            if m >> i & 1:
+                n, held = best[m ^ 1 << i]
+                tries.append((n, held + x) if n and held + x <= capacity else (n + 1, x))
+        best.append(min(tries))
+    return best[-1][0]
+
+
+def test_plan_equals_brute_force():
+    r, beaten = random.Random(1), 0
+    for _ in range(400):
+        capacity = r.choice([10, 30, 100, 100])
+        items = [r.randint(1, r.choice([capacity // 3, capacity * 7 // 10, capacity])) for _ in range(r.randint(1, 11))]
+        p, fit = packing.plan(Counter(items), capacity), packing.best_fit(Counter(items), capacity)
+        need = fewest(items, capacity)
+        assert p.bound <= need == p.sequences and p.proved, (items, capacity)
+        assert Counter(k for f, m in fit for k, n in f.items() for _ in range(n * m)) == Counter(items)
+        assert all(sum(k * n for k, n in f.items()) <= capacity for f, _ in fit)
+        beaten += sum(m for _, m in fit) > need
+    assert beaten
+    assert packing.plan(Counter([51, 67, 20, 46, 63, 31, 17, 15, 24, 57, 52, 45]), 100).sequences == 5
+
+
+def test_a_spent_budget_says_so():
+    items = [random.Random(3).randint(700, 2200) for _ in range(1)] + [random.Random(k).randint(700, 2200) for k in range(300)]
+    p = packing.plan(Counter(items), nodes=500)
+    assert p.bound <= p.sequences and (p.proved or p.bound < p.sequences)
+    assert p.sequences <= sum(m for _, m in packing.best_fit(Counter(items)))
 
 
 def test_mixing_totals(spark):
