@@ -1,10 +1,12 @@
 """Top-k search, Jaccard join and quotation linking against brute force."""
 import random
 import re
+import time
 
 import pytest
 
-from loomline.llm import jaccard, quotes, topk
+from loomline.llm import jaccard, mixing, quotes, topk
+from loomline.llm.common import scratch_dir
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -137,9 +139,64 @@ def test_quotes_link_nested_levels(spark):
     assert quotes.link(d.limit(0)).count() == 0
 
 
+def threads(seed, n=120):
+    """Messages of three conversations, most of which quote one before them."""
+    r, rows = random.Random(seed), []
+    for t in range(n):
+        said = f"message {t} says {r.randrange(1000)}"
+        c, earlier = t % 3, [x for x in rows if x[0] == t % 3]
+        quote = [f"> {x}" for x in r.choice(earlier[-6:] if r.random() < 0.6 else earlier)[3].split("\n") if not x.startswith(">")] if earlier and r.random() < 0.8 else []
+        rows.append((c, t * 1500, "user", "\n".join([*quote, said])))
+    return rows
+
+
+def test_reply_order(spark):
+    rows = threads(2)
+    got = {(r.conv_id, r.turn): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    said = {x: (c, t) for c, t, _, text in rows for x in text.split("\n") if not x.startswith(">")}
+    kids, up = {}, {}
+    for c, t, _, text in rows:
+        if text.startswith(">"):
+            up[c, t] = said[text.split("\n")[0][2:]]
+            kids.setdefault(up[c, t], []).append((c, t))
+    assert len(up) > 60 and all(got[k].reply_to == v[1] for k, v in up.items())
+
+    def walk(v):
+        return [v, *(x for k in sorted(kids.get(v, [])) for x in walk(k))]
+
+    for v in got:
+        if v not in up:
+            assert [got[x].position for x in walk(v)] == list(range(len(walk(v)))) and {got[x].root for x in walk(v)} == {v[1]}
+
+
+def test_quotes_of_long_messages(spark):
+    lines = [f"{'>' * (i % 4)} line {i}" for i in range(60_000)]
+    d = spark.createDataFrame([(1, 0, "user", "line 1\nline 2"), (1, 1, "user", "\n".join(lines))], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {r.turn: r for r in quotes.link(d).collect()}
+    assert got[1].n_quotes == 45_000 and got[1].text.count("\n") == 14_999 and time.time() - began < 60
+
+
+def executed(spark, run):
+    """What ``run()`` executes, as plans: every query, not the last one alone."""
+    seen, before = [], spark._jsparkSession.sharedState().statusStore().executionsCount()
+    run()
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for i in range(before, runs.size()):
+        seen.append(runs.apply(i).physicalPlanDescription())
+    return seen
+
+
 def test_native_plans_run_no_python(spark):
-    d = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
-    assert "Python" not in quotes.link(d)._jdf.queryExecution().toString()
+    data = "/root/testdata/sf0.001"
+    talk = spark.createDataFrame(threads(4, 30), "conv_id long, turn long, role string, text string")
+    talk.write.mode("overwrite").parquet(path := f"{scratch_dir(spark)}/talk")
+    talk, docs = spark.read.parquet(path), spark.read.parquet(f"{data}/documents.parquet")
+    for run in (lambda: quotes.link(talk).write.format("noop").mode("overwrite").save(), lambda: mixing.mix(docs).write.format("noop").mode("overwrite").save(), lambda: mixing.mixed_documents(docs).write.format("noop").mode("overwrite").save()):
+        plans = executed(spark, run)
+        assert len(plans) > 2 and not any(re.search("Python|Arrow|Pandas|ExternalRDD|SerializeFromObject", x) for x in plans)
 
 
 def test_hot_runs_that_do_not_link(spark, monkeypatch):
