@@ -7,13 +7,16 @@ slot. Slots are ranked within their source, and slot r takes the source's block
 documents in hash order, cut into blocks of equal words. A source's blocks are used up evenly, so a document is taken
 at most ``MOST`` times.
 
-Prefix sums run in two levels (within hash buckets, then over them), so no source, however hot, is sorted in one
-task. The number of slots is at most ``SLOTS``, whatever the input: a block grows with it. A source of fewer than
-``LEAST`` such blocks would miss its target by too much, so it is taken by words: in whole rounds, and the rest of its
-target from the start of its order.
+Prefix sums run in two levels (within stretches of the hash order, which grow in number with the input, then over
+them), so no source, however hot, is sorted in one task; one row a source is, as targets depend on all of them. The
+number of slots is at most ``SLOTS``, whatever the input: a block grows with it. A source of fewer than ``LEAST`` such
+blocks would miss its target by too much, so it is taken by words: in whole rounds, and the rest of its target from the
+start of its order.
 
 Defined cases: a null text has size 0 and is not taken; a null source is a source of its own, the last; null and
-repeated ids are rows like others; an empty table, or one without words, takes nothing. Extra columns are ignored.
+repeated ids are rows like others; an empty table, or one without words, takes nothing. A text of any length counts its
+words in its row; it may span many blocks. Extra columns are ignored, and kept by ``mixed_documents``, whatever their
+names.
 """
 from __future__ import annotations
 
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 MOST, SLOTS, GOLDEN, ROUND = 3, 1 << 20, 2654435769, 1 << 32
-BUCKETS = 1024
+#: Slots that are ranked at once; documents of one source that are laid out at once, about.
+SLOT_PART, STRETCH_DOCS = 1024, 1 << 16
 #: Blocks of more than one word that a source must have to be taken by blocks.
 LEAST = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,14 +35,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, src, place (hash order within the source) and size of every document."""
-    d = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))).alias("place"))
-    return d.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 3), 16, 10).cast("int") / (4096 // BUCKETS)))
+    return docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))).alias("place"))
 
 
 def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
     """src, source_size, target, and the target's stretch [low, high) of 2^32 points: one row a source."""
     every = Window.partitionBy()
-    s = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
+    s = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     s = s.withColumn("weight", ((F.row_number().over(Window.orderBy("src")) - 1) % 3 + 1).cast("long")).withColumn("total", F.sum("source_size").over(every))
     # Sources fill up in the order of cap / weight: the level is that of the first source that stays under its cap.
     s = s.withColumn("cap", most * F.col("source_size")).withColumn("fills_at", F.col("cap") / F.col("weight"))
@@ -51,7 +54,7 @@ def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
     s = s.withColumn("sum_to", F.sum("whole").over(Window.orderBy("src"))).withColumn("all_whole", F.greatest(F.sum("whole").over(every), F.lit(1)))
     point = lambda c: F.floor(c.cast("double") / F.col("all_whole").cast("double") * F.lit(float(ROUND))).cast("long")
     s = s.withColumn("low", point(F.col("sum_to") - F.col("whole"))).withColumn("high", point(F.col("sum_to")))
-    return s.select("src", "source_size", "target", "low", "high", "total")
+    return s.select("src", "source_size", "target", "low", "high", "total", F.sum("n_docs").over(every).alias("all_docs"))
 
 
 def schedule(spark, n_slots: int, stretches: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def schedule(spark, n_slots: int, stretches: DataFrame) -> DataFrame:
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % ROUND).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") / (ROUND // cells)).cast("long"))
     held = stretches.where("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / (ROUND // cells)), F.floor((F.col("high") - 1) / (ROUND // cells)))))
-    given = slots.join(held.select("cell", "src", "low", "high"), "cell").where("u >= low and u < high").select("slot", "src", F.floor(F.col("slot") / BUCKETS).alias("part"))
+    given = slots.join(held.select("cell", "src", "low", "high"), "cell").where("u >= low and u < high").select("slot", "src", F.floor(F.col("slot") / SLOT_PART).alias("part"))
     before = given.groupBy("src", "part").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("src").orderBy("part")) - F.col("n"))
     ranked = given.withColumn("inner", F.row_number().over(Window.partitionBy("src", "part").orderBy("slot")) - 1)
@@ -72,7 +75,11 @@ def mix(docs: DataFrame, most: int = MOST, slots: int = SLOTS) -> DataFrame:
     spark = docs.sparkSession
     sized = materialise(sizes(docs), "sizes")
     goals = materialise(targets(sized, most), "targets")
-    total = (goals.agg(F.max("total")).first()[0] or 0)
+    most_of = goals.agg(F.max("total").alias("total"), F.max("all_docs").alias("docs")).first()
+    total, n_docs = most_of["total"] or 0, most_of["docs"] or 0
+    # Stretches of the hash order, in bits of the place's first six digits: some ``STRETCH_DOCS`` documents each at most.
+    bits = min(24, max(10, (n_docs // STRETCH_DOCS).bit_length()))
+    sized = sized.withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 6), 16, 10).cast("int"), 24 - bits))
     block = max(1, -(-total // slots))
     per_source = goals.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("by_words", F.lit(block > 1) & (F.col("blocks") < LEAST))
     per_source = per_source.withColumn("rounds", F.floor(F.floor("target") / F.greatest("source_size", F.lit(1)))).withColumn("rest", F.floor("target") - F.col("rounds") * F.col("source_size"))
@@ -100,11 +107,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Blocks of a source are used in turn, so all its documents but one at the turn are taken a whole number of times
     or nearly so. Columns as in ``docs``; a row taken for less than half its words is not in the mix.
     """
-    times = mix(docs).groupBy("doc_id", "source", "size").agg(F.floor(F.avg(F.col("taken") / F.greatest(F.col("size"), F.lit(1))) + 0.5).cast("int").alias("_times"))
-    keyed = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    cols = [f"d.`{c}`" for c in docs.columns]
-    on = F.expr("d.doc_id <=> t.doc_id and d.source <=> t.source and d._size = t.size")
-    return keyed.alias("d").join(times.where("_times > 0").alias("t"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)
+    times = mix(docs).groupBy("doc_id", "source", "size").agg(F.floor(F.avg(F.col("taken") / F.greatest(F.col("size"), F.lit(1))) + 0.5).cast("int").alias("times"))
+    # The document goes as one column, so none of its own clashes with these.
+    keyed = docs.select(F.struct("*").alias("d"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    on = F.expr("k.d.doc_id <=> t.doc_id and k.d.source <=> t.source and k.size = t.size")
+    return keyed.alias("k").join(times.where("times > 0").alias("t"), on).select("k.d", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("d.*")
 
 
 #: DuckDB's version of ``mix`` over ``documents``.
@@ -122,17 +129,18 @@ lv as (select own_level as level from s4 where fills_at >= own_level order by fi
 s5 as (select s4.*, case when cap < level * weight then cap::double else level * weight end as target from s4, lv),
 s6 as (select *, floor(target)::bigint as whole from s5),
 s7 as (select *, sum(whole) over (order by src)::bigint as sum_to, greatest(sum(whole) over (), 1)::bigint as all_whole from s6),
-goal as (select src, source_size, target, total, greatest(1, -(-total // {SLOTS}))::bigint as block,
+goal as (select src, source_size, target, total, greatest(1, (total + {SLOTS} - 1) // {SLOTS})::bigint as block,
          floor((sum_to - whole)::double / all_whole::double * {ROUND}.0::double)::bigint as low, floor(sum_to::double / all_whole::double * {ROUND}.0::double)::bigint as high from s7),
-g2 as (select *, ceil(source_size::double / block)::bigint as blocks from goal),
+g2 as (select *, block > 1 and blocks < {LEAST} as by_words, floor(target)::bigint // greatest(source_size, 1) as rounds, floor(target)::bigint % greatest(source_size, 1) as rest
+       from (select *, (source_size + block - 1) // block as blocks from goal)),
 slots as (select i as slot, (i * {GOLDEN}) % {ROUND} as u from (select unnest(range((select coalesce(max(total // block), 0) from goal))) as i)),
-given as (select slot, src, row_number() over (partition by src order by slot) - 1 as rnk, blocks from slots join g2 on u >= low and u < high),
+given as (select slot, src, row_number() over (partition by src order by slot) - 1 as rnk, blocks from slots join g2 on u >= low and u < high and not by_words),
 uses as (select src, rnk % blocks as b, count(*) as uses from given where rnk < {MOST} * blocks group by 1, 2),
-laid as (select d.doc_id, d.src, d.size, block, (sum(size) over (partition by d.src order by place, doc_id, size rows between unbounded preceding and current row) - size)::bigint as start
+laid as (select d.doc_id, d.src, d.size, block, by_words, rounds, rest, (sum(size) over (partition by d.src order by place, doc_id, size rows between unbounded preceding and current row) - size)::bigint as start
          from d join g2 on d.src = g2.src),
-touched as (select *, unnest(range(start // block, (start + size - 1) // block + 1)) as b from laid where size > 0),
+touched as (select *, unnest(range(start // block, (start + size - 1) // block + 1)) as b from laid where size > 0 and not by_words),
 taken as (select t.src, doc_id, size, start, sum((least(start + size, (t.b + 1) * block) - greatest(start, t.b * block)) * coalesce(uses, 0))::bigint as taken
           from touched t left join uses u on t.src = u.src and t.b = u.b group by 1, 2, 3, 4),
-every as (select * from taken union all select src, doc_id, size, start, 0 from laid where size = 0)
+every as (select * from taken union all select src, doc_id, size, start, case when by_words then rounds * size + greatest(least(start + size, rest) - start, 0) else 0 end from laid where size = 0 or by_words)
 select doc_id, size, source_size, target, taken, case when e.src <> 't' then substr(e.src, 2) end as source from every e join goal on e.src = goal.src
 """

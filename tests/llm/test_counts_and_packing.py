@@ -165,6 +165,37 @@ def test_mixed_documents_follow_the_mix(spark):
     assert got == want and mixing.mixed_documents(d).schema == d.schema
 
 
+def test_mixing_of_many_small_sources(spark):
+    # 200 sources of three words beside one of 1.2 million words, with blocks of some 300 words.
+    rows = [(i, "a b c", f"s{i}") for i in range(200)] + [(1000 + i, "w " * 3000, "big") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=4096).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    assert all(abs(sum(r.taken for r in held) - held[0].target) <= (3 if k != "big" else 600) for k, held in by.items())
+
+
+@pytest.mark.parametrize("slots", [1 << 20, 1000])
+def test_mixing_sql_at_every_block_size(spark, slots, monkeypatch):
+    import duckdb
+
+    d = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source")
+    d = d.unionByName(spark.createDataFrame([(5000 + i, "w " * 50, "tiny") for i in range(3)], d.schema))
+    c = duckdb.connect()
+    documents = d.toPandas()  # noqa: F841  DuckDB reads it by name
+    sql = mixing.ORACLE.replace(str(mixing.SLOTS), str(slots))
+    cur = c.execute(sql)
+    got = mixing.mix(d, slots=slots).select(*[x[0] for x in cur.description]).collect()
+    same = lambda rows: sorted((tuple(round(v, 3) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+    assert same(got) == same(cur.fetchall())
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    d = spark.createDataFrame([(i, "some words here", "s", 7, "x", 1.5) for i in range(9)], "doc_id long, text string, source string, _size int, times string, copy double")
+    out = mixing.mixed_documents(d)
+    assert out.schema == d.schema and {(r._size, r.times, r.copy) for r in out.collect()} == {(7, "x", 1.5)}
+
+
 @pytest.mark.parametrize("slots", [1 << 20, 1000, 20])
 def test_mixing_reaches_small_sources(spark, slots):
     # Blocks of 1, about 170 and about 8,350 words: sources of 1,000 words or fewer lie under a block at the last.
