@@ -671,12 +671,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rows")).alias("x"))
     picked = first.select("x.doc_id", "x.th", (F.col("x.rows") > 1).alias("_many"))
     picked = materialise(picked.unionByName(found.where("comp is null").select("doc_id", "th", F.lit(False).alias("_many"))), "kept")
-    cols = [f"d.`{c}`" for c in docs.columns]
-    kept = docs.alias("d").join(picked.alias("f"), F.expr("d.doc_id <=> f.doc_id and xxhash64(d.text) = f.th")).select(*cols, "_many")
+    # The document goes as one column, so none of its own clashes with these.
+    keyed = docs.select(F.struct("*").alias("d"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    kept = keyed.alias("k").join(picked.alias("f"), F.expr("k.id <=> f.doc_id and k.th = f.th")).select("k.d", "k.id", "k.th", "_many")
     if picked.where("_many").isEmpty():
-        return kept.drop("_many")
+        return kept.select("d.*")
     # Rows that repeat both id and text: one of them stays.
-    return kept.where("not _many").unionByName(kept.where("_many").dropDuplicates(["doc_id", "text"])).drop("_many")
+    return kept.where("not _many").select("d.*").unionByName(kept.where("_many").withColumn("text", F.col("d.text")).dropDuplicates(["id", "text"]).select("d.*"))
 
 
 #: DuckDB's version of ``join`` over ``documents``: every pair that shares a shingle is counted.

@@ -1,13 +1,15 @@
 """Quality rules with cross-document line frequency.
 
 Each line (lower-cased, white space collapsed) is hashed; for each host (``source``) the distinct documents that
-hold it are counted, exact copies of a text counting once. Lines in more than ``max(MIN_LINE_DOCS, LINE_SHARE *
+hold it are counted, exact copies of a text being one document: else a text with many copies would lose all its lines,
+and the copies are for the join to settle. Lines in more than ``max(MIN_LINE_DOCS, LINE_SHARE *
 distinct texts of the host)`` of them are removed, and a document that loses more than ``MAX_LOST`` of its words is
 rejected as depleted. The base rules reject texts of under 50 words and texts of mostly repeated 3-word windows.
 
 Defined cases: a null text counts as empty; it has no words and fails the base rules. A null source is a host of
-its own. Null and repeated ids are rows like others, each judged by its own text and host. Extra columns are
-ignored. Nothing is sampled: counts cover every line of every document.
+its own. Null and repeated ids are rows like others, each judged by its own text and host. A text of any length is
+measured whole in its task. Extra columns are ignored, and kept by ``keep_good``, whatever their names. An empty table
+gives no rows. Nothing is sampled: counts cover every line of every document.
 """
 from __future__ import annotations
 
@@ -67,7 +69,7 @@ def _line_hash(line: str) -> int:
 
 
 def measure(text: pa.Array) -> dict:
-    """The base counts of each text, and its distinct normalised lines: hashes and words they hold there."""
+    """The base counts of each text, and hashes of its normalised lines (null where a line has no word) with their words."""
     codes, counts, vocabulary = words_of(text)
     out = {"n_words": counts.astype(np.int64)}
     out["word_chars"] = _per_row(pc.utf8_length(vocabulary).to_numpy().astype(np.int64)[codes], counts)
@@ -82,15 +84,9 @@ def measure(text: pa.Array) -> dict:
     _, first = np.unique(row[full] * np.int64(len(lines) + 1) + lc[full], return_index=True)
     out["n_dup_lines"] = np.bincount(row[full], minlength=len(ln)) - np.bincount(row[full][first], minlength=len(ln))
     hashed = np.array([_line_hash(x) for x in lines.to_pylist()], np.int64)
-    h = hashed[lc[full]]
-    order = np.lexsort((h, row[full]))
-    r, h, w = row[full][order], h[order], words[full][order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    at = np.flatnonzero(new)
-    off = pa.array(starts(np.bincount(r[at], minlength=len(ln))).astype(np.int32))
-    out["hs"] = pa.ListArray.from_arrays(off, pa.array(h[at]))
-    out["ws"] = pa.ListArray.from_arrays(off, pa.array((np.add.reduceat(w, at) if len(at) else w[:0]).astype(np.int32)))
+    off = pa.array(starts(ln).astype(np.int32))
+    out["hs"] = pa.ListArray.from_arrays(off, pa.array(hashed[lc], mask=~full))
+    out["ws"] = pa.ListArray.from_arrays(off, pa.array(words.astype(np.int32)))
     return out
 
 
@@ -111,7 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def frequent_lines(scanned: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """host, h of the lines above their host's limit. Copies of a text meet in the partial aggregate."""
     hosts = scanned.groupBy("host", "th").agg(F.lit(1).alias("x")).groupBy("host").agg(F.greatest(F.lit(float(least)), F.count("*") * share).alias("most"))
-    held = scanned.select("host", "th", F.explode("hs").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > least)
+    held = scanned.select("host", "th", F.explode(F.array_distinct(F.array_compact("hs"))).alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > least)
     return held.join(hosts, "host").where(F.col("n_docs") > F.col("most")).select("host", "h", "n_docs")
 
 
@@ -119,7 +115,8 @@ def judge(docs: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_SHARE
     """(judged rows, frequent lines): one row a document with its counts, lost words and verdicts."""
     scanned = materialise(scan(docs), "quality")
     bad = materialise(frequent_lines(scanned, least, share), "lines")
-    gone = scanned.select("rid", "host", F.explode(F.arrays_zip("hs", "ws")).alias("x")).select("rid", "host", F.col("x.hs").alias("h"), F.col("x.ws").alias("w")).join(bad, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("lost_words"), F.collect_list("h").alias("lost_lines"))
+    lines = scanned.select("rid", "host", F.posexplode(F.arrays_zip("hs", "ws")).alias("at", "x")).select("rid", "host", "at", F.col("x.hs").alias("h"), F.col("x.ws").alias("w"))
+    gone = lines.join(bad, ["host", "h"]).groupBy("rid").agg(F.sum("w").alias("lost_words"), F.collect_list("at").alias("lost_lines"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = scanned.drop("hs", "ws").join(gone, "rid", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
     judged = judged.withColumn("base_failed", failed).withColumn("depleted", F.col("lost_words") > lost * F.col("n_words"))
@@ -130,36 +127,24 @@ def quality(docs: DataFrame) -> DataFrame:
     return judge(docs)[0].select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The kept documents without their host's frequent lines; n_chars follows. Columns as in ``docs``.
+def keep_good(docs: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_SHARE, lost: float = MAX_LOST) -> DataFrame:
+    """The kept documents without their host's frequent lines; n_chars, where there is one, follows. Columns as in ``docs``.
 
-    The texts move once, to meet their verdicts; a verdict brings the hashes of the lines that go.
+    The texts move once, to meet their verdicts; a verdict brings the numbers of the lines that go, and no text leaves
+    the JVM again.
     """
-    judged, _ = judge(docs)
-    verdict = judged.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("host").alias("_host"), F.col("th").alias("_th")).agg(F.bool_and("kept").alias("_kept"), F.first("lost_lines", ignorenulls=True).alias("_lost"))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_host": F.coalesce("source", F.lit(NO_HOST)), "_th": F.xxhash64("text")})
-    good = keyed.join(verdict.where("_kept"), ["_id", "_host", "_th"]).select(*[f"`{c}`" for c in docs.columns], "_lost")
-    text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-
-    def run(it):
-        for batch in it:
-            for part in text_slices(batch):
-                cols = [part.column(i) for i in range(part.num_columns - 1)]
-                text, lost = cols[text_at].to_pylist(), part.column(part.num_columns - 1).to_pylist()
-                changed = [i for i, x in enumerate(lost) if x]
-                for i in changed:
-                    gone = set(lost[i])
-                    text[i] = "\n".join(x for x in text[i].split("\n") if not (x.strip(" \t\n\x0b\x0c\r") and _line_hash(x) in gone))
-                if changed:
-                    cols[text_at] = pa.array(text, cols[text_at].type)
-                    if chars_at is not None:
-                        size = cols[chars_at].to_pylist()
-                        for i in changed:
-                            size[i] = len(text[i])
-                        cols[chars_at] = pa.array(size, cols[chars_at].type)
-                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-1])
-
-    return good.mapInArrow(run, docs.schema)
+    judged, _ = judge(docs, least, share, lost)
+    verdict = judged.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "host", "th").agg(F.bool_and("kept").alias("kept"), F.first("lost_lines", ignorenulls=True).alias("lost"))
+    # The document goes as one column, so none of its own clashes with these.
+    keyed = docs.select(F.struct("*").alias("d"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce("source", F.lit(NO_HOST)).alias("host"), F.xxhash64("text").alias("th"))
+    good = keyed.join(verdict.where("kept"), ["id", "host", "th"])
+    lines = F.split("d.text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lost")
+    text = F.when(F.col("lost").isNull(), F.col("d.text")).otherwise(F.array_join(F.transform(F.array(lines), lambda v: F.transform(left, lambda i: F.get(v, i)))[0], "\n"))
+    good = good.select("d", "lost", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("lost").isNull(), F.col("d.n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None}
+    cols = [(new[c].cast(docs.schema[c].dataType) if new.get(c) is not None else F.col(f"d.`{c}`")).alias(c) for c in docs.columns]
+    return good.select(*cols)
 
 
 #: DuckDB's version of ``quality`` over ``documents``.

@@ -144,6 +144,11 @@ def test_frequent_lines_and_depletion(spark):
     out = {r.doc_id: r.text for r in quality.keep_good(d).collect()}
     assert out[0] == own(0) and out[200] == rows[40][1] and set(out) == kept
     assert quality.keep_good(d).schema == d.schema and quality.keep_good(d.limit(0)).count() == 0
+    # Columns of the operator's own names, another type of n_chars, lines kept as they stand.
+    odd = d.selectExpr("*", "7 as d", "'x' as lost", "true as kept", "source as host", "cast(length(text) as int) as n_chars", "0L as th")
+    rows = quality.keep_good(odd).collect()
+    assert {r.doc_id: r.text for r in rows} == out and quality.keep_good(odd).schema == odd.schema
+    assert all((r.d, r.lost, r.kept, r.th) == (7, "x", True, 0) and r.host == r.source and r.n_chars == len(r.text) for r in rows)
 
 
 BASE = {("gnu", "general", "public", "license"): "gpl", ("apache", "license"): "apache", ("cc", "by"): "cc-by", ("mit", "license"): "mit"}
