@@ -7,9 +7,13 @@ factors taking complemented slices and a constant. The best k rows are then sele
 downward; rows still tied when the slices end lie on the boundary, where the smaller ids win. Scores of the selected
 rows are worked out exactly from their integers. Blocks' results meet in one window per query.
 
-Defined cases: vectors that are null, empty, of another length than the most common one, or hold a null or
-non-finite component take no part, nor do null ids. A query's own row is every row with its id. A repeated id is a candidate as often as it
-occurs; as a query it counts once, with its smallest vector. Extra columns are ignored.
+A block of candidates is sent once for each group of query blocks and meets them in a cogroup; both are bounded in bytes.
+
+Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part, nor do null ids. All
+others must have ``dims`` components, by default as many as most vectors have; those of another length take no part
+either, as no inner product with them is defined. A query's own row is every row with its id. A repeated id is a
+candidate as often as it occurs; as a query it counts once, with its smallest vector. Extra columns are ignored; an
+empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Rows of a candidate block and of a query block: the bound on what one task holds at once.
-BLOCK, QUERY_BLOCK = 1 << 16, 128
+#: Rows of a candidate block and of a query block at most; bytes of a block's integers and of the queries that meet it.
+BLOCK, QUERY_BLOCK, BLOCK_BYTES, GROUP_BYTES = 1 << 16, 128, 32 << 20, 16 << 20
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -142,47 +146,42 @@ class SlicedBlock:
         return self.ids[rows], self.codes[rows] @ query
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = BLOCK, query_block: int = QUERY_BLOCK, dims: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by ``every`` the k rows of highest integer inner product."""
     spark = vectors.sparkSession
     q = materialise(quantised(vectors, scale).withColumn("d", F.size("q")), "vectors")
-    most = q.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if most is None:
+    lengths = q.groupBy("d").agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked"))
+    most = (lengths if dims is None else lengths.where(F.col("d") == dims)).orderBy(F.desc("n"), "d").first()
+    if most is None or not most["asked"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims, q = most["d"], q.where(F.col("d") == most["d"]).drop("d")
+    q = q.where(F.col("d") == most["d"]).drop("d")
+    block = max(64, min(block, BLOCK_BYTES // (8 * most["d"]))) if block == BLOCK else block
     # Blocks fill up within tasks: about one task for each block of candidates.
-    packed = materialise(q.repartition(max(1, -(-most["n"] // block))).mapInArrow(_pack("c", block), _PACKED), "blocks")
+    packed = materialise(q.repartition(-(-most["n"] // block)).mapInArrow(_pack("c", block), _PACKED), "blocks")
     queries = q.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    asked = materialise(queries.repartition(max(1, -(-most["n"] // (every * query_block)))).mapInArrow(_pack("q", query_block), _PACKED), "queries")
-    # Every block of queries goes to every block of candidates, by number.
-    blocks = [(r.task, r.made) for r in packed.select("task", "made").collect()]  # one row for 65,536 vectors
-    numbers = spark.createDataFrame([(i, *b) for i, b in enumerate(blocks)], "block int, task int, made long") if blocks else None
-    if numbers is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # A candidate block meets the queries in groups, so one block's work is spread over tasks too.
-    n_asked = max(1, -(-most["n"] // (every * query_block)))
-    groups = max(1, n_asked // 16)
+    n_asked = -(-most["asked"] // query_block)
+    asked = queries.repartition(n_asked).mapInArrow(_pack("q", query_block), _PACKED)
+    # Every group of query blocks meets every block of candidates, by number. There are as many groups as the queries'
+    # bytes ask for, or more where the blocks alone would not keep the cores busy.
+    blocks = [(r.task, r.made) for r in packed.select("task", "made").collect()]  # one row a block
+    numbers = spark.createDataFrame([(i, *b) for i, b in enumerate(blocks)], "block int, task int, made long")
+    groups = max(-(-8 * most["d"] * most["asked"] // GROUP_BYTES), min(n_asked, -(-2 * spark.sparkContext.defaultParallelism // len(blocks))))
     left = packed.join(numbers, ["task", "made"]).select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "ids", "codes", "bytes")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))).alias("block"), F.pmod(F.hash("task", "made"), F.lit(groups)).alias("grp"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("bytes").alias("q_bytes"))
-
-    def run(it):
-        held = (None, None)
-        for batch in it:
-            col = batch.column
-            for i in range(batch.num_rows):
-                b = col("block")[i].as_py()
-                if held[0] != b:
-                    held = (b, SlicedBlock(*_unpacked(col("ids")[i], col("codes")[i], col("bytes")[i])))
-                q_ids, q_codes = _unpacked(col("q_ids")[i], col("q_codes")[i], col("q_bytes")[i])
-                found = [held[1].top(int(a), c, k) for a, c in zip(q_ids, q_codes)]
-                n = [len(x[0]) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["query_id", "vec_id", "score"])
-
-    if len(blocks) == 1:  # one block is bounded by its row count, so it may go to every task
-        met = right.repartition(min(n_asked, 256)).join(F.broadcast(left.where("grp = 0").drop("grp")), "block")
-    else:
-        met = right.repartition(min(4096, len(blocks) * groups), "block", "grp").join(left, ["block", "grp"]).sortWithinPartitions("block")
-    best = met.select("block", "ids", "codes", "bytes", "q_ids", "q_codes", "q_bytes").mapInArrow(run, "query_id long, vec_id long, score long")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))).alias("block"), F.pmod(F.hash("task", "made"), F.lit(groups)).alias("grp"), "ids", "codes", "bytes")
+
+    def meet(key, candidates, asking):
+        out: dict = {"query_id": [], "vec_id": [], "score": []}
+        for i in range(candidates.num_rows):  # one
+            held = SlicedBlock(*_unpacked(*(candidates.column(c)[i] for c in ("ids", "codes", "bytes"))))
+            for j in range(asking.num_rows):
+                for who, code in zip(*_unpacked(*(asking.column(c)[j] for c in ("ids", "codes", "bytes")))):
+                    ids, scores = held.top(int(who), code, k)
+                    for name, x in zip(out, (np.full(len(ids), who), ids, scores)):
+                        out[name].append(x)
+        return pa.table({name: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for name, x in out.items()})
+
+    cells = min(4096, len(blocks) * groups)
+    best = left.repartition(cells, "block", "grp").groupBy("block", "grp").cogroup(right.repartition(cells, "block", "grp").groupBy("block", "grp")).applyInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -232,3 +232,12 @@ def test_levels_keep_order():
 
     c = np.unique(np.concatenate([np.arange(1000), 2 ** np.arange(38), 3**np.arange(24)]))
     assert (np.diff(jaccard.levels(c).astype(int)) >= 0).all() and jaccard.levels(np.array([5]))[0] == 5
+
+
+def test_top_k_of_mixed_lengths(spark):
+    rows = [(i, [float(i % 7)] * (3 if i % 4 else 2)) for i in range(100)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for dims in (None, 3, 2):
+        own = [r for r in rows if len(r[1]) == (dims or 3)]
+        assert sorted(tuple(x) for x in topk.top_k(d, every=5, dims=dims).collect()) == brute(own, 20, 5)
+    assert topk.top_k(d, dims=9).count() == 0
