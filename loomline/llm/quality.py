@@ -123,8 +123,8 @@ def judge(docs: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_SHARE
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")), bad
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    return judge(docs)[0].select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
+def quality(docs: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_SHARE, lost: float = MAX_LOST) -> DataFrame:
+    return judge(docs, least, share, lost)[0].select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
 def keep_good(docs: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_SHARE, lost: float = MAX_LOST) -> DataFrame:
@@ -147,8 +147,9 @@ def keep_good(docs: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_S
     return good.select(*cols)
 
 
-#: DuckDB's version of ``quality`` over ``documents``.
-ORACLE = rf"""
+def oracle(least: int = MIN_LINE_DOCS, share: float = LINE_SHARE, lost: float = MAX_LOST) -> str:
+    """DuckDB's version of ``quality`` over ``documents``."""
+    return rf"""
 with d as (select row_number() over () as rid, doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as l from d),
 tri as (select rid, i, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] as k from (select rid, l, unnest(range(1, len(l) - 1)) as i from w where len(l) >= 3)),
@@ -157,11 +158,11 @@ rep as (select rid, count(distinct i + j) as n from hit, (select unnest([0, 1, 2
 ln as (select rid, host, t, unnest(string_split(t, chr(10))) as x from d),
 full_ln as (select rid, host, t, x, array_to_string(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda v: v <> ''), ' ') as k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n from ln where regexp_matches(x, '[^\x20\x09-\x0D]')),
 dup as (select rid, count(*) - count(distinct x) as n from full_ln group by rid),
-lim as (select host, greatest({MIN_LINE_DOCS}, {LINE_SHARE} * count(distinct t)) as most from d group by host),
+lim as (select host, greatest({least}, {share} * count(distinct t)) as most from d group by host),
 bad as (select f.host, k from full_ln f join lim on lim.host = f.host group by f.host, k having count(distinct f.t) > max(most)),
 lost as (select rid, sum(n)::bigint as n from full_ln f join bad on bad.host = f.host and bad.k = f.k group by rid)
 select doc_id, len(l)::bigint as n_words, coalesce(list_sum(list_transform(l, lambda v: length(v))), 0)::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
        coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(l) < 50 or 100 * coalesce(rep.n, 0) > 50 * len(l) as base_failed,
-       not (len(l) < 50 or 100 * coalesce(rep.n, 0) > 50 * len(l)) and not coalesce(lost.n, 0) > {MAX_LOST} * len(l) as kept, coalesce(lost.n, 0)::bigint as lost_words
+       not (len(l) < 50 or 100 * coalesce(rep.n, 0) > 50 * len(l)) and not coalesce(lost.n, 0) > {lost} * len(l) as kept, coalesce(lost.n, 0)::bigint as lost_words
 from w left join dup using (rid) left join rep using (rid) left join lost using (rid)
 """

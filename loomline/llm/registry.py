@@ -48,6 +48,27 @@ def op10_quality(spark, sf_dir):
     return quality.quality(_read(spark, sf_dir, "documents"))
 
 
+#: Each message quoted by a reply, and both by a reply to that: quotes of two levels over the whole table.
+QUOTED = r"""
+select conv_id, turn, role, text from conversations
+union all select conv_id, turn + 1000, 'user', '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || 'I see that ' || turn from conversations
+union all select conv_id, turn + 2000, 'user', '>> ' || replace(text, chr(10), chr(10) || '>> ') || chr(10) || '> I see that ' || turn || chr(10) || 'Right ' || turn from conversations
+"""
+
+
+def chat_quotes(spark, sf_dir):
+    """``op9_chat`` where messages quote each other, as those of the tables do not."""
+    return quotes.link(spark.sql(QUOTED.replace("from conversations", "from {c}"), c=_read(spark, sf_dir, "conversations")))
+
+
+STRICT = {"least": 1, "share": 0.0, "lost": 0.2}
+
+
+def quality_strict(spark, sf_dir):
+    """``op10_quality`` with limits that many lines and documents of the small tables are over."""
+    return quality.quality(_read(spark, sf_dir, "documents"), **STRICT)
+
+
 QUERIES = {
     "op1_tokencount": op1_tokencount,
     "op2_topk": op2_topk,
@@ -59,5 +80,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
+    "chat_quotes": chat_quotes,
+    "quality_strict": quality_strict,
 }
-ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op7_jaccard": jaccard.ORACLE, "op9_chat": quotes.ORACLE, "op10_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op7_jaccard": jaccard.ORACLE, "op9_chat": quotes.ORACLE, "op10_quality": quality.oracle(), "chat_quotes": quotes.ORACLE.replace("from conversations)", f"from ({QUOTED}))"), "quality_strict": quality.oracle(**STRICT)}
