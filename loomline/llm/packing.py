@@ -28,9 +28,9 @@ from .common import batches, crc, materialise, starts, text_slices, utf8, words_
 CAPACITY, END_ID = 4096, 1
 #: Visits of the whole search, and of one tier of waste at one level; where they run out, the best solution so far
 #: stands and ``Plan.proved`` is false.
-NODES, TIER_NODES = 1 << 20, 3000
+NODES, TIER_NODES = 1 << 20, 300
 #: Distinct words whose ids a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -270,8 +270,8 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = N
     left = {k: v for k, v in histogram.items() if v > 0}
     best, bound = best_fit(left, capacity), least_sequences(left, capacity)
     size = lambda solution: sum(m for _, m in solution)
-    most, total, waste, spent, cut, seen = size(best), sum(k * v for k, v in left.items()), 0, 0, False, set()
-    mask = sum(1 << k for k in left)
+    most, total, waste, spent, cut, over, seen = size(best), sum(k * v for k, v in left.items()), 0, 0, False, False, set()
+    mask, name = sum(1 << k for k in left), 0  # name: of what is left, by the hashes of its lengths and counts
 
     def room():
         """Tokens that a better solution may still waste from here on."""
@@ -307,9 +307,11 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = N
             left[largest] -= 1
 
     def move(filling, times):
-        nonlocal mask
+        nonlocal mask, name
         for k, n in filling.items():
+            name ^= hash((k, left.get(k, 0)))
             left[k] = left.get(k, 0) - n * times
+            name ^= hash((k, left[k]))
             if left[k]:
                 mask |= 1 << k
             else:
@@ -319,7 +321,7 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = N
     # Depth first, without recursion: the choices so far, and the open branches of each level.
     chosen: list = []
     levels = [options()] if most > bound else []
-    while levels and most > bound:
+    while levels and most > bound and not over:
         step = next(levels[-1], None)
         if step is None:
             levels.pop()
@@ -332,10 +334,13 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = N
         move(filling, times)
         waste += lost
         chosen.append(step)
-        state = hash((frozenset(left.items()), waste))
-        if left and room() >= 0 and state not in seen and spent <= nodes:
+        spent += 8  # a branch costs as much as some visits
+        state = hash((name, waste))
+        if left and room() >= 0 and state not in seen:
             seen.add(state)
-            if len(levels) & (len(levels) - 1) == 0:  # whole best-fit solutions of what is left are incumbents too
+            over = spent > nodes
+            if over or len(levels) & (len(levels) - 1) == 0:  # whole best-fit solutions of what is left are incumbents too
+                spent += len(left)
                 whole = [*((f, t) for f, t, _ in chosen), *best_fit(left, capacity)]
                 best, most = min((best, most), (whole, size(whole)), key=lambda x: x[1])
             levels.append(options())
@@ -345,7 +350,7 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = N
         chosen.pop()
         move(filling, -times)
         waste -= lost
-    return best, bound, most == bound or not cut and spent <= nodes
+    return best, bound, most == bound or not cut and not over
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
