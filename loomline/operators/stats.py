@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .order import numbered
 
 
 def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -18,9 +19,9 @@ def token_histogram(docs: DataFrame, width: int = 50, text: str = "text") -> Dat
 
 
 def line_frequency(docs: DataFrame, least: int = 3) -> DataFrame:
-    """doc_id, line, n of the lines of 11 to 99 characters that a document holds ``least`` times or more."""
-    ls = docs.select("doc_id", F.explode(T.lines("text")).alias("line")).where((F.length("line") > 10) & (F.length("line") < 100))
-    return ls.groupBy("doc_id", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """doc_id, line, n of the lines of 11 to 99 characters that a document holds ``least`` times or more, counted in its row."""
+    found = T.let(F.col("text"), lambda t: T.let(T.lines(t), lambda ordered: F.transform(T.repetitive_lines(t, least), lambda x: F.struct(x.alias("line"), F.size(F.filter(ordered, lambda y: y == x)).cast("long").alias("n")))))
+    return docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.line", "x.n")
 
 
 def chunk_validation(chunks: DataFrame, min_size: int = 100) -> DataFrame:
@@ -60,6 +61,5 @@ def store_stats(store: DataFrame, sample: int = 100) -> DataFrame:
 
 
 def consolidated_order(docs: DataFrame) -> DataFrame:
-    """Documents with their statistics, PDFs first, longest first, ties in order of id; ``place`` by range partitions."""
-    d = document_stats(docs)
-    return d.orderBy(F.col("file_type") != "pdf", F.desc("word_count"), "doc_id").select("doc_id", "file_type", "word_count", "char_count")
+    """Documents with their statistics and ``place``: PDFs first, longest first, ties in order of id."""
+    return numbered(document_stats(docs).select("doc_id", "file_type", "word_count", "char_count"), F.col("file_type") != "pdf", F.desc("word_count"), "doc_id")

@@ -1,20 +1,20 @@
 """Vector collection: cosine search, thresholds, re-ranking and context assembly.
 
-Search is exact. Queries travel to the vectors: a block of at most ``QUERY_BLOCK`` query vectors (checked) goes to
-every task, which keeps its k best of each, and the tasks' results meet in one window per query; more queries run in
-several blocks. Vectors of zero length, null vectors and those of another dimension are never hits.
+Search is exact. At most ``QUERY_BLOCK`` query vectors (counted first) go to every task, which keeps its k best of each;
+more of them are packed into blocks by tasks, and each block meets each group of vectors. The tasks' results meet in one
+window per query. Similarities are compared to nine digits. Vectors of zero length, null vectors, null ids and those of
+another dimension are never hits.
 """
 from __future__ import annotations
 
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import arrow_function
+from ..functions import text as T
 
 QUERY_BLOCK = 4096
 
@@ -58,31 +58,86 @@ def _block(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFra
     return vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, similarity double")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where=None) -> DataFrame:
+def _packed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """(nth, ids, data, dim) of at most ``rows`` vectors of one dimension each."""
+
+    def run(it):
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in it:
+            lists = batch.column("embedding")
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for d in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == d)
+                for i in range(0, len(at), rows):
+                    some = pa.array(at[i : i + rows])
+                    x = lists.take(some).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    row = {"nth": [(task << 33) + made], "ids": [batch.column(key).take(some).cast(pa.int64()).to_numpy().tobytes()], "data": [x.tobytes()], "dim": [d]}
+                    yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("nth", pa.int64()), ("ids", pa.binary()), ("data", pa.binary()), ("dim", pa.int32())]))
+                    made += 1
+
+    return df.where(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(key, "embedding").mapInArrow(run, "nth long, ids binary, data binary, dim int")
+
+
+def _blocks_meet(vectors: DataFrame, queries: DataFrame, k: int, block: int, rows: int = 16_384) -> DataFrame:
+    """Best k of each query in each group of vectors. Tasks pack both sides into blocks; every group of about ``rows``
+    vectors is held by one task while all blocks of queries pass. The driver sees neither."""
+    groups = max(1, -(-vectors.count() // rows))
+    left = _packed(vectors, "id", min(rows, 1024)).select(F.pmod(F.xxhash64("nth"), F.lit(groups)).cast("int").alias("grp"), F.lit(0).alias("side"), "ids", "data", "dim")
+    right = _packed(queries, "query_id", block).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(1).alias("side"), "ids", "data", "dim")
+
+    def best(asked, held, dim):
+        q_ids, q, q_norm = asked
+        out: list = []
+        for ids, x, norm in (h for h in held if h[1].shape[1] == dim and len(h[0])):
+            for i in np.flatnonzero(q_norm > 0).tolist():
+                s, v = np.round(x @ q[i] / (norm * q_norm[i]), 9), ids
+                if len(s) > k:
+                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    s, v = s[keep], v[keep]
+                order = np.lexsort((v, -s))[:k]
+                out.append((np.full(len(order), q_ids[i]), v[order], s[order]))
+        return out
+
+    def run(it):
+        now, held = None, []
+        for batch in it:
+            for grp, side, ids, data, dim in zip(*(batch.column(c).to_pylist() for c in ("grp", "side", "ids", "data", "dim"))):
+                ids, x = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
+                norm = np.linalg.norm(x, axis=1)
+                if grp != now:
+                    now, held = grp, []
+                if not side:
+                    ok = (norm > 0) & np.isfinite(norm)
+                    held.append((ids[ok], x[ok], norm[ok]))
+                elif out := best((ids, x, norm), held, dim):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "id", "similarity"])
+
+    dealt = left.unionByName(right).repartition(min(groups, 4096), "grp").sortWithinPartitions("grp", "side")
+    return dealt.mapInArrow(run, "query_id long, id long, similarity double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, where=None, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, id, distance, score: the k nearest by cosine, ties to smaller ids; ``where`` filters before the k are taken.
 
     vectors(id long, embedding, ...), queries(query_id long, embedding).
     """
-    v = vectors.where(where) if where is not None else vectors
-    spark, rows, parts = vectors.sparkSession, [], []
-
-    def add():
+    v = (vectors.where(where) if where is not None else vectors).where("id is not null")
+    spark = vectors.sparkSession
+    asked = queries.where("embedding is not null and query_id is not null").select("query_id", "embedding")
+    few = asked.limit(block + 1).collect()
+    if len(few) > block:
+        best = _blocks_meet(v, asked, k, block)
+    else:
         by_size: dict[int, list] = {}
-        for i, e in rows:
-            by_size.setdefault(len(e), []).append((i, e))
-        for group in by_size.values():
-            parts.append(_block(v, [i for i, _ in group], np.array([e for _, e in group], np.float64), k))
-        rows.clear()
-
-    for r in queries.where("embedding is not null and query_id is not null").select("query_id", "embedding").toLocalIterator():
-        rows.append((r.query_id, r.embedding))
-        if len(rows) == QUERY_BLOCK:
-            add()
-    add()
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, id long, distance double, score double")
+        for r in few:
+            by_size.setdefault(len(r.embedding), []).append((r.query_id, r.embedding))
+        if not by_size:
+            return spark.createDataFrame([], "query_id long, rank int, id long, distance double, score double")
+        best = reduce(DataFrame.unionByName, [_block(v, [i for i, _ in g], np.array([e for _, e in g], np.float64), k) for g in by_size.values()])
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    best = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "id", F.round(1 - F.col("similarity"), 6).alias("distance"), F.round("similarity", 6).alias("score"))
 
 
@@ -124,21 +179,25 @@ def store(chunks: DataFrame, embed, key: str = "id") -> DataFrame:
 def hashing_embedding(dim: int = 256):
     """A stand-in for a sentence model where none is at hand: hashed words, counted and brought to unit length.
 
-    Models run this way too: an Arrow function over batches of texts, here with nothing to load.
+    Built from column functions; a model is any other function from a column of texts to a column of vectors.
     """
-    def one(t):
-        import re
-        import zlib
+    def embed(text):
+        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
+        places = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dim)).cast("int"))
+        # With every place once more in the array, place p's words are the gap between two of these in sorted order.
+        ordered = F.array_sort(F.concat(places, F.sequence(F.lit(0), F.lit(dim))))
+
+        def unit(n):
+            norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x))
+            return T.let(norm, lambda z: F.transform(n, lambda x: F.when(z > 0, x / z).otherwise(0.0).cast("float")))
 
-        places = [zlib.crc32(w.encode()) % dim for w in re.findall(r"\w+", (t or "").lower())]
-        counts = np.bincount(places, minlength=dim).astype(np.float64)
-        norm = np.sqrt((counts * counts).sum())
-        return (counts / norm if norm else counts).astype(np.float32)
+        def counts(o):
+            first = F.filter(F.transform(o, lambda p, i: F.when((i == 0) | (p != F.get(o, i - 1)), i)), lambda i: i.isNotNull())
+            return T.let(first, lambda at: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda p: (F.get(at, p + 1) - F.get(at, p) - 1).cast("double")))
 
-    def batch(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+        return T.let(T.let(ordered, counts), unit)
 
-    return arrow_function("array<float>")(batch)
+    return embed
 
 
 def write_collection(rows: DataFrame, path: str, reset: bool = False) -> None:

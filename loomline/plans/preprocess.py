@@ -3,23 +3,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import stats
+from ..operators.order import numbered
 from ..sources import files, markup, sinks
 
 
-def numbered(spark: SparkSession, df: DataFrame, order: list, path: str) -> DataFrame:
-    """df with ``place`` from 1 in the given order, by a range sort written to ``path``: no single task numbers all rows."""
-    df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
-    s = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
-    parts = s.groupBy("_part").agg(F.count("*").alias("n"))  # one row a partition
-    parts = parts.withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).drop("n")
-    return s.join(parts, "_part").withColumn("place", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_part", "_before", "_at")
-
-
 @dataclass
 class Preprocessing:
     recursive: bool = True
@@ -38,7 +30,8 @@ class Preprocessing:
     def run(self, spark: SparkSession, path: str, out: str) -> DataFrame:
         """Writes ``consolidated`` (text), ``metadata`` and ``documents`` under ``out``; returns the totals."""
         d = self.documents(spark, path)
-        placed = numbered(spark, d, [F.col("file_type") != "pdf", F.desc("word_count"), "source_path"], f"{out}/documents")
+        numbered(d, F.col("file_type") != "pdf", F.desc("word_count"), "source_path").withColumn("place", F.col("place").cast("int")).write.mode("overwrite").parquet(f"{out}/documents")
+        placed = spark.read.parquet(f"{out}/documents")
         sinks.write_consolidated(placed.drop("word_count", "char_count", "line_count"), f"{out}/consolidated")
         per = placed.select("place", "title", F.col("source_path").alias("source"), F.col("file_type").alias("type"), F.col("word_count").alias("words"), F.col("char_count").alias("chars"), F.col("image_count").alias("images"), "sections_count")
         per.write.mode("overwrite").json(f"{out}/metadata")

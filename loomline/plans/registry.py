@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, linking, stats, vectors
+from ..operators.order import numbered
 from ..sources import files, markup
 from . import fixtures as X
 
@@ -28,24 +29,39 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df):
+    """``df``, dealt anew only where its scan has fewer splits than there are cores: one small file is one task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def docs_of(spark, sf_dir, *columns):
-    """Documents dealt over the cores: a small file is one partition otherwise."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", *columns)
-    return d if d.sparkSession.sparkContext.defaultParallelism < 2 else d.repartition(d.sparkSession.sparkContext.defaultParallelism)
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", *columns))
 
 
 def fixed(spark, rows, schema=_TEXT):
     return spark.createDataFrame(rows, schema)
 
 
+def _extended(spark, sf_dir, rows):
+    """``documents`` and fixture rows (negative ids) as id, text."""
+    return docs_of(spark, sf_dir).withColumnRenamed("doc_id", "id").unionByName(fixed(spark, [(-i, t) for i, t in rows]))
+
+
+def _extended_sql(rows):
+    return f"(select doc_id as id, text from documents union all select -id, text from {X.values(rows, 'id, text')})"
+
+
 def _both(name: str, rows, change, sql: str):
-    """A text function over ``documents`` and over fixture rows (negative ids)."""
-    def run(spark, sf_dir):
-        extra = fixed(spark, [(-i, t) for i, t in rows], "doc_id long, text string")
-        return read(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra).select("doc_id", change(F.col("text")).alias("out"))
+    """A text function over ``documents`` and over fixture rows."""
+    QUERIES[name] = lambda spark, sf_dir: _extended(spark, sf_dir, rows).select(F.col("id").alias("doc_id"), change(F.col("text")).alias("out"))
+    ORACLES[name] = f"select id as doc_id, {sql} as out from {_extended_sql(rows)}"
 
-    QUERIES[name] = run
-    ORACLES[name] = f"select doc_id, {sql} as out from (select doc_id, text from documents union all select -id, text from {X.values(rows, 'id, text')})"
+
+def _in_steps(rows, *steps):
+    """SQL expressions over ``text`` one after another."""
+    made = [f"s0 as (select id, text from {_extended_sql(rows)})"] + [f"s{i} as (select id, {x} as text from s{i - 1})" for i, x in enumerate(steps, 1)]
+    return f"with {', '.join(made)} select id as doc_id, text as out from s{len(steps)}"
 
 
 # Scalars ---------------------------------------------------------------------------------------------------------------
@@ -53,42 +69,51 @@ _R = lambda t, p, r: f"regexp_replace({t}, '{p}', '{r}', 'g')"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _WS = "array_to_string(list_transform(string_split(" + _R(_R("text", "[ \\t]+", " "), r"\n{3,}", "'||chr(10)||chr(10)||'") + ", chr(10)), lambda x: " + _STRIP.format("x") + "), chr(10))"
 _both("clean_whitespace", X.CLEAN, T.normalize_whitespace, _WS)
-_both("clean_numbers_and_rules", X.CLEAN, T.drop_rules_and_numbers, _R(_R("text", r"(?m)^\d+\s*$", ""), r"(?m)^[_\-=*]{3,}\s*$", ""))
-_both("clean_page_marks", X.CLEAN, T.drop_page_marks, _R(_R(_R("text", r"(?m)^\d{1,4}\s*$", ""), r"(?m)^Page \d+ of \d+\s*$", ""), r"(?m)^[_\-=*]{3,}\s*$", ""))
-_both("join_hyphens", X.CLEAN, T.join_hyphens, _R("text", r"([a-z])-\n([a-z])", r"\1\2"))
-_both("space_capitals", X.CLEAN, T.space_capitals, _R("text", "([.!?,:;])([A-Z])", r"\1 \2"))
-_both("tidy_punctuation", X.CLEAN, T.tidy_punctuation, _R(_R(_R(_R(_R("text", "([.!?,:;])([A-Za-z])", r"\1 \2"), r"\s+([.!?,:;])", r"\1"), "[“”]", '"'), "[‘’]", "''"), r"\.{3,}", "..."))
-_both("drop_control", X.CLEAN, T.drop_control, "array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(string_split(l, chr(9)), lambda x: " + _R("x", r"[\p{C}]", "") + "), chr(9))), chr(10))")
+_NUM = _R(_R("text", r"(?m)^\d+\s*$", ""), r"(?m)^[_\-=*]{3,}\s*$", "")
+_both("clean_numbers_and_rules", X.CLEAN, T.drop_rules_and_numbers, _NUM)
+_MARKS = _R(_R(_R("text", r"(?m)^\d{1,4}\s*$", ""), r"(?m)^Page \d+ of \d+\s*$", ""), r"(?m)^[_\-=*]{3,}\s*$", "")
+_both("clean_page_marks", X.CLEAN, T.drop_page_marks, _MARKS)
+_HYPHENS = _R("text", r"([a-z])-\n([a-z])", r"\1\2")
+_both("join_hyphens", X.CLEAN, T.join_hyphens, _HYPHENS)
+_CAPITALS = _R("text", "([.!?,:;])([A-Z])", r"\1 \2")
+_both("space_capitals", X.CLEAN, T.space_capitals, _CAPITALS)
+_TIDY = _R(_R(_R(_R(_R("text", "([.!?,:;])([A-Za-z])", r"\1 \2"), r"\s+([.!?,:;])", r"\1"), "[“”]", '"'), "[‘’]", "''"), r"\.{3,}", "...")
+_both("tidy_punctuation", X.CLEAN, T.tidy_punctuation, _TIDY)
+_CONTROL = "array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(string_split(l, chr(9)), lambda x: " + _R("x", r"[\p{C}]", "") + "), chr(9))), chr(10))"
+_both("drop_control", X.CLEAN, T.drop_control, _CONTROL)
 _CODE = r"(^|[^\p{L}\p{N}_])[A-Z0-9]{10,}($|[^\p{L}\p{N}_])"
-_both("mask_aggressive", X.CLEAN, T.mask, "array_to_string(list_filter(string_split(" + _R(_R(_R(_R("text", r"https?://\S+", "[URL]"), r"\S+@\S+\.\S+", "[EMAIL]"), _CODE, r"\1[CODE]\2"), _CODE, r"\1[CODE]\2") + ", chr(10)), lambda x: length(x) > 10 or x = ''), chr(10))")
+_MASK = "array_to_string(list_filter(string_split(" + _R(_R(_R(_R("text", r"https?://\S+", "[URL]"), r"\S+@\S+\.\S+", "[EMAIL]"), _CODE, r"\1[CODE]\2"), _CODE, r"\1[CODE]\2") + ", chr(10)), lambda x: length(x) > 10 or x = ''), chr(10))"
+_both("mask_aggressive", X.CLEAN, T.mask, _MASK)
 _moji = "text"
 for _w, _r in T.MOJIBAKE:
     _moji = f"replace({_moji}, {X.literal(_w)}, {X.literal(_r)})"
 _both("fix_mojibake", X.GARBLED, T.fix_mojibake, _moji)
 _REP = "list_filter(list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(x) > 10 and length(x) < 100)), lambda y: len(list_filter(string_split(text, chr(10)), lambda z: z = y)) >= 3)"
-_both("drop_repetitive_lines", X.CLEAN, T.drop_repetitive_lines, f"array_to_string(list_filter(string_split(text, chr(10)), lambda x: not list_contains({_REP}, x)), chr(10))")
+_DROPREP = f"array_to_string(list_filter(string_split(text, chr(10)), lambda x: not list_contains({_REP}, x)), chr(10))"
+_both("drop_repetitive_lines", X.CLEAN, T.drop_repetitive_lines, _DROPREP)
 _both("token_estimate", X.MM, lambda c: T.tokens(c).cast("long"), "(length(text) // 4)::bigint")
 _both("file_hash", X.CLEAN, lambda c: F.sha2(c, 256), "sha256(text)")
 _both("element_id", X.MM, lambda c: T.element_id(F.lit("text"), c), "'text_' || substr(md5(text), 1, 8)")
 
 
-@query("extractor_clean")
-def extractor_clean(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", T.extractor_clean(F.col("text"), "pdf", True).alias("out"))
+_CLEANED = X.CLEAN + [(10, "ﬁne ① Ａ½"), (11, "one line of enough characters here\nsee https://a.example/x?y now and then")]
+# NFKC of the rows is NFC but for these characters of the fixture.
+_NFKC = "nfc_normalize(replace(replace(replace(replace(text, 'ﬁ', 'fi'), '①', '1'), 'Ａ', 'A'), '½', '1⁄2'))"
+_both("nfkc", _CLEANED, T.nfkc, _NFKC)
 
 
-@query("processor_clean")
-def processor_clean(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", T.processor_clean(F.col("text"), "pdf").alias("out"))
+@query("extractor_clean", _in_steps(_CLEANED, _NFKC, _moji, _CONTROL, _WS, _HYPHENS, _TIDY, _MARKS, _MASK))
+def extractor_clean(spark, sf_dir):
+    return _extended(spark, sf_dir, _CLEANED).select(F.col("id").alias("doc_id"), T.extractor_clean(F.col("text"), "pdf", True).alias("out"))
 
 
-@query("nfkc", "select doc_id, nfc_normalize(text) as out from documents")
-def nfkc(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", T.nfkc(F.col("text")).alias("out"))
+@query("processor_clean", _in_steps(_CLEANED, _NFKC, _WS, _NUM, _HYPHENS, _CAPITALS, _DROPREP))
+def processor_clean(spark, sf_dir):
+    return _extended(spark, sf_dir, _CLEANED).select(F.col("id").alias("doc_id"), T.processor_clean(F.col("text"), "pdf").alias("out"))
 
 
 # References, sentences, structure ------------------------------------------------------------------------------------------
-_MM = X.values(X.MM, "id, text")
+_MM = _extended_sql(X.MM) + " as t"
 _REFRX = r"\[(?:IMMAGINE|TABELLA|GRAFICO|FIGURA)_[^\]]+\]"
 _PLACED = f"""r as (select id, text, unnest(regexp_extract_all(text, '{_REFRX}')) as ref, generate_subscripts(regexp_extract_all(text, '{_REFRX}'), 1) as i, regexp_split_to_array(text, '{_REFRX}') as gaps, regexp_extract_all(text, '{_REFRX}') as all_refs from {_MM}),
 placed as (select id, text, i, ref, (length(array_to_string(gaps[1:i], '')) + length(array_to_string(all_refs[1:i-1], '')))::bigint as position from r)"""
@@ -96,14 +121,14 @@ placed as (select id, text, i, ref, (length(array_to_string(gaps[1:i], '')) + le
 
 @query("extract_refs", f"with {_PLACED} select id, ref as full_ref, regexp_extract(ref, '_([^\\]]+)\\]', 1) as ref_id, position from placed")
 def extract_refs(spark, sf_dir):
-    d = fixed(spark, X.MM).select("id", F.explode(T.refs_in_place(F.col("text"))).alias("r"))
+    d = _extended(spark, sf_dir, X.MM).select("id", F.explode(T.refs_in_place(F.col("text"))).alias("r"))
     return d.select("id", F.col("r.full_ref").alias("full_ref"), F.col("r.id").alias("ref_id"), F.col("r.position").cast("long").alias("position"))
 
 
 @query("protect_restore", f"select id, text as restored, len(regexp_extract_all(text, '{_REFRX}'))::bigint as n from {_MM}")
 def protect_restore(spark, sf_dir):
     marked, refs = T.protect(F.col("text"))
-    return fixed(spark, X.MM).select("id", T.restore(marked, refs).alias("restored"), F.size(refs).cast("long").alias("n"))
+    return _extended(spark, sf_dir, X.MM).select("id", T.restore(marked, refs).alias("restored"), F.size(refs).cast("long").alias("n"))
 
 
 _SENT = r"""sent as (select doc_id, unnest(l) as sentence, generate_subscripts(l, 1)::bigint as pos from (
@@ -198,7 +223,7 @@ seg as (select id, position * 2 + 1 as o, substr(text, lo + 1, hi - lo) as text,
   union all select t.id, 1000000, regexp_replace(substr(t.text, coalesce(m.hi, 0) + 1), '^\\s+|\\s+$', '', 'g'), 'text', null from {_MM} left join (select id, max(hi) as hi from b group by id) m on m.id = t.id)
 select id, (row_number() over (partition by id order by o) - 1)::bigint as nth, text, kind, ref_id from seg where not (kind = 'text' and text = '')""")
 def segments_multimodal(spark, sf_dir):
-    d = fixed(spark, X.MM).select("id", F.posexplode(chunking.segments(F.col("text"))).alias("nth", "s"))
+    d = _extended(spark, sf_dir, X.MM).select("id", F.posexplode(chunking.segments(F.col("text"))).alias("nth", "s"))
     return d.select("id", F.col("nth").cast("long"), "s.text", "s.kind", "s.ref_id")
 
 
@@ -259,9 +284,10 @@ def count_by_priority(spark, sf_dir):
     return stats.count_by(_manifest(spark, sf_dir), "priority")
 
 
-@query("manifest_priority_sort", f"with {_MANIFEST} select path, priority, case priority when 'high' then 0 when 'medium' then 1 else 2 end as rank from p")
+@query("manifest_priority_sort", f"with {_MANIFEST} select path, priority, case priority when 'high' then 0 when 'medium' then 1 else 2 end as rank, row_number() over (order by case priority when 'high' then 0 when 'medium' then 1 else 2 end, path) as place from p")
 def manifest_priority_sort(spark, sf_dir):
-    return files.by_priority(_manifest(spark, sf_dir)).select("path", "priority", T.priority_rank(F.col("priority")).alias("rank"))
+    placed = numbered(_manifest(spark, sf_dir), T.priority_rank(F.col("priority")), "path")
+    return placed.select("path", "priority", T.priority_rank(F.col("priority")).alias("rank"), "place")
 
 
 @query("manifest_limit", f"with {_MANIFEST} select path, priority from p order by case priority when 'high' then 0 when 'medium' then 1 else 2 end, path limit 25")
@@ -269,10 +295,10 @@ def manifest_limit(spark, sf_dir):
     return files.by_priority(_manifest(spark, sf_dir), 25).select("path", "priority")
 
 
-@query("consolidated_order", rf"select doc_id, case when doc_id % 3 = 0 then 'pdf' else 'text' end as file_type, len({_WORDS.format('text')})::bigint as word_count, length(text)::bigint as char_count from documents")
+@query("consolidated_order", rf"select doc_id, case when doc_id % 3 = 0 then 'pdf' else 'text' end as file_type, len({_WORDS.format('text')})::bigint as word_count, length(text)::bigint as char_count, row_number() over (order by doc_id % 3 <> 0, len({_WORDS.format('text')}) desc, doc_id) as place from documents")
 def consolidated_order(spark, sf_dir):
     d = docs_of(spark, sf_dir).withColumn("file_type", F.when(F.col("doc_id") % 3 == 0, "pdf").otherwise("text"))
-    return stats.consolidated_order(d).select("doc_id", "file_type", F.col("word_count").cast("long"), F.col("char_count").cast("long"))
+    return stats.consolidated_order(d).select("doc_id", "file_type", F.col("word_count").cast("long"), F.col("char_count").cast("long"), "place")
 
 
 @query("consolidated_totals", rf"select count(*) as documents, sum(len({_WORDS.format('text')}))::bigint as total_words, sum(length(text))::bigint as total_chars from documents")
@@ -361,7 +387,8 @@ def knn_topk(spark, sf_dir):
 
 @query("knn_batch", f"with {_knn(5)} select * from hits")
 def knn_batch(spark, sf_dir):
-    return vectors.search(_vectors(spark, sf_dir), _asked(spark, sf_dir), 5)
+    """As for more queries than one block holds: blocks of vectors meet blocks of queries."""
+    return vectors.search(_vectors(spark, sf_dir), _asked(spark, sf_dir), 5, block=3)
 
 
 @query("knn_threshold", f"with {_knn(5)} select * from hits where score >= 0.3")
@@ -408,13 +435,13 @@ def html_parse(spark, sf_dir):
     return markup.parse_html(read(spark, sf_dir, "pages"))
 
 
-_BL = X.values(X.BLOCKS, "id, text")
+_BL = _extended_sql(X.BLOCKS)
 _LN = "string_split(text, chr(10))"
 
 
 @query("looks_like_table", f"select id, contains(text, chr(9)) or contains(text, '|') or (contains(text, '  ') and len({_LN}) > 2) as loader, contains(text, chr(9)) or contains(text, '|') or (contains(text, '   ') and len({_LN}) > 2 and len(list_filter({_LN}[1:5], lambda x: not contains(x, '  '))) = 0) as extractor from {_BL}")
 def looks_like_table(spark, sf_dir):
-    return fixed(spark, X.BLOCKS).select("id", T.looks_like_table(F.col("text")).alias("loader"), T.looks_like_table(F.col("text"), "extractor").alias("extractor"))
+    return _extended(spark, sf_dir, X.BLOCKS).select("id", T.looks_like_table(F.col("text")).alias("loader"), T.looks_like_table(F.col("text"), "extractor").alias("extractor"))
 
 
 _ST = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -428,25 +455,25 @@ def _rows_sql(row):
 
 @query("table_parse_loader", _rows_sql(f"case when contains(l, chr(9)) then string_split(l, chr(9)) when contains(l, '|') then {_CELLS('''string_split(l, '|')''')} else list_filter({_CELLS('''string_split(l, '  ')''')}, lambda c: c <> '') end"))
 def table_parse_loader(spark, sf_dir):
-    return fixed(spark, X.BLOCKS).select("id", T.table_to_text(T.parse_table(F.col("text"))).alias("out"))
+    return _extended(spark, sf_dir, X.BLOCKS).select("id", T.table_to_text(T.parse_table(F.col("text"))).alias("out"))
 
 
 @query("table_parse_extractor", _rows_sql(f"case when contains(l, chr(9)) then {_CELLS('string_split(l, chr(9))')} when contains(l, '|') then list_filter({_CELLS('''string_split(l, '|')''')}, lambda c: c <> '') else {_CELLS('''regexp_split_to_array(l, '  +')''')} end"))
 def table_parse_extractor(spark, sf_dir):
-    return fixed(spark, X.BLOCKS).select("id", T.table_to_text(T.parse_table(F.col("text"), "extractor")).alias("out"))
+    return _extended(spark, sf_dir, X.BLOCKS).select("id", T.table_to_text(T.parse_table(F.col("text"), "extractor")).alias("out"))
 
 
-_MD = X.values(X.MARKDOWN, "id, text")
+_MD = _extended_sql(X.MARKDOWN)
 
 
 @query("markdown_sections", rf"select id, length(regexp_extract(h, '^(#+)', 1))::integer as level, regexp_replace(h, '^#+\s+', '') as title from (select id, unnest(regexp_extract_all(text, '(?m)^#{{1,6}}\s+.+$')) as h from {_MD})")
 def markdown_sections(spark, sf_dir):
-    return fixed(spark, X.MARKDOWN).select("id", F.explode(markup.markdown_sections(F.col("text"))).alias("s")).select("id", "s.level", "s.title")
+    return _extended(spark, sf_dir, X.MARKDOWN).select("id", F.explode(markup.markdown_sections(F.col("text"))).alias("s")).select("id", "s.level", "s.title")
 
 
 @query("markdown_images", rf"select id, 'md_img_' || i as image_id, regexp_extract(m, '!\[([^\]]*)\]', 1) as alt, regexp_extract(m, '\]\(([^)]+)\)', 1) as path from (select id, unnest(l) as m, generate_subscripts(l, 1) as i from (select id, regexp_extract_all(text, '!\[[^\]]*\]\([^)]+\)') as l from {_MD}))")
 def markdown_images(spark, sf_dir):
-    return fixed(spark, X.MARKDOWN).select("id", F.explode(markup.markdown_images(F.col("text"))).alias("m")).select("id", "m.image_id", "m.alt", "m.path")
+    return _extended(spark, sf_dir, X.MARKDOWN).select("id", F.explode(markup.markdown_images(F.col("text"))).alias("m")).select("id", "m.image_id", "m.alt", "m.path")
 
 
 @query("documento_parser", rf"""with l as (select id as file_id, unnest({_LN}) as raw, generate_subscripts({_LN}, 1) as i from {X.values(X.DOCFILES, 'id, text')}),

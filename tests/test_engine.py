@@ -182,3 +182,28 @@ def test_artefact_sinks(spark, tmp_path):
     assert bytes(spark.read.parquet(str(tmp_path / "i")).first()["data"]) == b"hi"
     sinks.write_chunks(c, str(tmp_path / "c"), json=True)
     assert spark.read.json(str(tmp_path / "c_json")).count() == 2
+
+
+def test_search_in_blocks_equals_search(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(5 if i % 9 else 4)]) for i in range(300)] + [(400, [0.0] * 5), (401, None), (None, [1.0] * 5)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = v.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(tuple(x) for x in vectors.search(v, q, 4).collect())
+    assert len(want) == 30 * 4 and sorted(tuple(x) for x in vectors.search(v, q, 4, block=7).collect()) == want
+    top = vectors._blocks_meet(v, q.where("query_id is not null"), 4, 7, rows=50)
+    assert top.where("query_id = 10").count() > 4
+
+
+def test_hashed_embedding(spark):
+    import zlib
+
+    e = vectors.hashing_embedding(8)
+    rows = spark.createDataFrame([("Due parole, due",), ("",), (None,), ("è_x 9",)], "t string").select("t", e(F.col("t")).alias("e")).collect()
+    want = [0.0] * 8
+    for w in ("due", "parole", "due"):
+        want[zlib.crc32(w.encode()) % 8] += 1
+    norm = sum(x * x for x in want) ** 0.5
+    assert rows[0].e == pytest.approx([x / norm for x in want], abs=1e-6) and rows[1].e == rows[2].e == [0.0] * 8 and sum(x > 0 for x in rows[3].e) == 2
