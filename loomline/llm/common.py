@@ -1,89 +1,20 @@
 """Shared helpers: word tables over Arrow text, scratch tables, stable hashing."""
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
+import ctypes
 import zlib
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import delete, free, materialise, scratch_dir, scratch_tables  # noqa: F401
+
 #: Bytes of text worked on at once inside a task, whatever the size of the Arrow batch.
 SLICE_BYTES = 4 << 20
-_made: dict[str, str] = {}
-_scope: ContextVar[list | None] = ContextVar("scope", default=None)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``. Where it is unset, a folder of our own on a
-    local master, and the warehouse, which a cluster's machines share, on any other."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    key = spark.sparkContext.applicationId
-    if key not in _made:
-        if not base:
-            local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-            base = "file://" + tempfile.mkdtemp(prefix="loomline-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        _made[key] = f"{base}/loomline-{uuid.uuid4().hex}"
-        atexit.register(_drop, spark, _made[key])
-    return _made[key]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            delete(spark, path)
-    except Exception:  # noqa: BLE001  the session went first; nothing is left to clean with
-        pass
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Spark's own file system layer."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage ends in files that outlive any executor.
-
-    The table stays until ``free``, the end of the surrounding ``scratch_tables`` (not if ``keep``), or of the session.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    if _scope.get() is not None and not keep:
-        _scope.get().append(path)
-    return out
-
-
-def free(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing to come reads."""
-    for t in tables:
-        if _scope.get() is not None and t._scratch in _scope.get():
-            _scope.get().remove(t._scratch)
-        delete(t.sparkSession, t._scratch)
-
-
-@contextlib.contextmanager
-def scratch_tables(spark: SparkSession):
-    """Tables materialised inside are deleted at the end; whatever reads them must have been written by then. Tables
-    that other code of the session made are left alone."""
-    token = _scope.set([])
-    try:
-        yield
-    finally:
-        paths = _scope.get()
-        _scope.reset(token)
-        for path in paths:
-            delete(spark, path)
 
 
 def trained_in_task(sample: DataFrame, label: str, train, chars: int):
@@ -126,7 +57,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     cuts = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
         yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # Python workers live on beside those of later stages
+    trim()
+
+
+def trim() -> None:
+    """Give unused memory back: Python workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batches(df: DataFrame, *columns: str) -> DataFrame:

@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, materialise, mix64, starts, text_slices, words_of
+from .common import free, materialise, mix64, starts, text_slices, trim, words_of
 
 WORDS, SEGMENTS = 5, 64
 #: The sketch has a counter (one byte where it is shared) for this many bytes of input, between 2^18 and 2^26 of them.
 BYTES_A_COUNTER, MIN_BITS, MAX_BITS = 256, 18, 26
 #: Entries that one hash range holds, about; that a task holds at once; documents of a shingle that one range may get.
-RANGE_ENTRIES, HELD_ENTRIES, HOT_ENTRIES = 1 << 20, 1 << 21, 1 << 18
+RANGE_ENTRIES, HELD_ENTRIES, HOT_ENTRIES = 1 << 19, 1 << 20, 1 << 18
 #: Rows of a run on either side of one cell of step 4.
 CELL = 4096
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -319,7 +319,7 @@ def _meet(it, ranges: int, most: int):
             rest = []
             for c in ("sizes", "places"):
                 raw = batch.column(c)[i].as_py()
-                rest.append(np.frombuffer(raw, f"<u{len(raw) // len(g)}").astype(np.int64))
+                rest.append(np.frombuffer(raw, f"<u{len(raw) // len(g)}").astype(np.int32))
             held.append((h.view(np.uint64)[:, 0], g, *rest))
             n_held += len(g)
             if n_held > most:
@@ -329,6 +329,7 @@ def _meet(it, ranges: int, most: int):
                 held, n_held, parts = [hubs], 0, True
     if held:
         yield from _runs(held, parts or now >= ranges)
+    trim()
 
 
 def _hubs(held):
@@ -362,7 +363,7 @@ def _runs(held, parts: bool):
     once = np.ones(len(at), bool)
     once[1:] = (key[at][1:] != key[at][:-1]) | (g[at][1:] != g[at][:-1])
     at = at[once]
-    k, n, s, p = key[at].copy(), g[at], size[at], place[at]
+    k, n, s, p = key[at].copy(), g[at], size[at].astype(np.int64), place[at].astype(np.int64)
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     first = np.flatnonzero(new)
