@@ -24,6 +24,13 @@ def link_elements(chunks: DataFrame, elements: DataFrame, per_document: bool = T
     return _mentions(chunks).join(elements.select(*on).distinct(), on, "left_semi").select("doc_id", "chunk_index", "nth", "element_type", "element_id")
 
 
+def with_links(chunks: DataFrame, elements: DataFrame) -> DataFrame:
+    """chunks with ``linked``: the (element_type, element_id) that it mentions and its document has, in order of mention."""
+    found = link_elements(chunks, elements).groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("nth", "element_type", "element_id"))).alias("l"))
+    found = found.select("doc_id", "chunk_index", F.transform("l", lambda x: F.struct(x["element_type"].alias("element_type"), x["element_id"].alias("element_id"))).alias("linked"))
+    return chunks.join(found, ["doc_id", "chunk_index"], "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<struct<element_type:string,element_id:string>>")))
+
+
 def inverted_index(chunks: DataFrame) -> DataFrame:
     """element_type, element_id, chunks: the chunk indexes that mention it, in order."""
     m = _mentions(chunks).where("element_type is not null")

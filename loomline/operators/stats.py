@@ -45,6 +45,12 @@ def pipeline_stats(chunks: DataFrame) -> DataFrame:
     ).where("total_chunks > 0").withColumn("avg_chunks_per_doc", F.round(F.col("total_chunks") / F.col("total_documents"), 6))
 
 
+def by_document(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, chunks, multimodal_chunks, avg_tokens of every document; a document without chunks has no mean."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("has_multimodal").alias("multimodal_chunks"), F.round(F.avg("token_count"), 6).alias("avg_tokens"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("multimodal_chunks", F.lit(0)).alias("multimodal_chunks"), "avg_tokens")
+
+
 def count_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 

@@ -9,30 +9,41 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import stats
 from ..operators.order import numbered
-from ..sources import files, markup, sinks
+from ..scratch import materialise
+from ..sources import files, sinks
 
 
 @dataclass
 class Preprocessing:
     recursive: bool = True
     aggressive: bool = False
+    images: bool = True
+    tables: bool = True
+    doc_type: str = "generic"
 
     def documents(self, spark: SparkSession, path: str) -> DataFrame:
-        """Extracted and cleaned documents: statistics are those of the text before cleaning; unreadable files are left out."""
-        d = files.load(files.scan_directory(spark, path, self.recursive, content=True)).where(~F.col("failed"))
+        """Extracted and cleaned documents: marks become descriptions of their elements, statistics are those of the text
+        before cleaning, unreadable files are left out."""
+        loader = files.Loader(self.images, self.tables, mode="extractor")
+        d = files.load(files.scan_directory(spark, path, self.recursive, content=True), loader).where(~F.col("failed"))
         d = d.withColumn("doc_id", F.xxhash64("path")).withColumnRenamed("path", "source_path").withColumnRenamed("type", "file_type")
-        stem = F.regexp_replace("name", r"\.[^.]*$", "")
-        d = stats.document_stats(d).withColumn("title", F.when(F.col("file_type") == "markdown", markup.markdown_title(F.col("text"), stem)).otherwise(stem))
-        d = d.withColumn("sections_count", F.when(F.col("file_type") == "markdown", F.size(markup.markdown_sections(F.col("text")))).otherwise(0))
-        d = d.withColumn("image_count", F.when(F.col("file_type") == "markdown", F.size(markup.markdown_images(F.col("text")))).otherwise(0))
-        return d.withColumn("text", F.when(F.col("file_type") == "pdf", T.extractor_clean(F.col("text"), "pdf", self.aggressive)).otherwise(T.extractor_clean(F.col("text"), "generic", self.aggressive)))
+        # Written here: parsers run once, and neither plan holds the other's expressions.
+        d = materialise(d, "extracted")
+        d = stats.document_stats(d.withColumn("text", T.describe_elements(F.col("text"), F.col("images"), F.col("tables"))))
+        clean = lambda kind: T.extractor_clean(F.col("text"), kind, self.aggressive)
+        return d.withColumn("text", F.when(F.col("file_type") == "pdf", clean("pdf")).otherwise(clean(self.doc_type)))
 
     def run(self, spark: SparkSession, path: str, out: str) -> DataFrame:
-        """Writes ``consolidated`` (text), ``metadata`` and ``documents`` under ``out``; returns the totals."""
-        d = self.documents(spark, path)
-        numbered(d, F.col("file_type") != "pdf", F.desc("word_count"), "source_path").withColumn("place", F.col("place").cast("int")).write.mode("overwrite").parquet(f"{out}/documents")
+        """Writes ``documents``, ``consolidated`` (text), ``metadata``, ``elements``, ``manifest`` and ``images`` under
+        ``out``; returns the totals. Files are parsed once, for ``documents``."""
+        ordered = numbered(self.documents(spark, path), F.col("file_type") != "pdf", F.desc("word_count"), "source_path")
+        ordered.withColumn("place", F.col("place").cast("int")).write.mode("overwrite").parquet(f"{out}/documents")
         placed = spark.read.parquet(f"{out}/documents")
-        sinks.write_consolidated(placed.drop("word_count", "char_count", "line_count"), f"{out}/consolidated")
-        per = placed.select("place", "title", F.col("source_path").alias("source"), F.col("file_type").alias("type"), F.col("word_count").alias("words"), F.col("char_count").alias("chars"), F.col("image_count").alias("images"), "sections_count")
+        sinks.write_consolidated(placed, f"{out}/consolidated")
+        size = lambda c: F.size(c).cast("long")
+        per = placed.select("place", "title", F.col("source_path").alias("source"), F.col("file_type").alias("type"), F.col("word_count").alias("words"), F.col("char_count").alias("chars"), size("images").alias("images"), size("tables").alias("tables"), size("sections").alias("sections_count"))
         per.write.mode("overwrite").json(f"{out}/metadata")
-        return placed.agg(F.count("*").alias("total_documents"), F.sum("word_count").alias("total_words"), F.sum("char_count").alias("total_chars"), F.sum("image_count").alias("total_images"))
+        files.elements(placed).write.mode("overwrite").parquet(f"{out}/elements")
+        sinks.write_preprocess_manifest(spark.read.parquet(f"{out}/elements"), f"{out}/manifest")
+        sinks.write_images(placed.select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.*"), f"{out}/images")
+        return placed.agg(F.count("*").alias("total_documents"), F.sum("word_count").alias("total_words"), F.sum("char_count").alias("total_chars"), F.sum(size("images")).alias("total_images"), F.sum(size("tables")).alias("total_tables"))

@@ -19,16 +19,33 @@ def html_title(html) -> Column:
 _PAGE = "title string, content string, sections array<struct<title:string,level:int>>, images array<struct<image_id:string,src:string,alt:string,width:string,height:string>>, tables array<struct<table_id:string,content:array<array<string>>,rows:int,cols:int>>"
 
 
-def _parser():
+# Elements that stand apart from the text around them.
+_APART = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul".split())
+
+
+def _parser(apart: bool = False):
+    """A parser of pages; with ``apart`` elements that stand apart do so in the text too, by a line end."""
     from html.parser import HTMLParser
 
     class Page(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            self.edge(tag)
+            self.opened(tag, attrs)
+
+        def handle_endtag(self, tag):
+            self.edge(tag)
+            self.closed(tag)
+
+        def edge(self, tag):
+            if apart and tag in _APART and self.text and not self.text[-1].endswith("\n"):
+                self.text.append("\n")
+
         def __init__(self):
             super().__init__(convert_charrefs=True)
             self.text, self.title, self.sections, self.images, self.tables = [], None, [], [], []
             self.skip, self.heading, self.open_title, self.stack = 0, None, False, []
 
-        def handle_starttag(self, tag, attrs):
+        def opened(self, tag, attrs):
             a = dict(attrs)
             if tag in ("script", "style"):
                 self.skip += 1
@@ -47,7 +64,7 @@ def _parser():
             elif self.stack and tag in ("td", "th"):
                 self.stack[-1]["cell"] = (tag, [])
 
-        def handle_endtag(self, tag):
+        def closed(self, tag):
             if tag in ("script", "style"):
                 self.skip = max(0, self.skip - 1)
             elif tag == "title":
@@ -105,6 +122,31 @@ def parse_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {_PAGE}")
 
 
+def page_of(html) -> Column:
+    """title, text, sections, images and tables of a page's HTML, in the form of loaded documents."""
+    from .files import IMAGE, SECTION, TABLE
+
+    @T.arrow_function(f"struct<title:string,text:string,sections:array<{SECTION}>,images:array<{IMAGE}>,tables:array<{TABLE}>>")
+    def read(pages: pd.Series) -> pd.DataFrame:
+        Page = _parser(apart=True)
+        number = lambda x: int(x) if x.isdigit() else None
+
+        def one(h):
+            if h is None:
+                return (None,) * 5
+            p = Page()
+            p.feed(h)
+            p.close()
+            title, text, sections, images, tables = p.row()
+            images = [{"image_id": i["image_id"], "page": None, "width": number(i["width"]), "height": number(i["height"]), "format": None, "src": i["src"], "alt": i["alt"], "data": None, "ocr_text": None} for i in images]
+            tables = [t | {"page": None, "text_representation": "\n".join(" | ".join(r) for r in t["content"])} for t in tables]
+            return title, text, [x | {"style": None, "page": None} for x in sections], images, tables
+
+        return pd.DataFrame([one(h) for h in pages], columns=["title", "text", "sections", "images", "tables"])
+
+    return read(html)
+
+
 def markdown_title(text, stem) -> Column:
     found = F.regexp_extract(text, r"(?dmU)^#\s+(.+)$", 1)
     return F.when(found != "", found).otherwise(stem)

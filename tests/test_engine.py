@@ -4,11 +4,12 @@ import json
 import zipfile
 
 import pytest
+from pdfs import sample
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.operators import linking, stats, vectors
-from loomline.plans.indexing import Indexing
+from loomline.plans.indexing import Indexing, chunks_with_metadata
 from loomline.plans.rag import NOTHING_FOUND, Answering
 from loomline.sources import files, markup, sinks
 from loomline.streaming import ingest
@@ -21,6 +22,8 @@ def docx():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/media/one.png", b"img")
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/image" Target="media/one.png"/></Relationships>')
     return out.getvalue()
 
 
@@ -31,33 +34,57 @@ def folder(tmp_path_factory):
     (d / "a.txt").write_text("Plain text. It has two sentences.", encoding="utf8")
     (d / "latin.TXT").write_bytes("caffè".encode("latin-1"))
     (d / "b.md").write_text("# Title\n\nBody ![x](i.png)", encoding="utf8")
-    (d / "sub/key.html").write_text("<html><title>T</title><p>Hello</p></html>", encoding="utf8")
+    (d / "sub/key.html").write_text("<html><title>T</title><script>no()</script><p>Hello</p><table><tr><td>row</td></tr></table></html>", encoding="utf8")
     (d / "c.json").write_text('{"k": 1, "documents": [{"name": "n", "content": "inside"}]}', encoding="utf8")
     (d / "d.docx").write_bytes(docx())
     (d / "e.bin").write_bytes(b"x")
+    (d / "f.pdf").write_bytes(sample())
+    (d / "bad.pdf").write_bytes(b"no")
     (d / "bad.json").write_text("{", encoding="utf8")
     return str(d)
 
 
 def test_scan_and_load(spark, folder):
     m = files.scan_directory(spark, folder, keyword="key")
-    assert {r.name: r.priority for r in m.collect()} == {"a.txt": "low", "latin.TXT": "low", "b.md": "low", "key.html": "high", "c.json": "low", "d.docx": "low", "bad.json": "low"}
+    assert {r.name: r.priority for r in m.collect()} == {"f.pdf": "medium", "bad.pdf": "medium", "a.txt": "low", "latin.TXT": "low", "b.md": "low", "key.html": "high", "c.json": "low", "d.docx": "low", "bad.json": "low"}
     assert files.by_priority(m, 1).first()["name"] == "key.html"
-    assert files.scan_directory(spark, folder, recursive=False).count() == 6
+    assert files.scan_directory(spark, folder, recursive=False).count() == 8
     d = {r.name: r for r in files.load(files.scan_directory(spark, folder, content=True)).collect()}
     assert d["a.txt"].text.startswith("Plain") and d["a.txt"].encoding == "utf-8" and len(d["a.txt"].file_hash) == 64
     assert d["latin.TXT"].text == "caffè" and d["latin.TXT"].encoding == "latin-1"
-    assert d["key.html"].text == "THello" and d["bad.json"].failed
+    assert d["key.html"].text == "T\nHello\nrow\n" and d["key.html"].title == "T" and d["bad.json"].failed and d["c.json"].json_keys == ["k", "documents"]
+    assert [t.content for t in d["key.html"].tables] == [[["row"]]] and d["b.md"].images[0].src == "i.png" and d["b.md"].sections[0].title == d["b.md"].title == "Title"
+    assert d["d.docx"].tables[0].content == [["a", "b"]] and d["d.docx"].sections[0].style == "Heading1" and d["d.docx"].images[0].data == "aW1n"
+    assert d["f.pdf"].page_count == 3 and d["f.pdf"].title == "Made" and d["f.pdf"].pdf_metadata == {"title": "Made", "author": "È"} and d["bad.pdf"].failed
+    assert [(i.image_id, i.width, i.height, i.format) for i in d["f.pdf"].images] == [("p1_img1", 2, 1, "PNG"), ("p1_img2", 1, 1, "PNG"), ("p2_img1", 7, 9, "JPEG")]
+    assert [(t.table_id, t.rows, t.cols, t.content[1]) for t in d["f.pdf"].tables] == [("p1_t1", 3, 2, ["a", "1"])]
+    assert "\n[IMMAGINE_p1_img2]\n\n[TABELLA_p1_t1]\n\n\nAfibd" in d["f.pdf"].text and d["f.pdf"].sections[2].title == "Pagina 3"
+    bare = files.load(files.scan_directory(spark, folder, content=True), files.Loader(images=False, tables=False)).where("name = 'f.pdf'").first()
+    assert bare.images == bare.tables == [] and "[" not in bare.text and not bare.has_images
     assert json.loads(d["c.json"].text)["k"] == 1 and '\n  "k"' in d["c.json"].text
-    assert d["d.docx"].text == "Head\n\nBody text.\n\n[TABELLA_table_1]"
+    assert d["d.docx"].text == "Head\n\nBody text.\n\n[TABELLA_table_1]\n\n[IMMAGINE_img_1]"
 
 
 def test_indexing_writes_artefacts(spark, folder, tmp_path):
-    s = Indexing(strategy="semantic").run(spark, folder, str(tmp_path)).first()
-    assert s.total_chunks == spark.read.parquet(f"{tmp_path}/chunks").count() == 7
-    assert spark.read.json(f"{tmp_path}/metadata").first()["statistics"]["total_chunks"] == 7
-    assert spark.read.parquet(f"{tmp_path}/retrieval_index").where("id rlike '^[0-9a-f]{8}_[0-9]+$'").count() == 7
+    s = Indexing().run(spark, folder, str(tmp_path)).first()
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    assert s.total_chunks == chunks.count() and s.total_documents == 7
+    told = spark.read.json(f"{tmp_path}/metadata").first()
+    assert told.statistics.total_chunks == s.total_chunks and (told.multimodal_statistics.total_images, told.multimodal_statistics.total_tables) == (5, 3)
+    assert json.loads(told.multimodal_config)["placeholders"] == "True"
+    index = spark.read.parquet(f"{tmp_path}/retrieval_index")
+    assert index.where("id rlike '^[0-9a-f]{8}_[0-9]+$'").count() == s.total_chunks and index.where("metadata['name'] = 'f.pdf'").count() > 0
+    linked = {(x.element_type, x.element_id) for r in index.where("metadata['name'] = 'f.pdf'").collect() for x in r.linked_elements}
+    assert linked >= {("image", "p1_img1"), ("image", "p1_img2"), ("image", "p2_img1")}
+    images = spark.read.json(f"{tmp_path}/multimodal_manifest/images")
+    assert {r.image_id for r in images.where("source_doc = 'f.pdf'").collect()} == {"p1_img1", "p1_img2", "p2_img1"}
+    assert spark.read.json(f"{tmp_path}/multimodal_manifest/tables").where("table_id = 'p1_t1'").first()["rows"] == 3
+    assert spark.read.parquet(f"{tmp_path}/element_lookup").where("element_id = 'p2_img1'").count() == 1
+    per = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/document_statistics").collect()}
+    assert len(per) == 9 and sum(r.chunks for r in per.values()) == s.total_chunks and {r.avg_tokens for r in per.values() if not r.chunks} == {None}
     assert Indexing(limit=2).documents(spark, folder).count() == 2
+    m = chunks_with_metadata(chunks).where("has_multimodal and metadata['name'] = 'f.pdf'").collect()
+    assert {x for r in m for x in r.multimodal.images} == {"p1_img1", "p1_img2", "p2_img1"} and all("title" in r.metadata for r in m)
 
 
 def test_html_parser(spark):
@@ -138,10 +165,18 @@ def test_preprocessing(spark, folder, tmp_path):
 
     t = Preprocessing().run(spark, folder, str(tmp_path)).first()
     meta = spark.read.json(f"{tmp_path}/metadata").orderBy("place").collect()
-    assert t.total_documents == len(meta) == 6 and [r.place for r in meta] == list(range(1, 7)) and t.total_images == 1
-    assert [r.words for r in meta] == sorted((r.words for r in meta), reverse=True)
+    assert t.total_documents == len(meta) == 7 and [r.place for r in meta] == list(range(1, 8)) and (t.total_images, t.total_tables) == (5, 3)
+    assert meta[0].type == "pdf" and meta[0].images == 3 and meta[0].sections_count == 3 and [r.words for r in meta[1:]] == sorted((r.words for r in meta[1:]), reverse=True)
     text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/consolidated").collect())
-    assert "DOCUMENTO 1: " in text and "[Fine documento 6]" in text and "Title" in {r.title for r in meta}
+    assert text.startswith("=" * 80) and "1. Made\n   Tipo: pdf | Parole: " in text and " | Immagini: 3 | Tabelle: 1" in text and "Immagini totali: 5" in text
+    assert text.index("INDICE") < text.index("DOCUMENTO 1: Made") < text.index("DOCUMENTO 7: ") < text.index("RIEPILOGO FINALE") and "[Fine documento 7]" in text
+    assert "[Immagine: p1_img1 - Dimensioni: 2x1px]" in text and "[Tabella p1_t1: 3 righe x 2 colonne]\nname | value" in text and "  - p2_img1: 7x9px" in text
+    assert spark.read.json(f"{tmp_path}/manifest/images").where("id = 'p1_img1'").first()["width"] == 2
+    assert {bytes(r["data"])[:2] for r in spark.read.parquet(f"{tmp_path}/images").collect()} == {b"\x89P", b"\xff\xd8", b"im"}
+    one = files.preprocessed_file(spark, str(tmp_path)).first()
+    assert one.type == "preprocessed" and one.priority == "high" and one.total_documents == 7 and len(one.images) == 5 and one.text == text
+    none = Preprocessing(images=False, tables=False).documents(spark, folder).where("name = 'f.pdf'").first()
+    assert none.images == [] and "Immagine" not in none.text
 
 
 def test_imports_need_no_session():
@@ -167,8 +202,8 @@ def test_rest_stands_without_the_optional_part(tmp_path):
 def test_artefact_sinks(spark, tmp_path):
     c = spark.createDataFrame([(1, 0, "plain text", 2, False, [], False), (1, 1, "x" * 400, 100, True, ["[IMMAGINE_i]", "[TABELLA_q]"], False)], "doc_id long, chunk_index int, content string, token_count int, has_multimodal boolean, multimodal_refs array<string>, is_table_chunk boolean")
     e = spark.createDataFrame([(1, "i", "image"), (2, "q", "table")], "doc_id long, element_id string, element_type string")
-    m = sinks.element_manifest(c, e).collect()
-    assert len(m) == 1 and m[0].images == ["i"] and m[0].tables == []
+    m = linking.with_links(c, e).where("has_multimodal").collect()
+    assert [[tuple(x) for x in r.linked] for r in m] == [[("image", "i")]]
     x = {r.chunk_index: r.example for r in sinks.examples(c).collect()}
     assert x[0] == "plain text" and x[1] == "x" * 300 + "..."
     s = vectors.store(c.select("content", "chunk_index"), vectors.hashing_embedding(8))
@@ -177,7 +212,7 @@ def test_artefact_sinks(spark, tmp_path):
     back = vectors.open_collection(spark, str(tmp_path / "v"))
     assert back.count() == 4 and back.select("id").distinct().count() == 2
     sinks.write_export(back, str(tmp_path / "x"))
-    assert set(spark.read.json(str(tmp_path / "x")).columns) == {"id", "text", "metadata"}
+    assert set(spark.read.json(str(tmp_path / "x/documents")).columns) == {"id", "text", "metadata"} and spark.read.json(str(tmp_path / "x/header")).first()["total_documents"] == 4
     sinks.write_images(spark.createDataFrame([(1, "i", "aGk=")], "doc_id long, image_id string, data string"), str(tmp_path / "i"))
     assert bytes(spark.read.parquet(str(tmp_path / "i")).first()["data"]) == b"hi"
     sinks.write_chunks(c, str(tmp_path / "c"), json=True)
