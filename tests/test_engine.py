@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 from loomline.operators import linking, stats, vectors
 from loomline.plans.indexing import Indexing, chunks_with_metadata
-from loomline.plans.rag import NOTHING_FOUND, Answering
+from loomline.plans.rag import BAD_CALL, BAD_STATUS, NOTHING_FOUND, Answering, HttpModel
 from loomline.sources import files, markup, sinks
 from loomline.streaming import ingest
 
@@ -133,7 +133,46 @@ def test_answering(spark):
     a = Answering(vectors.store(chunks, vectors.hashing_embedding(1024)), embed=vectors.hashing_embedding(1024), threshold=0.3)
     r = a.answer("red fox")
     assert "the red fox runs" in r.answer and r.sources[0]["metadata"]["file_name"] == "a.txt" and 0.3 <= r.confidence <= 1
-    assert a.answer("zzz qqq").answer == NOTHING_FOUND
+    assert r.answer.endswith("\n\n📚 Fonti utilizzate:\n1. a.txt - Chunk #0 (Rilevanza: %.2f%%)" % (100 * r.sources[0]["relevance_score"]))
+    assert r.sources[0]["text_preview"] == "the red fox runs..." and "Fonti" not in a.answer("red fox", include_sources=False).answer
+    assert a.answer("zzz qqq").answer == NOTHING_FOUND and a.answer("zzz qqq").sources == []
+    q = spark.createDataFrame([(7, "blue whales"), (8, "zzz"), (9, "red fox {context}")], "query_id long, text string")
+    got = {x.query_id: x for x in a.answers(q).collect()}
+    assert "swim" in got[7].answer and got[8].answer == NOTHING_FOUND and got[8].confidence == 0 and "fox" in got[9].answer
+    said = []
+    lines = iter(["help", "", "red fox", "QUIT"])
+    a.chat(lambda _: next(lines), said.append)
+    assert len(said) == 2 and "the red fox runs" in said[1]
+    a.chat(lambda _: (_ for _ in ()).throw(EOFError()), said.append)
+
+
+def test_http_model():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Service(BaseHTTPRequestHandler):
+        def _reply(self, status, body):
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self._reply(200, {"models": []})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self._reply(500 if asked["prompt"].endswith("fail") else 200, {"response": f"{asked['prompt']}|{asked['options']['num_predict']}|{asked['stream']}"})
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    m = HttpModel(f"http://127.0.0.1:{server.server_port}")
+    assert m.healthy() and m.generate("q", "be brief", 9) == "be brief\n\nq|9|False" and m.generate("fail") == BAD_STATUS
+    server.shutdown()
+    server.server_close()
+    assert not m.healthy() and m.generate("q").startswith(BAD_CALL)
 
 
 def test_stats_of_nothing(spark):
