@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..scratch import delete, free, materialise, scratch_dir, scratch_tables  # noqa: F401
 
 #: Bytes of text worked on at once inside a task, whatever the size of the Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def trained_in_task(sample: DataFrame, label: str, train, chars: int):

@@ -29,6 +29,8 @@ CAPACITY, END_ID = 4096, 1
 #: Visits of the whole search, and of one tier of waste at one level; where they run out, the best solution so far
 #: stands and ``Plan.proved`` is false.
 NODES, TIER_NODES = 1 << 20, 300
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 20
 #: Distinct words whose ids a task remembers.
 CACHE_WORDS = 200_000
 
@@ -138,7 +140,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     def run(it):
         tok, seen, task = worker_tokenizer(spec.value), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in it:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 ids, n = tok.encode(part.column("text"))
                 off = starts(n)
                 per = -(-n // capacity)

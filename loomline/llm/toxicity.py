@@ -27,6 +27,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, BITS, CHAR_NS = 8, 12, 12, 17, (3, 5)
 WORD_DROPOUT = 0.25
 #: Words and n-grams of fewer training texts have no vector: they could only be learnt by heart.
 MIN_TEXTS = 3
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 20
 #: Bounds of the training sample: labelled rows of each kind, and characters of all their texts.
 MAX_ROWS_PER_LABEL, MAX_CHARS_PER_LABEL = 1500, 16_000_000
 
@@ -295,7 +297,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(it):
         for batch in it:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 s = score_texts(shared.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -312,7 +314,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(it):
         for batch in it:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 yield part.filter(pa.array(score_texts(shared.value, part.column("text")) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
