@@ -1,7 +1,7 @@
 """Chunking strategies: DataFrame(doc_id, text) to one row a chunk, without a shuffle.
 
-Each strategy folds over a document's sentences or paragraphs inside its row and explodes the chunks at the end.
-A fold's input array is worked out once; what its lambdas refer to must be cheap, as lambdas share no results.
+Each strategy finds its bounds among a document's sentences, lines or paragraphs inside its row and explodes the chunks
+at the end. A fold's input array is worked out once; what its lambdas refer to must be cheap, as lambdas share no results.
 ``chunk_index`` is dense within a document.
 """
 from __future__ import annotations
@@ -30,17 +30,20 @@ class Config:
 
 
 def pack_sentences(text: Column, target: int) -> Column:
-    """Greedily packed sentences: a chunk closes when the next one would pass ``target``; a longer one stands alone."""
-    state = F.struct(F.lit("").alias("cur"), F.lit(0).alias("tok"), F.array().cast("array<string>").alias("out"))
-    done = lambda a: F.when(a["cur"] != "", F.array_append(a["out"], a["cur"])).otherwise(a["out"])
+    """Greedily packed sentences: a chunk closes when the next one would pass ``target``; a longer one stands alone.
+
+    The fold keeps the places where chunks begin; their sentences are joined once."""
+    start = F.struct(F.lit(0).alias("tok"), F.array().cast("array<int>").alias("out"))
 
     def step(a, v):
-        tok = T.tokens(v)
-        full = (a["cur"] != "") & (a["tok"] + tok > target)
-        more = F.struct(F.when(a["cur"] == "", v).otherwise(F.concat(a["cur"], F.lit(" "), v)).alias("cur"), (a["tok"] + tok).alias("tok"), a["out"].alias("out"))
-        return F.when(full, F.struct(v.alias("cur"), tok.alias("tok"), done(a).alias("out"))).otherwise(more)
+        new = (F.size(a["out"]) == 0) | (a["tok"] + v["tok"] > target)
+        return F.when(new, F.struct(v["tok"].alias("tok"), F.array_append(a["out"], v["i"]).alias("out"))).otherwise(F.struct((a["tok"] + v["tok"]).alias("tok"), a["out"].alias("out")))
+
+    def joined(s):
+        first = F.aggregate(F.transform(s, lambda v, i: F.struct(i.alias("i"), T.tokens(v).alias("tok"))), start, step, lambda a: a["out"])
+        return T.let(first, lambda at: F.transform(at, lambda i, k: F.array_join(F.slice(s, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i), " ")))
 
-    return F.aggregate(T.sentences(text), state, step, done)
+    return T.let(T.sentences(text), joined)
 
 
 def _chunk(content, refs, is_table=None, section=None, index=None) -> Column:
@@ -98,15 +101,15 @@ def window_bounds(toks: Column, cfg: Config) -> Column:
 
 def section_bounds(text: Column) -> Column:
     """Array of (title, section text): title lines open a section and are not in its text; empty sections are skipped."""
-    state = F.struct(F.lit("Introduzione").alias("title"), F.lit("").alias("cur"), F.lit(0).alias("n"), F.array().cast("array<struct<title:string,text:string>>").alias("out"))
-    closed = lambda a: F.when(a["n"] > 0, F.array_append(a["out"], F.struct(a["title"].alias("title"), a["cur"].alias("text")))).otherwise(a["out"])
+    def cut(ls):
+        heads = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: T.is_section_title(F.get(ls, i)))
+        return T.let(F.concat(F.array(F.lit(-1)), heads), lambda at: F.filter(F.transform(at, lambda i, k: section(ls, i, F.coalesce(F.get(at, k + 1), F.size(ls)))), lambda x: x["text"].isNotNull()))
 
-    def step(a, x):
-        title = F.struct(T.strip(x).alias("title"), F.lit("").alias("cur"), F.lit(0).alias("n"), closed(a).alias("out"))
-        more = F.struct(a["title"].alias("title"), F.when(a["n"] == 0, x).otherwise(F.concat(a["cur"], F.lit("\n"), x)).alias("cur"), (a["n"] + 1).alias("n"), a["out"].alias("out"))
-        return F.when(T.is_section_title(x), title).otherwise(more)
+    def section(ls, i, end):
+        title = F.when(i < 0, "Introduzione").otherwise(T.strip(F.get(ls, F.greatest(i, F.lit(0)))))
+        return F.struct(title.alias("title"), F.when(end > i + 1, F.array_join(F.slice(ls, i + 2, end - i - 1), "\n")).alias("text"))
 
-    return F.aggregate(T.lines(text), state, step, closed)
+    return T.let(T.lines(text), cut)
 
 
 def hierarchical_chunks(text: Column, cfg: Config) -> Column:
