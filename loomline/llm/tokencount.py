@@ -4,11 +4,12 @@ A token file is nothing but ids, each document closed by an end id. Files are re
 the end ids of each block with one vectorised comparison and reports the lengths of the documents that end there, the
 first of them without what earlier blocks hold of it. A prefix scan over the blocks of a file then gives, for each
 block, the documents closed before it and the tokens since the last end id; it runs in two levels (within segments
-of ``SEGMENT`` blocks, then over segments), so a large file is not scanned in one task.
+of ``SEGMENT`` blocks, then over segments), so a large file's blocks are scanned in many tasks.
 
 Defined cases: two end ids in a row close an empty document (0 tokens); ids after the last end id are a last document
 without one (``closed`` false); an empty file has no documents. In ``count_documents`` null and empty texts have 0
-tokens, and null and repeated ids are rows like others. Extra columns are ignored.
+tokens, and null and repeated ids are rows like others; a text of any length is encoded whole in its task and may span
+blocks; an empty table has no rows. Extra columns are ignored, whatever their names.
 """
 from __future__ import annotations
 
@@ -79,7 +80,11 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = END_ID, bl
 
 
 def read_token_files(spark: SparkSession, path: str, dtype: str = DTYPE, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Token files (each under 2 GB, as Spark hands a binary file over whole) as rows (file, block, data)."""
+    """Token files as rows (file, block, data), the blocks of a file dealt over tasks.
+
+    Spark hands a binary file over whole, so one task reads and cuts it, and a file of 2 GB or more fails with Spark's own
+    message: larger sets are written as several files.
+    """
     size = np.dtype(dtype).itemsize * block_ids
 
     def run(it):
@@ -89,7 +94,7 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = DTYPE, block_i
                 for b in range(-(-raw.size // size)):
                     yield pa.RecordBatch.from_pydict({"file": [p], "block": [b], "data": [raw.slice(b * size, min(size, raw.size - b * size)).to_pybytes()]}, schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("data", pa.binary())]))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary").repartition("file", "block")
 
 
 def scan(blocks: DataFrame, end: int = END_ID, dtype: str = DTYPE) -> DataFrame:

@@ -52,6 +52,13 @@ def test_token_counts_equal_the_encoder(docs):
     assert tokencount.count_documents(docs.limit(0)).count() == 0
 
 
+def test_counts_of_clashing_columns_and_long_texts(spark):
+    rows = [(1, "word " * 700_000, 5, 6, 7), (2, "a b", 1, 1, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, file int, nth int, n_tokens int")
+    assert sorted(tuple(r) for r in tokencount.count_documents(d).collect())[1][0] == 2 and tokencount.count_documents(d).columns == ["doc_id", "n_tokens"]
+    assert tokencount.count_documents(d).where("doc_id = 1").first()["n_tokens"] > 600_000
+
+
 def test_word_tokenizer_equals_the_library(docs):
     import pyarrow as pa
     from tokenizers import Tokenizer
