@@ -189,47 +189,71 @@ def chunk_overlap(spark, sf_dir):
     return chunking.chunk(docs_of(spark, sf_dir), "sliding_window").select("doc_id", F.col("chunk_index").cast("long"), F.col("overlap_with_previous").cast("long").alias("overlap"))
 
 
-@query("chunks_semantic", rf"""with recursive para as (select doc_id, p, row_number() over (partition by doc_id order by i)::bigint as n, length(p) // 4 as tok from (select doc_id, unnest(l) as p, generate_subscripts(l, 1) as i from (select doc_id, list_filter(list_transform(string_split(text, chr(10)||chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from documents))),
-g as (select doc_id, n, p, tok, tok > 450 as big, 0 as grp, case when tok > 450 then 0 else tok end as total, tok > 450 as closed from para where n = 1
-      union all select q.doc_id, q.n, q.p, q.tok, q.tok > 450, case when q.tok > 450 or g.closed or g.total + q.tok > 350 then g.grp + 1 else g.grp end, case when q.tok > 450 then 0 when g.closed or g.total + q.tok > 350 then q.tok else g.total + q.tok end, q.tok > 450 from g join para q on q.doc_id = g.doc_id and q.n = g.n + 1),
-grp as (select doc_id, grp, bool_or(big) as big, string_agg(p, chr(10)||chr(10) order by n) as body from g group by doc_id, grp),
-sent as (select doc_id, grp, unnest(l) as sentence, generate_subscripts(l, 1)::bigint as pos from (select doc_id, grp, list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from grp where big)),
-pk as (select doc_id, grp, pos, sentence, length(sentence) // 4 as total, 0 as k from sent where pos = 1
-       union all select s.doc_id, s.grp, s.pos, s.sentence, case when pk.total + length(s.sentence) // 4 > 350 then length(s.sentence) // 4 else pk.total + length(s.sentence) // 4 end, case when pk.total + length(s.sentence) // 4 > 350 then pk.k + 1 else pk.k end from pk join sent s on s.doc_id = pk.doc_id and s.grp = pk.grp and s.pos = pk.pos + 1),
-parts as (select doc_id, grp, k, string_agg(sentence, ' ' order by pos) as content from pk group by doc_id, grp, k union all select doc_id, grp, 0, body from grp where not big)
-select doc_id, (row_number() over (partition by doc_id order by grp, k) - 1)::bigint as chunk_index, content from parts""")
+def _semantic_sql(source: str) -> str:
+    """CTEs that end in ``parts`` (k, grp, part, content): the semantic chunks of texts (k, text)."""
+    return rf"""para as (select k, p, row_number() over (partition by k order by i)::bigint as n, length(p) // 4 as tok from (select k, unnest(l) as p, generate_subscripts(l, 1) as i from (select k, list_filter(list_transform(string_split(text, chr(10)||chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from {source}))),
+g as (select k, n, p, tok, tok > 450 as big, 0 as grp, case when tok > 450 then 0 else tok end as total, tok > 450 as closed from para where n = 1
+      union all select q.k, q.n, q.p, q.tok, q.tok > 450, case when q.tok > 450 or g.closed or g.total + q.tok > 350 then g.grp + 1 else g.grp end, case when q.tok > 450 then 0 when g.closed or g.total + q.tok > 350 then q.tok else g.total + q.tok end, q.tok > 450 from g join para q on q.k = g.k and q.n = g.n + 1),
+grp as (select k, grp, bool_or(big) as big, string_agg(p, chr(10)||chr(10) order by n) as body from g group by k, grp),
+{_packed_sql("(select k, grp, body from grp where big)", "k, grp", "body")},
+parts as (select k, grp, part, content from packed_parts union all select k, grp, 0, body from grp where not big)"""
+
+
+def _packed_sql(source: str, key: str, text: str) -> str:
+    """CTEs that end in ``packed_parts`` (key, part, content): packed sentences of each row's text."""
+    on = " and ".join(f"s.{c} = pk.{c}" for c in key.split(", "))
+    return rf"""cut as (select {key}, unnest(l) as sentence, generate_subscripts(l, 1)::bigint as pos from (select {key}, list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from {source})),
+pk as (select {key}, pos, sentence, length(sentence) // 4 as total, 0 as part from cut where pos = 1
+       union all select {", ".join("s." + c for c in key.split(", "))}, s.pos, s.sentence, case when pk.total + length(s.sentence) // 4 > 350 then length(s.sentence) // 4 else pk.total + length(s.sentence) // 4 end, case when pk.total + length(s.sentence) // 4 > 350 then pk.part + 1 else pk.part end from pk join cut s on {on} and s.pos = pk.pos + 1),
+packed_parts as (select {key}, part, string_agg(sentence, ' ' order by pos) as content from pk group by {key}, part)"""
+
+
+@query("chunks_semantic", f"with recursive {_semantic_sql('(select doc_id as k, text from documents)')} select k as doc_id, (row_number() over (partition by k order by grp, part) - 1)::bigint as chunk_index, content from parts")
 def chunks_semantic(spark, sf_dir):
     return chunking.chunk(docs_of(spark, sf_dir), "semantic").select("doc_id", F.col("chunk_index").cast("long"), "content")
 
 
-@query("chunks_hierarchical", rf"""with l as (select id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from {X.values(X.SECTIONS, 'id, text')}),
+def _sections_sql(source: str) -> str:
+    """CTEs that end in ``c`` (id, sec, section, content): the sections of texts (id, text)."""
+    return rf"""l as (select id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from {source}),
 t as (select *, regexp_replace(x, '^\s+|\s+$', '', 'g') as s, regexp_matches(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^#+\s+(.+)$|^([A-Z][^.!?]{{3,50}})$') and length(x) < 100 and not regexp_matches(x, '{_REFRX}') as head from l),
-g as (select *, sum(case when head then 1 else 0 end) over (partition by id order by i) as sec from t),
-c as (select id, sec, coalesce(max(case when head then s end), 'Introduzione') as section, string_agg(x, chr(10) order by i) filter (not head) as content from g group by id, sec having count(*) filter (not head) > 0)
-select id, (row_number() over (partition by id order by sec) - 1)::bigint as chunk_index, section, content from c""")
+headed as (select *, sum(case when head then 1 else 0 end) over (partition by id order by i) as sec from t),
+c as (select id, sec, coalesce(max(case when head then s end), 'Introduzione') as section, string_agg(x, chr(10) order by i) filter (not head) as content from headed group by id, sec having count(*) filter (not head) > 0)"""
+
+
+@query("chunks_hierarchical", f"with {_sections_sql(X.values(X.SECTIONS, 'id, text'))} select id, (row_number() over (partition by id order by sec) - 1)::bigint as chunk_index, section, content from c")
 def chunks_hierarchical(spark, sf_dir):
     return chunking.chunk(fixed(spark, X.SECTIONS), "hierarchical").select("id", F.col("chunk_index").cast("long"), "section", "content")
 
 
-@query("chunks_hierarchical_documents")
+@query("chunks_hierarchical_documents", f"""with recursive {_sections_sql("(select doc_id as id, text from documents)")},
+large as (select id || '/' || sec as k, id, sec, section, content as text from c where length(content) // 4 > 350), {_semantic_sql("large")},
+every as (select id, sec, 0 as grp, 0 as part, section, content from c where length(content) // 4 <= 350 union all select large.id, large.sec, grp, part, section, content from parts join large on large.k = parts.k)
+select id as doc_id, (row_number() over (partition by id order by sec, grp, part) - 1)::bigint as chunk_index, section, content from every""")
 def chunks_hierarchical_documents(spark, sf_dir):
-    return chunking.chunk(docs_of(spark, sf_dir), "hierarchical").select("doc_id", "chunk_index", "section", "content")
+    return chunking.chunk(docs_of(spark, sf_dir), "hierarchical").select("doc_id", F.col("chunk_index").cast("long"), "section", "content")
 
 
-@query("segments_multimodal", f"""with {_PLACED}, b as (select *, greatest(0, position - 200) as lo, least(length(text), position + length(ref) + 200) as hi from placed),
+_SEGMENTS = f"""{_PLACED}, b as (select *, greatest(0, position - 200) as lo, least(length(text), position + length(ref) + 200) as hi from placed),
 w as (select *, lag(hi, 1, 0) over (partition by id order by position) as last_pos from b),
 seg as (select id, position * 2 + 1 as o, substr(text, lo + 1, hi - lo) as text, case when ref like '[TABELLA%' then 'table' else 'multimodal' end as kind, regexp_extract(ref, '_([^\\]]+)\\]', 1) as ref_id from w
   union all select id, position * 2, regexp_replace(substr(text, last_pos + 1, greatest(0, position - last_pos)), '^\\s+|\\s+$', '', 'g'), 'text', null from w
-  union all select t.id, 1000000, regexp_replace(substr(t.text, coalesce(m.hi, 0) + 1), '^\\s+|\\s+$', '', 'g'), 'text', null from {_MM} left join (select id, max(hi) as hi from b group by id) m on m.id = t.id)
-select id, (row_number() over (partition by id order by o) - 1)::bigint as nth, text, kind, ref_id from seg where not (kind = 'text' and text = '')""")
+  union all select t.id, 1000000, regexp_replace(substr(t.text, coalesce(m.hi, 0) + 1), '^\\s+|\\s+$', '', 'g'), 'text', null from {_MM} left join (select id, max(hi) as hi from b group by id) m on m.id = t.id),
+segs as (select id, (row_number() over (partition by id order by o) - 1)::bigint as nth, text, kind, ref_id from seg where not (kind = 'text' and text = ''))"""
+
+
+@query("segments_multimodal", f"with {_SEGMENTS} select * from segs")
 def segments_multimodal(spark, sf_dir):
     d = _extended(spark, sf_dir, X.MM).select("id", F.posexplode(chunking.segments(F.col("text"))).alias("nth", "s"))
     return d.select("id", F.col("nth").cast("long"), "s.text", "s.kind", "s.ref_id")
 
 
-@query("chunks_multimodal")
+@query("chunks_multimodal", f"""with recursive {_SEGMENTS}, {_packed_sql("(select id, nth, text from segs where kind <> 'table' and length(text) // 4 > 350)", "id, nth", "text")},
+every as (select id, nth, 0 as part, text as content, kind = 'table' as is_table_chunk from segs where kind = 'table' or length(text) // 4 <= 350 union all select id, nth, part, content, false from packed_parts)
+select id as doc_id, (row_number() over (partition by id order by nth, part) - 1)::bigint as chunk_index, content, is_table_chunk from every""")
 def chunks_multimodal(spark, sf_dir):
-    return chunking.chunk(docs_of(spark, sf_dir).unionByName(fixed(spark, [(-i, t) for i, t in X.MM], "doc_id long, text string")), "multimodal_aware")
+    d = _extended(spark, sf_dir, X.MM).withColumnRenamed("id", "doc_id")
+    return chunking.chunk(d, "multimodal_aware").select("doc_id", F.col("chunk_index").cast("long"), "content", "is_table_chunk")
 
 
 # Statistics --------------------------------------------------------------------------------------------------------------------
@@ -430,6 +454,11 @@ def html_title(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", markup.html_title(F.col("html")).alias("title"))
 
 
+@query("html_sections", r"select page_id, level, regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') as title from (select page_id, regexp_extract(h, '(?is)<h([1-6])', 1)::integer as level, regexp_replace(regexp_replace(regexp_replace(h, '(?is)^<h[1-6][^>]*>|</h[1-6]>$', '', 'g'), '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g') as t from (select page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) as h from pages))")
+def html_sections(spark, sf_dir):
+    return markup.parse_html(read(spark, sf_dir, "pages")).select("page_id", F.explode("sections").alias("s")).select("page_id", "s.level", "s.title")
+
+
 @query("html_parse")
 def html_parse(spark, sf_dir):
     return markup.parse_html(read(spark, sf_dir, "pages"))
