@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, is_held_out, starts, text_slices, trained_in_task, word_ngrams, words_of
+from .common import batches, free, is_held_out, materialise, starts, text_slices, trained_in_task, word_ngrams, words_of
 
 WINDOW, STRIDE, THRESHOLD = 32, 16, 0.3
 HIDDEN, WORD_DIM, CHAR_DIM, BITS, CHAR_NS = 8, 12, 12, 17, (3, 5)
@@ -275,13 +275,14 @@ def score_texts(model: Model, text: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MAX_ROWS_PER_LABEL, chars: int = MAX_CHARS_PER_LABEL) -> Model:
     """Train on at most ``rows`` labelled documents of each kind, the first by hash of the id, none held out."""
     known = labels.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = materialise(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")  # an id and a label a row
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (n.get(0) and n.get(1)):
         return Model.fresh()
     share = n[1] / (n[0] + n[1])
     ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     few = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for part in ids for r in part.collect()], "doc_id long, y int")  # 2 * rows at most
+    free(known)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def fitted(texts, y):
