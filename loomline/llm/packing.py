@@ -14,8 +14,10 @@ table packs into nothing. A text of any length is tokenised whole in its task. E
 """
 from __future__ import annotations
 
+import json
 import logging
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,9 @@ CAPACITY, END_ID = 4096, 1
 #: stands and ``Plan.proved`` is false.
 NODES, TIER_NODES = 1 << 20, 300
 #: Bytes of text that a task works on at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Distinct words whose ids a task remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -42,17 +44,22 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 _LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
-_POINT = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+#: ASCII signs, but for the one that stands by a letter in special tokens.
+_POINT = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~", np.uint8))
+#: Second bytes of the letters that begin with 0xC3: all but the signs of multiplication and division.
+_LATIN = np.isin(np.arange(256), np.setdiff1d(np.arange(0x80, 0xC0), [0x97, 0xB7]))
 #: Lead bytes of the combining marks that may join an ASCII letter.
 _MARKS = np.isin(np.arange(256), np.array([0xCC, 0xCD], np.uint8))
 
 
 def loosened(text: pa.Array) -> pa.Array:
-    """Texts with the same ids and fewer distinct words: a space between an ASCII letter and punctuation, where the
+    """Texts with the same ids and fewer distinct words: a space between a Latin letter and an ASCII sign, where the
     vocabulary splits anyway, and A-Z in lower case unless a combining mark, which composes before case, is near."""
     data, off = utf8(text)
     if len(data) > 1:
-        at = np.flatnonzero(_LETTER[data[:-1]] & _POINT[data[1:]]) + 1
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        at = np.flatnonzero(letter[:-1] & _POINT[data[1:]]) + 1
         at = at[~np.isin(at, off)] if len(at) else at
         if not _MARKS[data].any():
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -70,20 +77,49 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
+        # The same without special tokens, whose search takes most of the time on words of letters alone. Such a word is
+        # one piece, and a piece's last token is one that ends a word.
+        told = json.loads(spec)
+        self.plain = Tokenizer.from_str(json.dumps(told | {"added_tokens": []}))
+        vocabulary = told["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(told["model"].get("end_of_word_suffix") or "\0")]] = True
         self.between = self.tok.token_to_id(self.BETWEEN)
         self.clear()
 
     def clear(self):
         self.known: dict[str, int] = {}
+        self.again = np.zeros(0, bool)
         self.flat, self.first, self.used = np.zeros(1 << 20, np.uint32), [np.zeros(1, np.int64)], 0
 
+    def forget(self):
+        """Drop the words that were not met again since the last time; all of them, if too many were."""
+        first, held = np.concatenate(self.first), np.flatnonzero(self.again)
+        words = list(self.known)
+        ids = [self.flat[a:b] for a, b in zip(first[held].tolist(), first[held + 1].tolist())]
+        self.clear()
+        if len(held) <= CACHE_WORDS // 2:
+            self.again = np.zeros(len(held), bool)
+            self._store(np.concatenate(ids) if ids else self.flat[:0], np.array([len(x) for x in ids], np.int64), [words[i] for i in held.tolist()])
+
     def _learn(self, words):
-        """Many words at once, with a special token between them; those that hold "<|" go one by one."""
-        plain = [w for w in words if "<|" not in w]
-        for a in range(0, len(plain), 2000):
-            ids = np.asarray(self.tok.encode(self.BETWEEN.join(plain[a : a + 2000]), add_special_tokens=False).ids, np.uint32)
+        """Many words at once: those of letters with a space between them, others with a special token; those that hold
+        "<|" go one by one."""
+        letters = [w for w in words if w.isalpha() and (w.isascii() or w.lower().isalpha())]
+        others = set(letters)
+        others = [w for w in words if w not in others and "<|" not in w]
+        for a in range(0, len(letters), 2000):
+            some = letters[a : a + 2000]
+            ids = np.asarray(self.plain.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some):
+                self._store(ids, np.diff(last, prepend=-1), some)
+            else:  # another kind of vocabulary
+                others += some
+        for a in range(0, len(others), 2000):
+            ids = np.asarray(self.tok.encode(self.BETWEEN.join(others[a : a + 2000]), add_special_tokens=False).ids, np.uint32)
             cut = ids == self.between
-            self._store(ids[~cut], np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1, plain[a : a + 2000])
+            self._store(ids[~cut], np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1, others[a : a + 2000])
         for w in words:
             if "<|" in w:
                 ids = np.asarray(self.tok.encode(w, add_special_tokens=False).ids, np.uint32)
@@ -103,9 +139,13 @@ class WordTokenizer:
         codes, counts, vocabulary = words_of(loosened(text))
         words = vocabulary.to_pylist()
         if len(self.known) + len(words) > CACHE_WORDS:
-            self.clear()
-        self._learn([w for w in words if w not in self.known])
-        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+            self.forget()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        self.again[at[at >= 0]] = True
+        self._learn([words[i] for i in new])
+        at[new] = np.fromiter((self.known[words[i]] for i in new), np.int64, len(new))
+        self.again = np.concatenate([self.again, np.zeros(len(self.known) - len(self.again), bool)])
         self.first = [np.concatenate(self.first)]
         first = self.first[0]
         start, size = first[at], first[at + 1] - first[at]

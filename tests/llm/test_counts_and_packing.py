@@ -64,7 +64,7 @@ def test_word_tokenizer_equals_the_library(docs):
     from tokenizers import Tokenizer
 
     spec = open(packing.tokenizer_file()).read()
-    texts = [r.text or "" for r in docs.collect()] + ["T̈ über Å", "…. ,., x..y", "a.B.c", "'s 'S it's ' s", "<|startoftext|>a.b<|endoftext|>", " nbsp em. x"]
+    texts = [r.text or "" for r in docs.collect()] + ["T̈ über Å", "…. ,., x..y", "a.B.c", "'s 'S it's ' s", "aé$$$b ÷, ×. Ã. é's É'LL a''s x<|y <|endoftext|>'s a<b>c (d) [e]f* ª. º, ß! ÿ? a_b-c/d e\u0301, x\u0338<", "<|startoftext|>a.b<|endoftext|>", " nbsp em. x"]
     ids, n = packing.WordTokenizer(spec).encode(pa.array(texts))
     lib = [e.ids + [1] for e in Tokenizer.from_str(spec).encode_batch(texts, add_special_tokens=False)]
     assert n.tolist() == [len(x) for x in lib] and ids.tolist() == sum(lib, [])
