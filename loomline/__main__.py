@@ -1,4 +1,4 @@
-"""python -m loomline preprocess|index|ask: the plans from a command line."""
+"""python -m loomline preprocess|index|ask|check: the plans from a command line."""
 from __future__ import annotations
 
 import argparse
@@ -15,6 +15,8 @@ def main() -> None:
     a.add_argument("input"), a.add_argument("output"), a.add_argument("--strategy", default="multimodal_aware"), a.add_argument("--limit", type=int), a.add_argument("--no-images", action="store_true"), a.add_argument("--no-tables", action="store_true")
     a = sub.add_parser("ask", help="answer questions from an index")
     a.add_argument("index"), a.add_argument("question", nargs="*", help="none: a chat"), a.add_argument("--url", help="a model's HTTP service"), a.add_argument("--model", default="mistral:7b")
+    a = sub.add_parser("check", help="whether a directory has documents, and a model's service answers")
+    a.add_argument("input"), a.add_argument("--url")
     args = p.parse_args()
     spark = SparkSession.builder.appName("loomline").getOrCreate()
     if args.command == "preprocess":
@@ -26,6 +28,13 @@ def main() -> None:
         from .sources.files import Loader
 
         Indexing(args.strategy, loader=Loader(not args.no_images, not args.no_tables), limit=args.limit).run(spark, args.input, args.output).show(truncate=False)
+    elif args.command == "check":
+        from .plans.rag import HttpModel
+        from .sources.files import scan_directory
+
+        scan_directory(spark, args.input).groupBy("type").count().show()
+        if args.url:
+            print("model:", "answers" if HttpModel(args.url).healthy() else "does not answer")
     else:
         from .operators import vectors
         from .plans.rag import Answering, ExtractiveModel, HttpModel

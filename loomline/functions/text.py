@@ -17,6 +17,9 @@ MOJIBAKE = [("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ('â€"', "–
 _SPACE = r"[\s\x1c-\x1f]"
 
 
+# The patterns of the cleaners below are fixed values: their results must be these.
+
+
 def strip(c) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")

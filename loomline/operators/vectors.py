@@ -205,4 +205,8 @@ def write_collection(rows: DataFrame, path: str, reset: bool = False) -> None:
 
 
 def open_collection(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a collection; none where nothing was written yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "id long, embedding array<float>, document string, metadata map<string,string>")
     return spark.read.parquet(path)

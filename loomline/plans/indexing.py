@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, linking, stats
+from ..operators import chunking, linking, stats, vectors
 from ..sources import files, sinks
 
 
@@ -59,3 +59,11 @@ def chunks_with_metadata(chunks: DataFrame) -> DataFrame:
     bare = lambda kind: F.transform(F.filter("multimodal_refs", lambda r: r.contains(f"{kind}_")), lambda r: F.regexp_extract(r, rf"{kind}_([^\]]+)", 1))
     meta = [c for c in chunks.columns if c not in ("content", "multimodal_refs", "has_multimodal", "linked")]
     return chunks.select(sinks.chunk_key(chunks).alias("id"), F.col("content").alias("text"), F.create_map(*[x for c in meta for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]).alias("metadata"), "has_multimodal", F.struct(bare("IMMAGINE").alias("images"), bare("TABELLA").alias("tables"), F.col("multimodal_refs").alias("all_refs")).alias("multimodal"))
+
+
+def index_collection(spark: SparkSession, index: str, collection: str, embed=None, reset: bool = False) -> int:
+    """Put the chunks of a written index into a vector collection, with character and token counts among their metadata;
+    how many rows the collection then has. Ids come from the content, so a second run without ``reset`` adds the same ids."""
+    chunks = spark.read.parquet(f"{index}/chunks").drop("multimodal_refs", "overlap_with_previous", "overlap_with_next").withColumnRenamed("name", "file_name")
+    vectors.write_collection(vectors.store(chunks, embed or vectors.hashing_embedding()), collection, reset)
+    return vectors.open_collection(spark, collection).count()

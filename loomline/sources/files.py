@@ -36,11 +36,18 @@ def by_priority(manifest: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
+# Byte order marks and their encodings, the longer first where one begins another.
+_MARKED = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+
+
 @T.arrow_function("struct<text:string,encoding:string>")
 def _decoded(content: pd.Series) -> pd.DataFrame:
     def one(b):
         if b is None:
             return "", None
+        for mark, enc in _MARKED:
+            if b.startswith(mark):
+                return b[len(mark) :].decode(enc, "replace"), enc
         for enc in ("utf-8", "latin-1"):
             try:
                 return b.decode(enc), enc

@@ -8,6 +8,7 @@ from loomline.functions import text as T
 from loomline.plans import fixtures as X
 
 MORE = ["ﬁne ½ ① x", "page sep\n12 \n\nnext", "soft­hyphen zero​width\r\n", "\u001cedge\u001f", "ÉABCDEFGHIJ ABCDEFGHIJK1 x", "a@b.c http://x y", "[IMMAGINE_a  b] [TABELLA_x].Next [IMMAGINE_a  b]", "rep line here!\n" * 4 + "rep line here?\n" * 2]
+# What is replaced by what.
 LITERAL = [("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ('â€"', "–"), ("Ã¨", "è"), ("Ã©", "é"), ("Ã", "à"), ("Ã¹", "ù"), ("Ã²", "ò"), ("â‚¬", "€")]
 
 

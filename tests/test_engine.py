@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.operators import linking, stats, vectors
-from loomline.plans.indexing import Indexing, chunks_with_metadata
+from loomline.plans.indexing import Indexing, chunks_with_metadata, index_collection
 from loomline.plans.rag import BAD_CALL, BAD_STATUS, NOTHING_FOUND, Answering, HttpModel
 from loomline.sources import files, markup, sinks
 from loomline.streaming import ingest
@@ -33,6 +33,7 @@ def folder(tmp_path_factory):
     (d / "sub").mkdir()
     (d / "a.txt").write_text("Plain text. It has two sentences.", encoding="utf8")
     (d / "latin.TXT").write_bytes("caffè".encode("latin-1"))
+    (d / "wide.txt").write_bytes("wide à".encode("utf-16"))
     (d / "b.md").write_text("# Title\n\nBody ![x](i.png)", encoding="utf8")
     (d / "sub/key.html").write_text("<html><title>T</title><script>no()</script><p>Hello</p><table><tr><td>row</td></tr></table></html>", encoding="utf8")
     (d / "c.json").write_text('{"k": 1, "documents": [{"name": "n", "content": "inside"}]}', encoding="utf8")
@@ -46,11 +47,12 @@ def folder(tmp_path_factory):
 
 def test_scan_and_load(spark, folder):
     m = files.scan_directory(spark, folder, keyword="key")
-    assert {r.name: r.priority for r in m.collect()} == {"f.pdf": "medium", "bad.pdf": "medium", "a.txt": "low", "latin.TXT": "low", "b.md": "low", "key.html": "high", "c.json": "low", "d.docx": "low", "bad.json": "low"}
+    assert {r.name: r.priority for r in m.collect()} == {"wide.txt": "low", "f.pdf": "medium", "bad.pdf": "medium", "a.txt": "low", "latin.TXT": "low", "b.md": "low", "key.html": "high", "c.json": "low", "d.docx": "low", "bad.json": "low"}
     assert files.by_priority(m, 1).first()["name"] == "key.html"
-    assert files.scan_directory(spark, folder, recursive=False).count() == 8
+    assert files.scan_directory(spark, folder, recursive=False).count() == 9
     d = {r.name: r for r in files.load(files.scan_directory(spark, folder, content=True)).collect()}
     assert d["a.txt"].text.startswith("Plain") and d["a.txt"].encoding == "utf-8" and len(d["a.txt"].file_hash) == 64
+    assert d["wide.txt"].text == "wide à" and d["wide.txt"].encoding == "utf-16-le"
     assert d["latin.TXT"].text == "caffè" and d["latin.TXT"].encoding == "latin-1"
     assert d["key.html"].text == "T\nHello\nrow\n" and d["key.html"].title == "T" and d["bad.json"].failed and d["c.json"].json_keys == ["k", "documents"]
     assert [t.content for t in d["key.html"].tables] == [[["row"]]] and d["b.md"].images[0].src == "i.png" and d["b.md"].sections[0].title == d["b.md"].title == "Title"
@@ -68,7 +70,7 @@ def test_scan_and_load(spark, folder):
 def test_indexing_writes_artefacts(spark, folder, tmp_path):
     s = Indexing().run(spark, folder, str(tmp_path)).first()
     chunks = spark.read.parquet(f"{tmp_path}/chunks")
-    assert s.total_chunks == chunks.count() and s.total_documents == 7
+    assert s.total_chunks == chunks.count() and s.total_documents == 8
     told = spark.read.json(f"{tmp_path}/metadata").first()
     assert told.statistics.total_chunks == s.total_chunks and (told.multimodal_statistics.total_images, told.multimodal_statistics.total_tables) == (5, 3)
     assert json.loads(told.multimodal_config)["placeholders"] == "True"
@@ -81,8 +83,12 @@ def test_indexing_writes_artefacts(spark, folder, tmp_path):
     assert spark.read.json(f"{tmp_path}/multimodal_manifest/tables").where("table_id = 'p1_t1'").first()["rows"] == 3
     assert spark.read.parquet(f"{tmp_path}/element_lookup").where("element_id = 'p2_img1'").count() == 1
     per = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/document_statistics").collect()}
-    assert len(per) == 9 and sum(r.chunks for r in per.values()) == s.total_chunks and {r.avg_tokens for r in per.values() if not r.chunks} == {None}
+    assert len(per) == 10 and sum(r.chunks for r in per.values()) == s.total_chunks and {r.avg_tokens for r in per.values() if not r.chunks} == {None}
     assert Indexing(limit=2).documents(spark, folder).count() == 2
+    n = index_collection(spark, str(tmp_path), f"{tmp_path}/collection", vectors.hashing_embedding(16))
+    assert n == s.total_chunks == index_collection(spark, str(tmp_path), f"{tmp_path}/collection", vectors.hashing_embedding(16), reset=True)
+    held = vectors.open_collection(spark, f"{tmp_path}/collection").where("metadata['file_name'] = 'f.pdf'").first()
+    assert held.metadata["token_count"] and held.metadata["char_count"] and vectors.open_collection(spark, f"{tmp_path}/none").count() == 0
     m = chunks_with_metadata(chunks).where("has_multimodal and metadata['name'] = 'f.pdf'").collect()
     assert {x for r in m for x in r.multimodal.images} == {"p1_img1", "p1_img2", "p2_img1"} and all("title" in r.metadata for r in m)
 
@@ -204,16 +210,16 @@ def test_preprocessing(spark, folder, tmp_path):
 
     t = Preprocessing().run(spark, folder, str(tmp_path)).first()
     meta = spark.read.json(f"{tmp_path}/metadata").orderBy("place").collect()
-    assert t.total_documents == len(meta) == 7 and [r.place for r in meta] == list(range(1, 8)) and (t.total_images, t.total_tables) == (5, 3)
+    assert t.total_documents == len(meta) == 8 and [r.place for r in meta] == list(range(1, 9)) and (t.total_images, t.total_tables) == (5, 3)
     assert meta[0].type == "pdf" and meta[0].images == 3 and meta[0].sections_count == 3 and [r.words for r in meta[1:]] == sorted((r.words for r in meta[1:]), reverse=True)
     text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/consolidated").collect())
     assert text.startswith("=" * 80) and "1. Made\n   Tipo: pdf | Parole: " in text and " | Immagini: 3 | Tabelle: 1" in text and "Immagini totali: 5" in text
-    assert text.index("INDICE") < text.index("DOCUMENTO 1: Made") < text.index("DOCUMENTO 7: ") < text.index("RIEPILOGO FINALE") and "[Fine documento 7]" in text
+    assert text.index("INDICE") < text.index("DOCUMENTO 1: Made") < text.index("DOCUMENTO 8: ") < text.index("RIEPILOGO FINALE") and "[Fine documento 8]" in text
     assert "[Immagine: p1_img1 - Dimensioni: 2x1px]" in text and "[Tabella p1_t1: 3 righe x 2 colonne]\nname | value" in text and "  - p2_img1: 7x9px" in text
     assert spark.read.json(f"{tmp_path}/manifest/images").where("id = 'p1_img1'").first()["width"] == 2
     assert {bytes(r["data"])[:2] for r in spark.read.parquet(f"{tmp_path}/images").collect()} == {b"\x89P", b"\xff\xd8", b"im"}
     one = files.preprocessed_file(spark, str(tmp_path)).first()
-    assert one.type == "preprocessed" and one.priority == "high" and one.total_documents == 7 and len(one.images) == 5 and one.text == text
+    assert one.type == "preprocessed" and one.priority == "high" and one.total_documents == 8 and len(one.images) == 5 and one.text == text
     none = Preprocessing(images=False, tables=False).documents(spark, folder).where("name = 'f.pdf'").first()
     assert none.images == [] and "Immagine" not in none.text
 
