@@ -17,7 +17,8 @@ sketch over all documents that grows with the input (it only orders: every order
    and bitmap filters, in cells of bounded size; these are verified too. A pair within a component needs no check, as
    its link could not change the result. No case is capped.
 
-Components come from alternating large-star and small-star steps over the links; later links join whole components.
+Components come from stars over each task's links, then alternating large-star and small-star steps until all are
+settled; later links join whole components.
 
 Defined cases: a null text or one without words has no shingles and links with nothing, so its component is its own
 id; equal texts always link; rows with a null id take part (a component made of them alone has a null id); repeated
@@ -474,25 +475,54 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 # ---- components -----------------------------------------------------------------------------------------------------
 
 
+def _stars(it, most: int = 1 << 20):
+    """Edges (u, v) into edges from every node to the least one that the edges at hand, ``most`` at a time, reach."""
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def flush():
+        pairs = [(x, r) for x in up if (r := root(x)) != x]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    n = 0
+    for batch in it:
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        n += batch.num_rows
+        if n >= most:
+            yield flush()
+            n = 0
+    if up:
+        yield flush()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node it reaches) of every node that has a link (a, b), written."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    first = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = materialise(first.mapInArrow(_stars, "u long, v long").distinct(), "edges")
     while True:
+        # Settled when every node has one edge and no node that others point to points on; one query tells, as the
+        # driver remembers every query it has run. Few edges are settled by the first pass over each task's.
+        several = edges.groupBy("u").count().where("count > 1").select("u")
+        onward = edges.alias("p").join(edges.alias("q").hint("merge"), F.col("p.v") == F.col("q.u"), "left_semi").select("u")
+        if several.unionByName(onward).isEmpty():
+            break
         # Large star: larger neighbours go to the least neighbour. Small star: smaller ones and the node itself do.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = materialise(small, "edges")
-        # Settled when every node has one edge and no node that others point to points on; one query tells, as the
-        # driver remembers every query it has run.
-        several = after.groupBy("u").count().where("count > 1").select("u")
-        onward = after.alias("p").join(after.alias("q").hint("merge"), F.col("p.v") == F.col("q.u"), "left_semi").select("u")
+        small = large.join(down.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = materialise(small.distinct(), "edges")
         free(edges)
         edges = after
-        if several.unionByName(onward).isEmpty():
-            break
     out = materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "components")
     free(edges)
     return out

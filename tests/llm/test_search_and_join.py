@@ -241,3 +241,22 @@ def test_top_k_of_mixed_lengths(spark):
         own = [r for r in rows if len(r[1]) == (dims or 3)]
         assert sorted(tuple(x) for x in topk.top_k(d, every=5, dims=dims).collect()) == brute(own, 20, 5)
     assert topk.top_k(d, dims=9).count() == 0
+
+
+@pytest.mark.parametrize("parts, most", [(1, 1 << 20), (7, 5)])
+def test_components_of_chains_and_stars(spark, monkeypatch, parts, most):
+    monkeypatch.setattr(jaccard._stars, "__defaults__", (most,))
+    r = random.Random(parts)
+    nodes = r.sample(range(-(10**6), 10**6), 240)
+    links = [(nodes[k], nodes[k + 1]) for k in range(0, 60)] + [(nodes[100], nodes[k]) for k in range(101, 160)] + [(nodes[k], nodes[k + 1]) for k in range(200, 230, 2)] + [(nodes[0], nodes[60]), (nodes[3], nodes[3])]
+    r.shuffle(links)
+    up = {x: x for x in nodes}
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    linked = {x for p in links if p[0] != p[1] for x in p}
+    got = jaccard.components(spark.createDataFrame(links, "a long, b long").repartition(parts)).collect()
+    assert len(got) == len(linked) and {(x.node, x.comp) for x in got} == {(x, root(x)) for x in linked}
