@@ -41,6 +41,9 @@ WORDS, SEGMENTS = 5, 64
 BYTES_A_COUNTER, MIN_BITS, MAX_BITS = 256, 18, 26
 #: Entries that one hash range holds, about; that a task holds at once; documents of a shingle that one range may get.
 RANGE_ENTRIES, HELD_ENTRIES, HOT_ENTRIES = 1 << 19, 1 << 20, 1 << 18
+#: Hash ranges of one task. Every file that a task writes costs Hadoop's local file system several ``chmod`` processes, and
+#: each of them counts with the executor's whole memory until it has begun, so tasks of one small range are dear.
+RANGES_A_TASK = 4
 #: Rows of a run on either side of one cell of step 4.
 CELL = 4096
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -293,8 +296,8 @@ def candidates(docs: DataFrame, sketch: np.ndarray, bits: int, ranges: int, seed
 
     kinds = "rng int, hs binary, gs binary, sizes binary, places binary, g long, node long, th long, n int, sig binary"
     sent = _keyed(docs).mapInArrow(emit, kinds)
-    # Members have no range; they are dealt by their nodes.
-    dealt = sent.repartition(min(ranges, 2000), F.when(F.col("rng") >= 0, F.col("rng")).otherwise(F.hash("node"))).sortWithinPartitions("rng")
+    # Members have no range; they are dealt by their nodes. A task works on its ranges one after another.
+    dealt = sent.repartition(min(max(4, ranges // RANGES_A_TASK), 2000), F.when(F.col("rng") >= 0, F.col("rng")).otherwise(F.hash("node"))).sortWithinPartitions("rng")
     out = materialise(dealt.mapInArrow(lambda it: _meet(it, ranges, most_held), _CAND), "candidates")
     shared.destroy()
     return out

@@ -211,6 +211,18 @@ def test_hot_runs_that_do_not_link(spark, monkeypatch):
     assert sorted((tuple(x) for x in jaccard.join(d).collect()), key=repr) == components(rows)
 
 
+def test_ranges_share_tasks(spark):
+    import numpy as np
+
+    d = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(near_copies(4))], "doc_id long, text string").repartition(5)
+    found = {}
+    for ranges in (4, 64):
+        cand = jaccard.candidates(d, np.ones(1 << 18, np.uint8), 18, ranges)
+        found[ranges] = {tuple(x) for x in cand.where("a is not null").groupBy("a", "b").agg({"n_shared": "sum"}).collect()}
+        assert len(cand.inputFiles()) <= max(4, ranges // 4)
+    assert found[4] == found[64] and len(found[4]) > 100
+
+
 def test_cells_lose_no_pair(spark):
     import numpy as np
 
