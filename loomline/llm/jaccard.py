@@ -511,11 +511,10 @@ def components(links: DataFrame) -> DataFrame:
     first = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(first.mapInArrow(_stars, "u long, v long").distinct(), "edges")
     while True:
-        # Settled when every node has one edge and no node that others point to points on; one query tells, as the
-        # driver remembers every query it has run. Few edges are settled by the first pass over each task's.
-        several = edges.groupBy("u").count().where("count > 1").select("u")
-        onward = edges.alias("p").join(edges.alias("q").hint("merge"), F.col("p.v") == F.col("q.u"), "left_semi").select("u")
-        if several.unionByName(onward).isEmpty():
+        # Settled when every node has one edge and no node that others point to points on: one query tells, and one
+        # shuffle, as the driver remembers every query and has a thread for every shuffle of late.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("met")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("met")))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("met").alias("met")).where("out + met > 1 and out > 0").isEmpty():
             break
         # Large star: larger neighbours go to the least neighbour. Small star: smaller ones and the node itself do.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -601,15 +600,15 @@ def _cells(it):
 
 def _run_pairs(cand: DataFrame, members: DataFrame, comp: DataFrame, cell: int = CELL) -> DataFrame:
     """Pairs (hub, other) across components within runs and groups, groups expanded to their members."""
-    runs = cand.where("run is not null").select("run", F.explode(F.arrays_zip("grp", "sizes", "places")).alias("x")).select("run", F.col("x.grp").alias("g"), F.col("x.sizes").alias("size"), F.col("x.places").alias("place"))
+    runs = cand.where("run is not null").select("run", F.explode(F.arrays_zip("grp", "places")).alias("x")).select("run", F.col("x.grp").alias("g"), F.col("x.places").alias("place"))
     # A group of several members is a run, and so is a pair of groups one of which is; its places are not known, so 0.
-    many = members.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("size")).where("k > 1")
-    alone = many.select(F.xxhash64("g").alias("run"), "g", "size", F.lit(0).alias("place"))
+    many = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
+    alone = many.select(F.xxhash64("g").alias("run"), "g", F.lit(0).alias("place"))
     short = cand.where("a is not null").select("a", "b").distinct()
     grown = short.join(many.select(F.col("g").alias("a")), "a", "left_semi").unionByName(short.join(many.select(F.col("g").alias("b")), "b", "left_semi").select("a", "b")).distinct()
-    sizes = members.groupBy("g").agg(F.min("n").alias("size"))
-    paired = grown.select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("g")).join(sizes, "g").select("run", "g", "size", F.lit(0).alias("place"))
-    labelled_members = members.join(comp.hint("merge"), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
+    paired = grown.select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("g")).select("run", "g", F.lit(0).alias("place"))
+    # A group's members have one size.
+    labelled_members = members.join(comp.hint("merge"), "node", "left").select("g", "node", F.col("n").alias("size"), F.coalesce("comp", "node").alias("comp"))
     entries = runs.unionByName(alone).unionByName(paired).join(labelled_members.hint("merge"), "g").groupBy("run", "node", "comp").agg(F.max("size").alias("size"), F.min("place").alias("place"))
     entries = materialise(entries, "entries")
     several = entries.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("run", F.ceil(F.col("k") / cell).cast("int").alias("parts"))
@@ -631,8 +630,9 @@ def labelled(docs: DataFrame) -> DataFrame:
     while True:
         table = measured(docs, bits, seed)
         rows = table.where("seg is null")
-        nodes = rows.where("n > 0").groupBy("node").agg(F.min("f2").alias("f2"), F.max("f2").alias("f3"), F.max("n").alias("n"))
-        sums = nodes.agg(F.sum("n").alias("entries"), F.sum((F.col("f2") != F.col("f3")).cast("int")).alias("clashes")).first()
+        # The sketch's rows, which have no node, are one group of no entries.
+        nodes = table.where("n > 0 or seg is not null").groupBy("node").agg(F.min("f2").alias("f2"), F.max("f2").alias("f3"), F.max("n").alias("n"), F.max("part").alias("part"))
+        sums = nodes.agg(F.sum("n").alias("entries"), F.sum((F.col("f2") != F.col("f3")).cast("int")).alias("clashes"), F.max("part").alias("part")).first()
         if not sums["clashes"]:
             break
         free(table)
@@ -640,8 +640,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     if not sums["entries"]:
         return rows.select("doc_id", "th", "n", F.lit(None).cast("long").alias("comp"))
     counters = table.where("seg is not null").select("seg", "part", "at", F.col("n_at").alias("n"))
-    parts = 1 + (counters.agg(F.max("part")).first()[0] or 0)
-    cand = candidates(docs, merged(counters, parts, bits), bits, max(1, -(-sums["entries"] // 4 // RANGE_ENTRIES)) * 4, seed)
+    cand = candidates(docs, merged(counters, 1 + (sums["part"] or 0), bits), bits, max(1, -(-sums["entries"] // 4 // RANGE_ENTRIES)) * 4, seed)
 
     # Groups stand for their least node; a group's other members pair with it.
     members = materialise(cand.where("node is not null").select(*_MEMBER).dropDuplicates(["node"]), "members")

@@ -223,6 +223,15 @@ def test_ranges_share_tasks(spark):
     assert found[4] == found[64] and len(found[4]) > 100
 
 
+def test_components_settle_without_a_join(spark):
+    # Each query and shuffle costs the driver memory for a while: whether all is settled takes one shuffle.
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long").coalesce(1)
+    got = []
+    plans = executed(spark, lambda: got.extend(jaccard.components(links).collect()))
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert not any("SortMergeJoin" in x for x in plans)
+
+
 def test_cells_lose_no_pair(spark):
     import numpy as np
 
