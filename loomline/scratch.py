@@ -7,9 +7,13 @@ import tempfile
 import uuid
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes by which the driver's heap may grow between two tables before its garbage is collected.
+GARBAGE = 64 << 20
 _made: dict[str, str] = {}
+_used: dict[str, int] = {}
 _scope: ContextVar[list | None] = ContextVar("scope", default=None)
 
 
@@ -42,6 +46,25 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Return to the system what the driver's JVM holds of finished queries.
+
+    An operator of many queries leaves a plan, its metrics and the memory of compilers and threads behind for each. The
+    heap grows rather than being collected, and the C library keeps what is freed in every thread's arena. Collected
+    plans also let Spark drop their shuffle files and broadcasts. Virtual machines that cannot trim do without.
+    """
+    jvm, key = spark._jvm, spark.sparkContext.applicationId
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > _used.get(key, 0) + GARBAGE:
+        jvm.java.lang.System.gc()
+        _used[key] = heap.totalMemory() - heap.freeMemory()
+    with contextlib.suppress(Py4JError):  # Java from 17.0.9 on, with the C library of GNU
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends in files that outlive any executor.
 
@@ -50,6 +73,7 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    give_back(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     if _scope.get() is not None and not keep:

@@ -287,3 +287,26 @@ def test_hashed_embedding(spark):
         want[zlib.crc32(w.encode()) % 8] += 1
     norm = sum(x * x for x in want) ** 0.5
     assert rows[0].e == pytest.approx([x / norm for x in want], abs=1e-6) and rows[1].e == rows[2].e == [0.0] * 8 and sum(x > 0 for x in rows[3].e) == 2
+
+
+def test_driver_gives_memory_back_after_a_table(spark):
+    import re
+    from pathlib import Path
+
+    from loomline.scratch import free, materialise
+
+    platform, mb = spark._jvm.org.apache.spark.unsafe.Platform, 1 << 10
+    status = Path(f"/proc/{spark._jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    resident = lambda: int(re.search(r"Rss:\s+(\d+)", status.read_text())[1])
+    free(materialise(spark.range(10), "warm"))
+    # The last block keeps the C library from returning the others by itself.
+    blocks = [platform.allocateMemory(1 << 16) for _ in range(3200)]
+    for b in blocks:
+        platform.setMemory(b, 1, 1 << 16)
+    for b in blocks[:-1]:
+        platform.freeMemory(b)
+    before = resident()
+    out = materialise(spark.range(10), "after")
+    assert before - resident() > 100 * mb and out.count() == 10
+    free(out)
+    platform.freeMemory(blocks[-1])
