@@ -456,7 +456,7 @@ def html_title(spark, sf_dir):
 
 @query("html_sections", r"select page_id, level, regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') as title from (select page_id, regexp_extract(h, '(?is)<h([1-6])', 1)::integer as level, regexp_replace(regexp_replace(regexp_replace(h, '(?is)^<h[1-6][^>]*>|</h[1-6]>$', '', 'g'), '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g') as t from (select page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) as h from pages))")
 def html_sections(spark, sf_dir):
-    return markup.parse_html(read(spark, sf_dir, "pages")).select("page_id", F.explode("sections").alias("s")).select("page_id", "s.level", "s.title")
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(markup.html_sections(F.col("html"))).alias("s")).select("page_id", "s.level", "s.title")
 
 
 @query("html_parse")

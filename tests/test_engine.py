@@ -101,6 +101,29 @@ def test_html_parser(spark):
     assert r[1].content == r[2].content == "" and r[2].title is None
 
 
+_HEADINGS = [
+    '<h1>token = &quot;0b96&quot; &amp; &lt;b&gt;</h1>',
+    "<H2 class=a\nid=b> \t<i>Two\nlines</i> &amp;lt; &ampx &#38; </H2>text<h3>\x0bthird\u00a0</h3>",
+    "<script>s = '<h4>in a script</h4>'</script><!-- <h5>in a comment</h5> --><h6></h6><h1><>x</h1>",
+    "<h1>left open <h2>other end</h3><h1 <b>odd</b></h1><header>no</header><h7>no</h7><h1>no end",
+    "<h1</h1>", "<h1></h1>\n", "<h2>$1 \\ &gt</h2>", "", None,
+]
+
+
+def test_html_sections_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame(list(enumerate(_HEADINGS)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = c.execute(entry.oracle_sql()["html_sections"]).fetchall()
+    got = [(r.page_id, r.level, r.title) for r in entry.queries()["html_sections"](spark, str(tmp_path)).collect()]
+    assert (0, 1, "token = &quot;0b96&quot; & <b>") in got and len(got) > 10
+    assert sorted(got) == sorted(want)
+
+
 def test_preprocessed_directory(spark, tmp_path):
     (tmp_path / "x.txt").write_text("DOCUMENTO 1: One\n====\ncontent\n", encoding="utf8")
     (tmp_path / "y.json").write_text('{"documents": [{"name": "n", "content": "c"}, {"name": "empty"}]}', encoding="utf8")
