@@ -5,10 +5,14 @@ stay in the JVM but ``nfkc``, for which Spark has no function.
 """
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..slices import text_slices
+
 # Reference kinds in the order in which they are looked for, and their type names.
 REF_KINDS = {"IMMAGINE": "image", "TABELLA": "table", "GRAFICO": "chart", "FIGURA": "figure"}
 REF = r"\[(IMMAGINE|TABELLA|GRAFICO|FIGURA)_([^\]]+)\]"
@@ -115,16 +119,22 @@ def arrow_function(kind: str):
     return make
 
 
-@arrow_function("string")
-def _nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Slice by slice: of a batch only its own bytes are held, and neither its strings nor its result."""
     import unicodedata
 
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    for array in texts:
+        empty = True
+        for part in text_slices(pa.RecordBatch.from_arrays([array], names=["text"]), limit=1 << 20):
+            empty = False
+            yield pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in part.column(0).to_pylist()], array.type)
+        if empty:
+            yield array
 
 
 def nfkc(c) -> Column:
     """Compatibility composition; an Arrow function, as Spark has none."""
-    return _nfkc(c)
+    return F.arrow_udf(_nfkc, "string")(c)
 
 
 def protect(c, kinds=tuple(REF_KINDS)) -> tuple[Column, Column]:

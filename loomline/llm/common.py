@@ -1,8 +1,6 @@
 """Shared helpers: word tables over Arrow text, scratch tables, stable hashing."""
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import zlib
 
 import numpy as np
@@ -12,10 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import delete, free, materialise, scratch_dir, scratch_tables  # noqa: F401
-
-#: Bytes of text worked on at once inside a task, whatever the size of the Arrow batch.
-SLICE_BYTES = 2 << 20
-
+from ..slices import SLICE_BYTES, text_slices, trim  # noqa: F401
 
 def trained_in_task(sample: DataFrame, label: str, train, chars: int):
     """``train(texts, labels)`` of a bounded sample (doc_id, text, label), run by one task; what it returns, unpickled.
@@ -47,26 +42,6 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
-    """Cut a batch into runs of rows whose text is about ``limit`` bytes (one long text is a run of its own)."""
-    n = batch.num_rows
-    if not n:
-        return
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    block = (np.cumsum(size) - size) // limit
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
-        yield batch.slice(a, b - a)
-    trim()
-
-
-def trim() -> None:
-    """Give unused memory back: Python workers live on beside those of later stages."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def batches(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, for a map over Arrow batches: other columns and clashing names stay out."""
     return df.select(*columns)

@@ -67,3 +67,15 @@ def test_cleaners_equal_plain_versions(spark):
 def test_nulls_stay_null(spark):
     d = spark.createDataFrame([(None,)], "t string")
     assert d.select(T.normalize_whitespace(F.col("t")), T.processor_clean(F.col("t")), T.extractor_clean(F.col("t")), T.tokens(F.col("t"))).first() == (None,) * 4
+
+
+def test_nfkc_holds_no_batch_of_strings(spark):
+    import pyarrow as pa
+
+    texts = [None, "", "plain " * 40_000, "ﬁne ½ ① x " * 40_000, "é" * 10] * 12
+    want = [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    parts = list(T._nfkc(iter([pa.array(texts), pa.array([], pa.string()), pa.array(texts)])))
+    assert [t for p in parts for t in p.to_pylist()] == want * 2
+    assert max(p.nbytes for p in parts) < 3 << 20 < sum(p.nbytes for p in parts) / 4
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.o for r in d.select("i", T.nfkc(F.col("t")).alias("o")).orderBy("i").collect()] == want
