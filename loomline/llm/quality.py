@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import batches, materialise, starts, text_slices, utf8, words_of
 
 MIN_LINE_DOCS, LINE_SHARE, MAX_LOST = 20, 0.02, 0.5
+#: Bytes of text measured at once: over 2 MB of prose the arrays of words and windows took 87 MB, over 512 KB 36.
+SLICE = 1 << 19
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 NO_HOST = "\x00none"
 _SCAN = "rid long, doc_id long, host string, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hs array<long>, ws array<int>"
@@ -90,18 +92,18 @@ def measure(text: pa.Array) -> dict:
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row a document with its base counts and line hashes; the text itself is not carried on."""
+def _measured(it):
     names = [x.split()[0] for x in _SCAN.split(", ")]
+    for batch in it:
+        for part in text_slices(batch, limit=SLICE):
+            m = measure(part.column("text"))
+            yield pa.RecordBatch.from_arrays([m[k] if k in ("hs", "ws") else pa.array(m[k]) if k in m else part.column(k) for k in names], names=names)
 
-    def run(it):
-        for batch in it:
-            for part in text_slices(batch):
-                m = measure(part.column("text"))
-                yield pa.RecordBatch.from_arrays([m[k] if k in ("hs", "ws") else pa.array(m[k]) if k in m else part.column(k) for k in names], names=names)
 
+def scan(docs: DataFrame) -> DataFrame:
+    """One row a document with its base counts and line hashes; the text itself is not carried on."""
     keyed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("source", F.lit(NO_HOST)).alias("host"), F.xxhash64("text").alias("th"), "text")
-    return batches(keyed, "rid", "doc_id", "host", "th", "text").mapInArrow(run, _SCAN)
+    return batches(keyed, "rid", "doc_id", "host", "th", "text").mapInArrow(_measured, _SCAN)
 
 
 def frequent_lines(scanned: DataFrame, least: int = MIN_LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:

@@ -115,6 +115,23 @@ def plain_counts(t):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(inside), n < 50 or 100 * len(inside) > 50 * n
 
 
+def test_quality_measures_a_batch_in_small_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, "", *[" ".join(f"w{(i * 31 + j) % 977}" for j in range(2_000)) + "\nend of it" for i in range(400)]]
+    n, one = len(texts), [0] * len(texts)
+    batch = pa.RecordBatch.from_pydict({"rid": list(range(n)), "doc_id": list(range(n)), "host": ["h"] * n, "th": one, "text": texts})
+    whole = quality.measure(batch.column("text"))
+    tracemalloc.start()
+    rows = [(p["rid"], p["n_words"], p["n_repeat_words"], p["hs"], p["ws"]) for part in quality._measured(iter([batch])) for p in part.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == list(zip(range(n), *(whole[k].tolist() for k in ("n_words", "n_repeat_words")), whole["hs"].to_pylist(), whole["ws"].to_pylist()))
+    assert batch.nbytes > 3 << 20 and peak < 24 << 20
+
+
 def test_quality_counts(spark, odd):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source")
     both = docs.unionByName(odd.select(*docs.columns)).withColumn("h", docs.doc_id)
